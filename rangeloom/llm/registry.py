@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from rangeloom.llm import exact, quality
+from rangeloom.llm import bpe, exact, mixing, quality
 
 
 def queries() -> dict:
     return {
         "op3_digest_index": exact.op3_digest_index,
+        "op6_bpe_transducer": bpe.op6_bpe_transducer,
+        "op8_block_mix": mixing.op8_block_mix,
         "op10_compression_bands": quality.op10_compression_bands,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_digest_index": exact.OP3_SQL}
+    return {"op3_digest_index": exact.OP3_SQL, "op8_block_mix": mixing.OP8_SQL}
