@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rangeloom.llm import bpe, exact, mixing, quality
+from rangeloom.llm import bpe, exact, mixing, neardup, quality
 
 
 def queries() -> dict:
     return {
+        "op2_odd_sketches": neardup.op2_odd_sketches,
         "op3_digest_index": exact.op3_digest_index,
         "op6_bpe_transducer": bpe.op6_bpe_transducer,
         "op8_block_mix": mixing.op8_block_mix,
