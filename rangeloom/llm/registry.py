@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rangeloom.llm import bpe, exact, mixing, neardup, quality, substrings
+from rangeloom.llm import bpe, exact, mixing, neardup, quality, secrets, substrings
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_odd_sketches": neardup.op2_odd_sketches,
         "op3_digest_index": exact.op3_digest_index,
         "op6_bpe_transducer": bpe.op6_bpe_transducer,
+        "op7_randomness_battery": secrets.op7_randomness_battery,
         "op8_block_mix": mixing.op8_block_mix,
         "op9_de_bruijn": substrings.op9_de_bruijn,
         "op10_compression_bands": quality.op10_compression_bands,
