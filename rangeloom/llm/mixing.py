@@ -139,7 +139,7 @@ def mix(sizes: DataFrame, spec: MixSpec = MixSpec()) -> tuple[DataFrame, DataFra
     first = F.greatest(F.col("block") * spec.block, F.col("at"))
     end = F.least((F.col("block") + 1) * spec.block, F.col("at") + F.col("size"))
     spans = spans.select("doc_id", "source_no", "chunk", "rn", "block", (first - F.col("at")).alias("word_start"), (first - F.col("block") * spec.block).alias("from"), (end - F.col("block") * spec.block).alias("to"))
-    pieces = spans.join(slots(sources, spec), ["source_no", "block"]).withColumn("n_words", F.least("to", "slot_words") - F.col("from")).where("n_words > 0")
+    pieces = spans.join(slots(sources, spec).hint("merge"), ["source_no", "block"]).withColumn("n_words", F.least("to", "slot_words") - F.col("from")).where("n_words > 0")
     return rows, pieces.select("doc_id", "source_no", "chunk", "rn", "epoch", "shard", "shard_slot", "word_start", "n_words")
 
 

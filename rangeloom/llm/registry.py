@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rangeloom.llm import bpe, exact, mixing, neardup, quality, secrets, substrings
+from rangeloom.llm import bpe, exact, licenses, mixing, neardup, quality, secrets, substrings
 
 
 def queries() -> dict:
     return {
         "op2_odd_sketches": neardup.op2_odd_sketches,
         "op3_digest_index": exact.op3_digest_index,
+        "op4_containment_join": licenses.op4_containment_join,
         "op6_bpe_transducer": bpe.op6_bpe_transducer,
         "op7_randomness_battery": secrets.op7_randomness_battery,
         "op8_block_mix": mixing.op8_block_mix,
