@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rangeloom.llm import bpe, exact, licenses, mixing, neardup, quality, secrets, substrings
+from rangeloom.llm import bpe, exact, licenses, mixing, neardup, quality, secrets, substrings, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_odd_sketches": neardup.op2_odd_sketches,
         "op3_digest_index": exact.op3_digest_index,
         "op4_containment_join": licenses.op4_containment_join,
+        "op5_salvage_reader": warc.op5_salvage_reader,
         "op6_bpe_transducer": bpe.op6_bpe_transducer,
         "op7_randomness_battery": secrets.op7_randomness_battery,
         "op8_block_mix": mixing.op8_block_mix,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_digest_index": exact.OP3_SQL, "op8_block_mix": mixing.OP8_SQL}
+    return {"op3_digest_index": exact.OP3_SQL, "op5_salvage_reader": warc.OP5_SQL, "op8_block_mix": mixing.OP8_SQL}
