@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rangeloom.llm import bpe, exact, licenses, mixing, neardup, quality, secrets, substrings, warc
+from rangeloom.llm import bpe, exact, language, licenses, mixing, neardup, quality, secrets, substrings, warc
 
 
 def queries() -> dict:
     return {
+        "op1_word_crf": language.op1_word_crf,
         "op2_odd_sketches": neardup.op2_odd_sketches,
         "op3_digest_index": exact.op3_digest_index,
         "op4_containment_join": licenses.op4_containment_join,
