@@ -2,10 +2,244 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rangeloom.functions.keys import key_hex, n_choose_r, split_key
+from rangeloom.jobs import tables as T
+from rangeloom.operators import coded, jobspec, phaselog, records, transfer, tuning
+from rangeloom.shared import new_path, stored
+from rangeloom.streaming.controller import tune_stream
+
+K, R, S = T.NODES, T.REPLICATION, T.SAMPLES
+
+
+def _cuts(df: DataFrame, p: int = K) -> list[bytes]:
+    return records.splitter_list(records.choose_splitters(records.systematic_sample(df.select("key", "id"), S, ["id"]), "key", p))
+
+
+def split_keys(spark: SparkSession, d: str) -> DataFrame:
+    rows = split_key(T.rec(spark, d).select("id", F.concat("key", F.lit("value of ").cast("binary"), F.col("id").cast("string").cast("binary")).alias("rec")), "rec")
+    return rows.select("id", key_hex(F.col("key")).alias("key_hex"), F.col("value").cast("string").alias("value"))
+
+
+def row_index(spark, d):
+    return records.with_row_index(T.rec(spark, d).select("key", "id"), ["key", "id"]).select("id", "idx")
+
+
+def row_index_lineitem(spark, d):
+    cols = ["l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return records.with_row_index(T.table(spark, d, "lineitem").select(*cols), cols).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "idx")
+
+
+def split_input(spark, d):
+    return records.split_input(T.rec(spark, d), 7, ["id"]).select("id", "split_id")
+
+
+def systematic_sample(spark, d):
+    return records.systematic_sample(T.rec(spark, d), S, ["id"]).select("idx", "id")
+
+
+def splitters(spark, d):
+    sample = records.systematic_sample(T.rec(spark, d), S, ["id"])
+    return records.choose_splitters(sample, "key", 16).select("i", key_hex(F.col("splitter")).alias("splitter"))
+
+
+def range_assign(spark, d):
+    df = T.rec(spark, d)
+    return records.range_assign(df, "key", _cuts(df)).select("id", "pid")
+
+
+def range_assign_many(spark, d):
+    df = T.rec(spark, d)
+    return records.range_assign(df, "key", _cuts(df, 100)).select("id", "pid")
+
+
+def exchange_matrix(spark, d):
+    split = records.split_input(T.rec(spark, d), 7, ["id"])
+    return records.exchange_matrix(records.range_assign(split, "key", _cuts(T.rec(spark, d))), "split_id", "pid")
+
+
+def total_sort(spark, d):
+    """Sampled total sort, each record with its partition and its place there."""
+    listed = records.list_partitions(records.total_sort(T.rec(spark, d), "key", K, ["id"], S), "key", ["id"])
+    return listed.select("pid", "pos", "key_hex", "id")
+
+
+def total_sort_skew(spark, d):
+    listed = records.list_partitions(records.total_sort(T.rec_skew(spark, d), "key", K, ["id"], S), "key", ["id"])
+    return listed.select("pid", "pos", "key_hex", "id")
+
+
+def total_sort_builtin(spark, d):
+    out = records.total_sort(T.rec(spark, d), "key", K, ["id"], method="builtin")
+    return out.select(key_hex(F.col("key")).alias("key_hex"), "id", "w1", "w2")
+
+
+def job_codec(spark, d):
+    texts = jobspec.format_job(T.jobs(spark, d)).select("id", F.when(F.col("id") % 11 == 0, F.concat(F.col("job"), F.lit(":x"))).otherwise(F.col("job")).alias("job"))
+    return jobspec.parse_job(texts, "job")
+
+
+def validate_jobs(spark, d):
+    return jobspec.validate_jobs(T.jobs(spark, d), K).select("id", "type", "r", "error")
+
+
+def input_files(spark, d):
+    return T.jobs(spark, d).select("id", n_choose_r("reducer_num", "r").alias("n_files"))
+
+
+def replicas(spark, d):
+    """Records on each node by destination, before and after the replicas that nobody needs are dropped."""
+    placed = coded.placement(spark, K, R)
+    full = coded.replicate(T.placed(spark, d), placed).select("file_id", "dest", "node", "id")
+    kept = coded.prune_replicas(full, placed)
+    count = lambda x, n: x.groupBy("node", "dest").agg(F.count(F.lit(1)).alias(n))
+    return count(full, "n_full").join(count(kept, "n_kept"), ["node", "dest"])
+
+
+def _parts(spark, d):
+    return coded.coded_parts(T.placed(spark, d), K, R, ["id"])
+
+
+def chunks(spark, d):
+    return _parts(spark, d)["chunks"].select("id", "group_id", "sender", "dest", "file_id", "part", "offset")
+
+
+def packets(spark, d):
+    return coded.xor_encode(_parts(spark, d)["chunks"], T.WORDS)
+
+
+def packet_metadata(spark, d):
+    meta = coded.packet_metadata(_parts(spark, d)["meta"], R)
+    item = F.transform("chunks", lambda c: F.concat_ws("/", c["dest"], c["file_id"], c["part"], c["size"]))
+    return meta.select("group_id", "sender", F.array_join(item, " ").alias("chunks"), "packet_size", "header_bytes")
+
+
+def decoded(spark, d):
+    p = _parts(spark, d)
+    return coded.xor_decode(coded.xor_encode(p["chunks"], T.WORDS), p["meta"], p["chunks"], T.WORDS).select("dest", "file_id", "part", "offset", *T.WORDS)
+
+
+def completeness(spark, d):
+    p = _parts(spark, d)
+    return coded.completeness(p["meta"], p["placed"])
+
+
+def coded_sort(spark, d):
+    df = T.rec(spark, d).withColumns({f"k{i}": F.conv(F.hex(F.substring("key", 1 + 5 * i, 5)), 16, 10).cast("long") for i in range(2)})
+    words = ["k0", "k1", *T.WORDS]
+    return coded.coded_sort(df, "key", K, R, words, ["id"], S).select("dest", "file_id", *words)
+
+
+def load_report(spark, d):
+    out = coded.load_report(T.placed(spark, d), K, R)
+    return out.withColumn("coded_over_uncoded", F.round("coded_over_uncoded", 6))
+
+
+def _pairs(spark, d):
+    return phaselog.pair_phases(T.phase_log(spark, d), order_cols=("ts", "line_no"))
+
+
+def pair_phases(spark, d):
+    return _pairs(spark, d)
+
+
+def phase_ratios(spark, d):
+    out = phaselog.phase_ratios(_pairs(spark, d))
+    return out.select("source", "k", F.round("map_over_shuffle", 4).alias("map_over_shuffle"), F.round("shuffle_over_map", 12).alias("shuffle_over_map"))
+
+
+def total_time(spark, d):
+    return phaselog.total_time(_pairs(spark, d)).select("source", F.round("total", 2).alias("total"))
+
+
+def ratio_stats(spark, d):
+    out = phaselog.ratio_stats(_pairs(spark, d))
+    return out.select("source", "n", F.round("mean_ratio", 2).alias("mean_ratio"), F.round(F.col("var_ratio") / 1e12, 4).alias("var_ratio_e12"))
+
+
+def compare_schemes(spark, d):
+    totals = phaselog.total_time(_pairs(spark, d))
+    named = totals.select((F.col("source") % 50).alias("distribution"), F.concat(F.lit("scheme"), F.expr("source div 50").cast("string")).alias("scheme"), "total")
+    out = phaselog.compare_schemes(named, "scheme0", ["scheme1", "scheme2"])
+    return out.select("distribution", "baseline", F.round("change", 8).alias("change"))
+
+
+def phase_summary(spark, d):
+    li = T.table(spark, d, "lineitem")
+    out = phaselog.phase_summary(li.select(F.col("l_orderkey").alias("job"), F.col("l_returnflag").alias("phase"), F.col("l_quantity").cast("double").alias("seconds")))
+    return out.select("job", "phase", F.round("avg_seconds", 6).alias("avg_seconds"), "max_seconds")
+
+
+def _slots(spark, d):
+    return tuning.cycle_slots(T.outcomes(spark, d), "key", ["ts", "id"])
+
+
+def cycle_slots(spark, d):
+    return _slots(spark, d).select("id", "key", "seq", "cycle", "slot")
+
+
+def trial_decisions(spark, d):
+    return tuning.trial_decisions(_slots(spark, d), "key")
+
+
+def r_trajectory(spark, d):
+    return tuning.r_trajectory(trial_decisions(spark, d), "key", 1, 5)
+
+
+def assign_r(spark, d):
+    return tuning.assign_r(_slots(spark, d), r_trajectory(spark, d), "key", 1, 5).select("id", "r_used")
+
+
+def tune_stream_files(spark, d):
+    """The streaming controller over the events as a file stream, run until all are taken."""
+    order = F.unix_micros(F.col("ts").cast("timestamp")) * 100 + F.col("id") % 100
+    source = stored(T.outcomes(spark, d).select("key", order.alias("order"), "cost"), "outcomes-stream")
+    path = source.inputFiles()[0].rpartition("/")[0]
+    stream = spark.readStream.schema(source.schema).parquet(path)
+    out = new_path(spark, "tuned")
+    query = tune_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "tuned-state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("key long, seq long, cycle int, slot int, r_used int").parquet(out).select("key", "seq", "cycle", "slot", "r_used")
+
+
+def bandwidth_series(spark, d):
+    band = stored(T.band(spark, d), "band")
+    all_kinds = None
+    for kind in transfer.KINDS:
+        s = transfer.bandwidth_series(band, kind).select(F.lit(kind).alias("kind"), "bucket", F.round("rate", 6).alias("rate"), F.round("broadcast", 6).alias("broadcast"))
+        all_kinds = s if all_kinds is None else all_kinds.unionByName(s)
+    return all_kinds
+
+
+def transfer_cost(spark, d):
+    series = transfer.bandwidth_series(T.band(spark, d), "pareto")
+    out = transfer.transfer_cost(transfer.rate_at(T.transfers(spark, d), series, 86400))
+    return out.withColumn("seconds", F.round("seconds", 4))
+
+
+def rate_as_of(spark, d):
+    """Rates that change with each error event of a user, at the user's other events."""
+    e = T.table(spark, d, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    series = e.where("event_type = 'error'").select("user_id", F.col("value").alias("rate"), micros.alias("valid_from"))
+    return transfer.rate_as_of(e.where("event_type <> 'error'").select("event_id", "user_id", micros.alias("t")), series, "user_id").select("event_id", "rate")
+
+
+_QUERIES = (
+    total_sort, total_sort_skew, total_sort_builtin, row_index, row_index_lineitem, split_keys, split_input, systematic_sample, splitters, range_assign,
+    range_assign_many, exchange_matrix, job_codec, validate_jobs, input_files, replicas, chunks, packets, packet_metadata, decoded, completeness,
+    coded_sort, load_report, pair_phases, phase_ratios, total_time, ratio_stats, compare_schemes, phase_summary, cycle_slots, trial_decisions,
+    r_trajectory, assign_r, tune_stream_files, bandwidth_series, transfer_cost, rate_as_of,
+)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from rangeloom.jobs.oracles import ORACLES
+
+    return dict(ORACLES)
