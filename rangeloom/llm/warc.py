@@ -17,6 +17,7 @@ from rangeloom.shared import new_path, stored
 
 _VERSION = b"WARC/1.1"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_FIELD = re.compile(rb"([!-9;-~]+):([^\x00-\x08\x0a-\x1f\x7f]*)")
 _BEGIN = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _STEP = 1 << 14
 _MEMBER = b"\x1f\x8b\x08"
@@ -66,9 +67,11 @@ def _parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
         return "header without end"
     headers = {}
     for x in data[line.end() : stop].split(b"\r\n"):
-        name, colon, value = x.partition(b":")
-        if colon:
-            headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+        if not (one := _FIELD.fullmatch(x)):
+            return "malformed header field"
+        headers[one[1].decode().lower()] = one[2].decode("utf-8", "replace").strip()
+    if "warc-type" not in headers or not re.fullmatch(r"<[^<>]+>", headers.get("warc-record-id", "")):
+        return "no type or record id"
     if not (length := headers.get("content-length", "")).isdecimal():
         return "no content length"
     start, end = stop + 4, stop + 4 + int(length)
@@ -165,7 +168,7 @@ def write_archives(plan: DataFrame, path: str, spec: WarcSpec = WarcSpec()) -> N
     def make() -> Callable:
         def row(page_id, url, payload, size, digest, refers_to):
             key = "" if page_id is None else str(page_id)
-            fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{key}>"), ("WARC-Target-URI", re.sub(r"[\r\n]", " ", url or "")), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(size))]
+            fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{key}>"), ("WARC-Target-URI", re.sub(r"[\x00-\x08\x0a-\x1f\x7f]", " ", url or "")), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(size))]
             if refers_to is not None:
                 fields += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", _PROFILE)]
             payload = payload or b""
