@@ -9,6 +9,8 @@ from rangeloom.functions.keys import key_hex, n_choose_r, split_key
 from rangeloom.jobs import tables as T
 from rangeloom.operators import coded, jobspec, phaselog, records, transfer, tuning
 from rangeloom.shared import new_path, stored
+from rangeloom.sources.fixed import read_records, write_records
+from rangeloom.sources.text import read_jobs
 from rangeloom.streaming.controller import tune_stream
 
 K, R, S = T.NODES, T.REPLICATION, T.SAMPLES
@@ -227,11 +229,30 @@ def rate_as_of(spark, d):
     return transfer.rate_as_of(e.where("event_type <> 'error'").select("event_id", "user_id", micros.alias("t")), series, "user_id").select("event_id", "rate")
 
 
+def record_files(spark, d):
+    """Sorted fixed-width files written and read back: a record per line item, its place in the files and its bytes."""
+    li = T.table(spark, d, "lineitem")
+    text = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.unix_seconds(F.col("l_shipdate").cast("timestamp")))
+    rec = li.select(F.unhex(F.substring(F.md5(text.cast("binary")), 1, 20)).alias("key"), F.rpad(text, 90, ".").cast("binary").alias("value"))
+    path = new_path(spark, "records")
+    write_records(records.total_sort(rec, "key", K, ["value"], S), path)
+    return read_records(spark, path).select(key_hex(F.col("key")).alias("key_hex"), F.col("value").cast("string").alias("value"))
+
+
+def job_list_files(spark, d):
+    """Job lists written as text and read back."""
+    jobs = T.jobs(spark, d)
+    path = new_path(spark, "job-list")
+    jobs.select(F.concat_ws(" ", "type", "input_file_num", "reducer_num", "r", F.concat(F.lit("order-"), F.col("id").cast("string")), F.lit(" "))).write.text(path)
+    return read_jobs(spark, path)
+
+
 _QUERIES = (
     total_sort, total_sort_skew, total_sort_builtin, row_index, row_index_lineitem, split_keys, split_input, systematic_sample, splitters, range_assign,
     range_assign_many, exchange_matrix, job_codec, validate_jobs, input_files, replicas, chunks, packets, packet_metadata, decoded, completeness,
     coded_sort, load_report, pair_phases, phase_ratios, total_time, ratio_stats, compare_schemes, phase_summary, cycle_slots, trial_decisions,
     r_trajectory, assign_r, tune_stream_files, bandwidth_series, transfer_cost, rate_as_of,
+    record_files, job_list_files,
 )
 
 

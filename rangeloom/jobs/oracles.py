@@ -151,4 +151,9 @@ FROM t b JOIN t o ON b.distribution = o.distribution AND o.s = 0 AND b.s IN (1,
 FROM tra JOIN ser ON tra.t // 86400 = ser.bucket AND kind = 'pareto' GROUP BY 1, 2""",
     "rate_as_of": """SELECT e.event_id, s.value AS rate
 FROM (SELECT * FROM events WHERE event_type <> 'error') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') s ON e.user_id = s.user_id AND e.ts >= s.ts""",
+    "record_files": f"""WITH t AS (
+  SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || CAST(epoch(l_shipdate) AS BIGINT) AS text FROM lineitem)
+SELECT {_HEX.format("unhex(substr(md5(text), 1, 20))")} AS key_hex, rpad(text, 90, '.') AS value FROM t""",
+    "job_list_files": """SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'CodedTeraSort' ELSE 'TeraSort' END AS type, CAST(-1 AS INTEGER) AS input_file_num,
+  CAST(6 AS INTEGER) AS reducer_num, CAST(o_orderkey % 7 AS INTEGER) AS r, 'order-' || o_orderkey AS prefix FROM orders""",
 }
