@@ -21,9 +21,10 @@ class NearSpec:
     """Similar: 100 * intersection >= ``percent`` * union of the sets of distinct ``shingle``-word shingles.
 
     ``bands`` of ``rows`` MinHash samples each: a pair at 0.8 shares no band with probability
-    (1 - 0.8**5)**32 = 3e-6, at 0.85 with 2e-8. All samples are folded into an odd sketch of ``bits`` bits;
-    a candidate pair goes on to the full sets if the sketches estimate at least ``percent / 100 - slack``, six
-    standard deviations of the estimate below the threshold. ``group``: documents of a star that are compared in
+    (1 - 0.8**5)**32 = 3e-6, at 0.85 with 2e-8. All samples are folded into an odd sketch of ``bits`` bits.
+    A candidate pair passes if the sketches estimate at least ``percent / 100 - slack``, six standard deviations of
+    the estimate below the threshold. A second odd sketch of ``fine_bits`` bits holds the parity of a coordinated
+    sample of the set, the whole set up to ``fine_sample`` shingles, and sharpens that: see ``possible``. ``group``: documents of a star that are compared in
     one place; ``block``: members of a bucket that are compared in one place.
     """
 
@@ -33,6 +34,8 @@ class NearSpec:
     rows: int = 5
     bits: int = 512
     slack: float = 0.2
+    fine_bits: int = 2048
+    fine_sample: int = 1024
     group: int = 32
     block: int = 256
 
@@ -93,9 +96,55 @@ class Signer:
         return np.packbits(np.bincount(bit.astype(np.int64), minlength=self.spec.bits) % 2 == 1).tobytes()
 
 
+    def fine(self, s: np.ndarray) -> tuple[int, bytes]:
+        """Level and odd sketch of the shingles whose hash is below 2**-level of all."""
+        level = max(0, int(np.ceil(np.log2(len(s) / self.spec.fine_sample))))
+        low = mixed(s + np.uint64(0x5851F42D4C957F2D))
+        bit = (low % np.uint64(self.spec.fine_bits))[low >> np.uint64(64 - level) == 0] if level else low % np.uint64(self.spec.fine_bits)
+        return level, np.packbits(np.bincount(bit.astype(np.int64), minlength=self.spec.fine_bits) % 2 == 1).tobytes()
+
+
+@dataclass
+class Sketches:
+    """Set sizes and odd sketches of some nodes, as arrays; one column of :func:`signatures` each."""
+
+    n: np.ndarray
+    sketch: np.ndarray
+    level: np.ndarray
+    fine: np.ndarray
+
+    @staticmethod
+    def of(n: list[int], sketch: list[bytes], level: list[int], fine: list[bytes]) -> Sketches:
+        words = lambda x: np.frombuffer(b"".join(x), np.uint64).reshape(len(x), -1) if len(x) else np.empty((0, 1), np.uint64)
+        return Sketches(np.array(n, np.int64), words(sketch), np.array(level, np.int64), words(fine))
+
+    def at(self, i: np.ndarray) -> Sketches:
+        return Sketches(self.n[i], self.sketch[i], self.level[i], self.fine[i])
+
+
+def possible(x: Sketches, y: Sketches, spec: NearSpec) -> np.ndarray:
+    """Which pairs sizes and sketches leave possible; ``x`` and ``y`` are of one length, or one of them of length 1.
+
+    Similar sets of sizes a and b differ in at most ``(a + b) * (100 - percent) / (100 + percent)`` elements. Each
+    of them flips at most one bit of the fine sketch, so where that holds whole sets the bound is sure; where it
+    holds a sample, six standard deviations are added. Sketches of different levels are not compared.
+    """
+    p = spec.percent
+    ok = 100 * np.minimum(x.n, y.n) >= p * np.maximum(x.n, y.n)
+    ok &= np.bitwise_count(x.sketch ^ y.sketch).sum(1) <= spec.most_differing
+    share = 0.5 ** x.level.astype(float)
+    most = share * (x.n + y.n) * (100 - p) / (100 + p)
+    most = most + 6 * np.sqrt(most * (1 - share)) + 1e-9
+    i = np.flatnonzero(ok & (x.level == y.level))
+    one = lambda z: z.fine if len(z.fine) == 1 else z.fine[i]
+    if len(i):
+        ok[i] = np.bitwise_count(one(x) ^ one(y)).sum(1) <= np.broadcast_to(most, ok.shape)[i]
+    return ok
+
+
 def signatures(docs: DataFrame, spec: NearSpec) -> DataFrame:
-    """``doc_id, n_shingles, set_key, keys, sketch`` of ``docs`` (``doc_id, text``)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    """``doc_id, n_shingles, set_key, keys, sketch, level, fine`` of ``docs`` (``doc_id, text``)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary()), ("level", pa.int32()), ("fine", pa.binary())])
 
     def make():
         signer = Signer(spec)
@@ -103,22 +152,32 @@ def signatures(docs: DataFrame, spec: NearSpec) -> DataFrame:
         def row(key, text):
             s = shingle_set(text, spec.shingle)
             if not len(s):
-                return key, 0, None, None, None
+                return key, 0, None, None, None, None, None
             m = signer.samples(s)
-            return key, len(s), xxhash.xxh3_128_digest(s.tobytes()), signer.keys(m), signer.sketch(m)
+            return key, len(s), xxhash.xxh3_128_digest(s.tobytes()), signer.keys(m), signer.sketch(m), *signer.fine(s)
 
         return row
 
-    return docs.mapInArrow(per_row(schema, make), "doc_id long, n_shingles long, set_key binary, keys array<long>, sketch binary")
+    return docs.mapInArrow(per_row(schema, make), "doc_id long, n_shingles long, set_key binary, keys array<long>, sketch binary, level int, fine binary")
+
+
+_SKETCH = ["n", "sketch", "level", "fine"]
 
 
 def _near_enough(pairs: DataFrame, reps: DataFrame, spec: NearSpec) -> DataFrame:
-    """Of ``(a, b)``, those that size and odd sketches leave possible."""
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    words = [f"cast(conv(hex(substring(sketch_a, {i}, 4)), 16, 10) as bigint) ^ cast(conv(hex(substring(sketch_b, {i}, 4)), 16, 10) as bigint)" for i in range(1, spec.bits // 8, 4)]
-    differing = sum((F.bit_count(F.expr(w)) for w in words), F.lit(0))
-    sized = (100 * F.least("n_a", "n_b") >= spec.percent * F.greatest("n_a", "n_b"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").where(sized & (differing <= spec.most_differing)).select("a", "b")
+    """Of ``(a, b)``, those that sizes and sketches leave possible."""
+    side = lambda x: reps.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in _SKETCH))
+    cols = [f"{c}_{x}" for x in "ab" for c in _SKETCH]
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                c = [x.to_pylist() for x in batch.columns[2:]]
+                ok = pa.array(possible(Sketches.of(*c[:4]), Sketches.of(*c[4:]), spec))
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], schema=out)
+
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", *cols).mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, spec: NearSpec) -> DataFrame:
@@ -128,6 +187,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, spec: NearSpec) -> DataFrame:
     of ``a``'s text, so a large star is spread over many tasks. A task holds the set of one centre at a time.
     """
     pairs = stored(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     sizes = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree")), "degrees")
     groups = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / spec.group)))
     needs = groups.select(F.col("b").alias("doc_id"), "a", "part", F.lit(True).alias("member"))
@@ -157,7 +218,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, spec: NearSpec) -> DataFrame:
 def _across(members: DataFrame, spec: NearSpec) -> DataFrame:
     """Pairs between different components of a bucket that the sketches leave possible.
 
-    ``members``: ``key, id, comp, n, sketch`` of buckets with several components. The bucket's largest
+    ``members``: ``key, id, comp`` and the sketches of buckets with several components. The bucket's largest
     component is not compared with itself; the other members are queries against all members. Queries and
     members of a bucket are cut in blocks, every block of queries meets every block of members in a task of
     its own, and only pairs that pass leave it.
@@ -169,33 +230,28 @@ def _across(members: DataFrame, spec: NearSpec) -> DataFrame:
     nq, nm = F.ceil((F.col("all") - F.col("most")) / spec.block), F.ceil(F.col("all") / spec.block)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     place = lambda n: F.pmod(F.xxhash64("id"), n)
-    cols = ["key", "qb", "mb", "member", "id", "comp", "n", "sketch"]
+    cols = ["key", "qb", "mb", "member", "id", "comp", *_SKETCH]
     asked = m.where("comp <> main").withColumn("qb", place(nq)).withColumn("mb", upto(nm)).withColumn("member", F.lit(False)).select(*cols)
     there = m.withColumn("mb", place(nm)).withColumn("qb", upto(nq)).withColumn("member", F.lit(True)).select(*cols)
     ordered = asked.unionByName(there).repartition(F.col("key"), F.col("qb"), F.col("mb")).sortWithinPartitions("key", "qb", "mb", "member")
-    most, percent = spec.most_differing, spec.percent
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, comps, ns, bits = None, [], [], [], []
-        ready = None
+        at, ids, comps, rows, asked = None, [], [], [], None
         for batch in batches:
             found: list[np.ndarray] = []
-            for key, qb, mb, member, i, comp, n, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, qb, mb, member, i, comp, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, qb, mb) != at:
-                    at, ids, comps, ns, bits, ready = (key, qb, mb), [], [], [], [], None
-                word = np.frombuffer(sketch, np.uint64)
+                    at, ids, comps, rows, asked = (key, qb, mb), [], [], [], None
                 if not member:
-                    ids.append(i), comps.append(comp), ns.append(n), bits.append(word)
+                    ids.append(i), comps.append(comp), rows.append(own)
                     continue
                 if not ids:
                     continue
-                ready = ready or (np.array(ids), np.array(comps), np.array(ns), np.array(bits))
-                low, high = np.minimum(ready[2], n), np.maximum(ready[2], n)
-                ok = (ready[1] != comp) & (100 * low >= percent * high)
-                ok &= np.bitwise_count(ready[3] ^ word).sum(1) <= most
-                if ok.any():
-                    near = ready[0][ok]
+                asked = asked or (np.array(ids), np.array(comps), Sketches.of(*zip(*rows, strict=True)))
+                other = np.flatnonzero(asked[1] != comp)
+                near = asked[0][other[possible(asked[2].at(other), Sketches.of(*([x] for x in own)), spec)]]
+                if len(near):
                     found.append(np.stack([np.minimum(near, i), np.maximum(near, i)]))
             both = np.concatenate(found, 1) if found else np.empty((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], schema=out)
@@ -220,7 +276,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     signed = stored(signatures(docs, spec), "signatures")
     full = signed.where("set_key is not null and doc_id is not null")
-    reps = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "set-representatives")
+    reps = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), *(F.first(c).alias(c) for c in _SKETCH[1:])), "set-representatives")
     banded = reps.select("id", F.explode("keys").alias("key"))
     centres = stored(banded.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "centre"), "centres")
     buckets = stored(banded.join(centres.hint("merge"), "key"), "bucket-stars")
@@ -231,7 +287,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).select("key", "id", "comp")
     labelled = stored(labelled, "labelled")
     open_keys = stored(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "open-buckets")
-    members = labelled.join(open_keys, "key").join(reps.select("id", "n", "sketch"), "id")
+    members = labelled.join(open_keys, "key").join(reps.select("id", *_SKETCH), "id")
     more = _across(members, spec).join(first, ["a", "b"], "left_anti")
     further = confirmed(more, docs, spec)
     if not further.isEmpty():
