@@ -94,11 +94,20 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 
 def keep_rows(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; one row for each text."""
-    stay = deduplicate(docs, index, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest")).distinct()
+    """The rows of ``docs`` that stay, with all their columns; one row for each text.
+
+    The texts cross one exchange, a semi-join by id and digest. Only where rows repeat an id and its text does a
+    second one meet, of those rows alone.
+    """
+    kept = deduplicate(docs, index, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"))
+    stay = stored(kept.agg(F.count(F.lit(1)).alias("__rows")), "digests-kept")
     marked = docs.withColumn("__digest", F.unhex(F.sha2(without_white(F.col(text_col).cast("string")), 256)))
-    found = marked.join(stay, marked[id_col].cast("long").eqNullSafe(stay["__id"]) & (marked["__digest"] == stay["__digest"]), "left_semi")
-    return found.dropDuplicates([id_col, "__digest"]).drop("__digest")
+    same = lambda s: marked[id_col].cast("long").eqNullSafe(s["__id"]) & (marked["__digest"] == s["__digest"])
+    alone, again = stay.where("__rows = 1"), stay.where("__rows > 1")
+    found = marked.join(alone, same(alone), "left_semi")
+    if not again.isEmpty():
+        found = found.unionByName(marked.join(again, same(again), "left_semi").dropDuplicates([id_col, "__digest"]))
+    return found.drop("__digest")
 
 
 def new_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:

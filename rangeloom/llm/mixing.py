@@ -117,30 +117,32 @@ def packed(sizes: DataFrame, sources: DataFrame, spec: MixSpec = MixSpec()) -> D
     rows = sizes.join(own, sizes["source"].eqNullSafe(own["__source"])).drop("__source")
     chunks = max(256, -(-sizes.count() // spec.chunk_rows))
     rows = rows.withColumn("chunk", F.coalesce(F.pmod("doc_id", F.lit(chunks).cast("long")), F.lit(0).cast("long")))
-    order = Window.partitionBy("source_no", "chunk").orderBy("doc_id", "size")
+    tag = [c for c in sizes.columns if c == "tag"]
+    order = Window.partitionBy("source_no", "chunk").orderBy("doc_id", "size", *tag)
     rows = rows.withColumn("rn", F.row_number().over(order)).withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     totals = rows.groupBy("source_no", "chunk").agg(F.sum("size").alias("chunk_size"))
     ahead = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("source_no", "chunk", F.coalesce(F.sum("chunk_size").over(ahead), F.lit(0).cast("long")).alias("chunk_at"))
-    return rows.join(starts, ["source_no", "chunk"]).select("doc_id", "source_no", "size", "source_size", "target", "chunk", "rn", (F.col("chunk_at") + F.col("before")).alias("at"))
+    return rows.join(starts, ["source_no", "chunk"]).select("doc_id", *tag, "source_no", "size", "source_size", "target", "chunk", "rn", (F.col("chunk_at") + F.col("before")).alias("at"))
 
 
 def mix(sizes: DataFrame, spec: MixSpec = MixSpec()) -> tuple[DataFrame, DataFrame]:
-    """``(rows, pieces)`` of a mix of ``sizes`` (``doc_id, source, size``).
+    """``(rows, pieces)`` of a mix of ``sizes`` (``doc_id, source, size`` and, to tell rows of one doc_id apart, a ``tag``).
 
     ``rows``: :func:`packed`. ``pieces``: what each slot takes of each document: ``doc_id, source_no, chunk, rn,
     epoch, shard, shard_slot, word_start, n_words``, one row per slot and document with words in it; joined by
     source and block index, where a block has at most ``block`` documents and ``max_epochs + 1`` slots.
     """
     sizes = stored(sizes, "mix-sizes")
+    tag = [c for c in sizes.columns if c == "tag"]
     sources = stored(targets(sizes, spec), "mix-sources")
     rows = stored(packed(sizes, sources, spec), "mix-rows")
     spans = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"at div {spec.block}"), F.expr(f"(at + size - 1) div {spec.block}"))))
     first = F.greatest(F.col("block") * spec.block, F.col("at"))
     end = F.least((F.col("block") + 1) * spec.block, F.col("at") + F.col("size"))
-    spans = spans.select("doc_id", "source_no", "chunk", "rn", "block", (first - F.col("at")).alias("word_start"), (first - F.col("block") * spec.block).alias("from"), (end - F.col("block") * spec.block).alias("to"))
+    spans = spans.select("doc_id", *tag, "source_no", "chunk", "rn", "block", (first - F.col("at")).alias("word_start"), (first - F.col("block") * spec.block).alias("from"), (end - F.col("block") * spec.block).alias("to"))
     pieces = spans.join(slots(sources, spec).hint("merge"), ["source_no", "block"]).withColumn("n_words", F.least("to", "slot_words") - F.col("from")).where("n_words > 0")
-    return rows, pieces.select("doc_id", "source_no", "chunk", "rn", "epoch", "shard", "shard_slot", "word_start", "n_words")
+    return rows, pieces.select("doc_id", *tag, "source_no", "chunk", "rn", "epoch", "shard", "shard_slot", "word_start", "n_words")
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", spec: MixSpec = MixSpec()) -> DataFrame:
@@ -165,12 +167,20 @@ def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     is set to the new text's code points. Rows that repeat a doc_id, source and text count once; documents
     without words are in no block and so in no mix. ``docs`` has ``doc_id, text, source, n_chars``, others stay.
     """
-    marked = docs.withColumn("__hash", F.xxhash64("text", "source")).dropDuplicates(["doc_id", "__hash"])
-    marked = stored(marked.withColumn("__size", word_count(F.col("text"))).withColumn("__row", F.xxhash64("doc_id", "__hash")), "mix-documents")
-    sizes = marked.select(F.col("__row").alias("doc_id"), "source", F.col("__size").alias("size"))
+    marked = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__tag", F.xxhash64("text", "source"))
+    key = [F.col("doc_id").cast("long").alias("doc_id"), F.col("__tag").alias("tag")]
+    same = lambda s: marked["doc_id"].cast("long").eqNullSafe(s["__id"]) & (marked["__tag"] == s["tag"])
+    named = lambda df: df.withColumnRenamed("doc_id", "__id")
+    sizes = stored(marked.select(*key, "source", F.col("__size").alias("size")), "mix-words")
+    again = named(stored(sizes.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "mix-repeated"))
+    if not again.isEmpty():
+        sizes = sizes.dropDuplicates(["doc_id", "tag"])
+        repeated = marked.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "__tag"])
+        marked = marked.join(again, same(again), "left_anti").unionByName(repeated)
     _, pieces = mix(sizes, spec)
-    spans = pieces.groupBy("doc_id", "epoch").agg(F.sum("n_words").alias("__taken"), F.array_sort(F.collect_list(F.struct("word_start", "n_words"))).alias("__spans"))
-    joined = marked.join(spans.withColumnRenamed("doc_id", "__row"), "__row")
+    spans = pieces.groupBy("doc_id", "tag", "epoch").agg(F.sum("n_words").alias("__taken"), F.array_sort(F.collect_list(F.struct("word_start", "n_words"))).alias("__spans"))
+    spans = spans.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__of"), "__taken", "__spans")
+    joined = marked.join(spans, marked["doc_id"].cast("long").eqNullSafe(spans["__id"]) & (marked["__tag"] == spans["__of"]))
     words = F.split(F.regexp_replace(F.regexp_replace("text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+", " "), " ")
     part = F.transform("__spans", lambda s: F.array_join(F.slice(F.col("__words"), s["word_start"].cast("int") + 1, s["n_words"].cast("int")), " "))
     text = F.when(F.col("__taken") == F.col("__size"), F.col("text")).otherwise(F.array_join(part, " "))

@@ -113,3 +113,10 @@ def test_mixed_documents(spark, sf, empty):
 def test_no_python_in_plan(spark, sf):
     plan = mixing.op8_block_mix(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_repeated_rows_count_once(spark, odd):
+    docs = odd.where("doc_id in (4, 9, 12)").selectExpr("*", "1 AS tag", "2 AS epoch", "3 AS block")
+    out = mixing.mixed_documents(docs.unionByName(docs), MixSpec(block=64)).collect()
+    once = mixing.mixed_documents(docs.dropDuplicates(), MixSpec(block=64)).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == sorted((r.doc_id, r.text) for r in once)
