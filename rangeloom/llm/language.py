@@ -304,10 +304,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, spec: LanguageSpec) -> list[tuple[str, str]]:
-    """``(text, lang)`` of a bounded sample of the rows that may be learned from, drawn by a hash of the id."""
+    """``(text, lang)`` of a bounded sample of the rows that may be learned from, drawn by a hash of the id.
+
+    The first rows by hash are taken from each of 64 parts of a language and then from the language, so no task
+    ranks more than a part's rows.
+    """
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = usable.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= spec.per_language)
+    rows = usable.select("doc_id", "lang", F.pmod(F.hash("doc_id"), F.lit(64)).alias("part"))
+    first = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("rank") <= spec.per_language)
+    picked = first(first(rows, "lang", "part"), "lang")
     ids = [r[0] for r in picked.orderBy("rank", "lang").limit(spec.max_rows).collect()]
     rows = usable.where(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").dropDuplicates(["doc_id"]).collect()
     return [(r[1], r[2]) for r in sorted(rows, key=lambda r: r[0])]
