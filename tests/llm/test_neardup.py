@@ -126,3 +126,13 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 1 for i in range(1, 41)) and got[150] == got[200] == got[100] == 100
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_narrowed_loses_nothing(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(-500, 5000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    ids = spark.range(-500, 5000, 97).select(F.col("id").alias("doc_id"))
+    few = neardup.narrowed(docs, ids)
+    assert few.join(ids, "doc_id").count() == ids.count() and few.count() < ids.count() + 20
+    assert neardup.narrowed(docs, ids, 64).join(ids, "doc_id").count() == ids.count()
