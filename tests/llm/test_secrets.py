@@ -3,6 +3,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pytest
 from rangeloom.llm import secrets
 from rangeloom.llm.secrets import SecretSpec
 
@@ -83,3 +85,46 @@ def test_odd_rows(odd, odd_rows, empty):
     rows = secrets.find_secrets(odd).collect()
     assert len(rows) == len(odd_rows) and secrets.find_secrets(empty).collect() == []
     assert all([r.n_assign, r.n_access, r.n_hex, r.base_sha256] == list(brute(texts[r.doc_id])[:-1]) for r in rows)
+
+
+def test_rows_of_letters_score_as_single_strings():
+    r = random.Random(5)
+    spec = SecretSpec()
+    for letters in ("abcdef", "ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "etaoinETAOINabcxyzXYZ", "aaaaaaaab"):
+        for n in spec.lengths:
+            strings = ["".join(r.choice(letters) for _ in range(n)) for _ in range(60)] + [letters[0] * n]
+            counts = secrets.OrdinaryCounts(spec)
+            want = np.zeros_like(counts.counts)
+            for s in strings:
+                counts.add(s, [])
+                for k, size in enumerate(spec.lengths):
+                    for i in range(0, len(s) - size + 1, size):
+                        name, codes, of = secrets.encoding(s[i : i + size])
+                        want[secrets._NAMES.index(name), k, secrets._bin(secrets.randomness(codes, of), spec)] += 1
+            counts.flush()
+            assert (counts.counts == want).all()
+
+
+@pytest.mark.parametrize("middle", ["", "0123456789 | " * 400, "é" * 4000])
+def test_null_counts_all_of_a_text(spark, middle):
+    """Every string of a long text counts, wherever it stands; tested strings are not ordinary."""
+    r = random.Random(6)
+    key = "aB3" + base64.b64encode(r.randbytes(30)).decode()
+    half = " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(3000))
+    text = f"{half} {key} {middle} {half}"
+    spec = SecretSpec()
+    rows = secrets.scan(spark.createDataFrame([(1, text), (2, "short Words of some letters")], "doc_id long, text string").repartition(2), spec).collect()
+    assert sorted(x.doc_id for x in rows if x.base is not None) == [1, 2]
+    n = [0] * len(spec.lengths)
+    for x in rows:
+        for cell, k in x.ordinary or []:
+            n[cell // spec.bins % len(n)] += k
+    assert n == [30000 // size + (23 // size) for size in spec.lengths]
+
+
+def test_null_is_of_the_own_encoding():
+    spec = SecretSpec(lengths=(20,), bins=50, level=1e-4)
+    lower, mixed = {2 * 50 + 35: 5000}, {3 * 50 + 1: 5000}
+    last = secrets.last_bins(lower | mixed, {(2, 10): 5, (3, 10): 5}, spec, 4)
+    assert last[2] >= 10 > last[3]
+    assert secrets.last_bins(mixed, {(0, 10): 5}, spec, 4) == [-1] * 4
