@@ -19,7 +19,7 @@ class MixSpec:
     """``weights`` repeat over the sources in order; no source is taken more than ``max_epochs`` times.
 
     ``block``: words of a packed block; ``shard_slots``: slots of an output shard; ``chunk_rows``: rows of a
-    source's chunk, the unit of the prefix sums; ``seed`` shifts all permutations.
+    source's chunk, the unit of the prefix sums; ``seed`` shifts the block permutations and draws the shards.
     """
 
     weights: tuple[int, ...] = (5, 2, 1)
@@ -86,9 +86,9 @@ def slots(sources: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
 
     A source's slots run through whole epochs of its blocks and then through part of one; each epoch visits the
     blocks by a permutation of its own, the short last block comes last, and the last slot is cut to the words
-    that are left, so the words taken are the target's. The mix's slots are dealt to output shards by one more
-    permutation of all slots: a shard's counts by source are a multinomial draw under the condition that the
-    sources' totals are met. Slots are made in runs of 4096, so no task makes all slots of a hot source.
+    that are left, so the words taken are the target's. That permutation settles which blocks the part of an epoch
+    takes; where blocks stand is drawn: the mix's slots are dealt to output shards by :func:`drawn`. Slots are made in
+    runs of 4096, so no task makes all slots of a hot source.
     """
     run = 4096
     runs = sources.where("n_slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_slots - 1) div {run}"))))
@@ -101,10 +101,25 @@ def slots(sources: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     length = F.when(F.col("block") < full, F.lit(spec.block)).otherwise(F.col("source_size") - full * spec.block)
     last = (F.col("rest_slots") > 0) & (F.col("slot") == F.col("n_slots") - 1)
     s = s.withColumn("slot_words", F.when(last, F.col("rest") - (F.col("rest_slots") - 1) * spec.block).otherwise(length).cast("long"))
-    place = _permuted(F.col("slots_before") + F.col("slot"), F.col("all_slots"), F.lit(spec.seed * 32452843 + 49979687))
-    return s.select("source_no", "slot", "epoch", "block", "slot_words", place.alias("place")).select(
-        "source_no", "slot", "epoch", "block", "slot_words", F.expr(f"place div {spec.shard_slots}").alias("shard"), (F.col("place") % spec.shard_slots).alias("shard_slot")
-    )
+    s = drawn(s.select("source_no", "slot", "epoch", "block", "slot_words", "all_slots"), spec)
+    return s.select("source_no", "slot", "epoch", "block", "slot_words", F.expr(f"place div {spec.shard_slots}").alias("shard"), (F.col("place") % spec.shard_slots).alias("shard_slot"))
+
+
+def drawn(s: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
+    """Add ``place``, 0..all_slots - 1: the rank of each slot by a hash of seed, source and slot.
+
+    Ranks by a hash are a random order of all slots: a shard's counts by source are a multinomial draw under the
+    condition that the sources' totals are met, and each epoch of a source has a random order of its own. Slots
+    are ranked in groups by hash and moved up by the counts of the groups before, so no window holds all slots.
+    """
+    groups = F.greatest(F.lit(1024).cast("long"), F.expr(f"all_slots div {spec.chunk_rows}"))
+    s = s.withColumn("draw", F.xxhash64(F.lit(spec.seed).cast("long"), "source_no", "slot")).withColumn("group", F.pmod("draw", groups))
+    totals = s.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("group", F.coalesce(F.sum("n").over(ahead), F.lit(0).cast("long")).alias("group_at"))
+    ranked = s.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy("draw", "source_no", "slot")).cast("long") - 1)
+    # One row per group; the slots, whose size Spark cannot guess, are never the broadcast side.
+    return ranked.join(F.broadcast(starts), "group").withColumn("place", F.col("group_at") + F.col("rank")).drop("group", "draw", "rank", "group_at", "all_slots")
 
 
 def packed(sizes: DataFrame, sources: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:

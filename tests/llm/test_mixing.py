@@ -120,3 +120,24 @@ def test_repeated_rows_count_once(spark, odd):
     out = mixing.mixed_documents(docs.unionByName(docs), MixSpec(block=64)).collect()
     once = mixing.mixed_documents(docs.dropDuplicates(), MixSpec(block=64)).collect()
     assert sorted((r.doc_id, r.text) for r in out) == sorted((r.doc_id, r.text) for r in once)
+
+
+def test_shards_are_drawn(spark):
+    """Source counts by shard vary as a draw's do, where a stride by 1000003 is nearly the identity (100,000 slots)."""
+    sizes = spark.createDataFrame([(f"s{i}", 20000 * 512) for i in range(5)], "source string, size long")
+
+    def deal(seed):
+        spec = MixSpec(weights=(1,), seed=seed)
+        return sorted((r.source_no, r.slot, r.shard, r.shard_slot) for r in mixing.slots(mixing.targets(sizes, spec), spec).collect())
+
+    got = deal(0)
+    assert sorted(h * 2048 + i for _, _, h, i in got) == list(range(100000))
+    counts = defaultdict(int)
+    for source, _, shard, _ in got:
+        counts[source, shard] += 1
+    var = 2048 * 0.2 * 0.8 * (100000 - 2048) / (100000 - 1)
+    ratios = [(counts[s, h] - 2048 * 0.2) ** 2 / var for s in range(5) for h in range(100000 // 2048)]
+    assert 0.6 < sum(ratios) / len(ratios) < 1.5
+    places = [h * 2048 + i for _, _, h, i in got]
+    assert 0.48 < sum(a < b for a, b in zip(places, places[1:])) / len(places) < 0.52
+    assert deal(0) == got != deal(1)
