@@ -11,7 +11,7 @@ from rangeloom.operators import coded, jobspec, phaselog, records, transfer, tun
 from rangeloom.shared import new_path, stored
 from rangeloom.sources.fixed import read_records, write_records
 from rangeloom.sources.text import read_jobs
-from rangeloom.streaming.controller import tune_stream
+from rangeloom.streaming.controller import in_time_order, tune_stream
 
 K, R, S = T.NODES, T.REPLICATION, T.SAMPLES
 
@@ -196,11 +196,9 @@ def assign_r(spark, d):
 
 def tune_stream_files(spark, d):
     """The streaming controller over the events as a file stream, run until all are taken."""
-    order = F.unix_micros(F.col("ts").cast("timestamp")) * 100 + F.col("id") % 100
-    source = stored(T.outcomes(spark, d).select("key", order.alias("order"), "cost"), "outcomes-stream")
-    path = source.inputFiles()[0].rpartition("/")[0]
-    stream = spark.readStream.schema(source.schema).parquet(path)
+    jobs = T.outcomes(spark, d).select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("order"), F.col("id").alias("tie"), "cost")
     out = new_path(spark, "tuned")
+    stream = in_time_order(stored(jobs, "outcomes"), new_path(spark, "outcomes-stream"))
     query = tune_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "tuned-state")).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema("key long, seq long, cycle int, slot int, r_used int").parquet(out).select("key", "seq", "cycle", "slot", "r_used")

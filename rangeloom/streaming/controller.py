@@ -4,29 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from rangeloom.operators.records import with_row_index
+
 _OUT = "key long, seq long, cycle int, slot int, r_used int"
-_STATE = "seq long, last long, r int, a1 double, b1 double, a2 double"
+_COLUMNS = ["key", "seq", "cycle", "slot", "r_used"]
+#: Rows of a part of the output.
+_PART = 100_000
+_STATE = "seq long, last long, last_tie long, r int, a1 double, b1 double, a2 double"
 
 
 def tune_stream(jobs: DataFrame, r0: int = 1, max_r: int = 5, interval: int = 10) -> DataFrame:
-    """``key, seq, cycle, slot, r_used`` for a stream of finished jobs (``key, order, cost``).
+    """``key, seq, cycle, slot, r_used`` for a stream of finished jobs (``key, order, cost`` and, optionally, ``tie``).
 
-    The state of a key is its job count, the last ``order`` seen, r and the open cycle's trial costs. Jobs of a
-    micro-batch are taken by ``order``; those at or below the last one seen are duplicates or late and are
-    dropped. The result equals the batch operators' on the same jobs.
+    Jobs of a key are told apart and taken by (``order``, ``tie``); without a ``tie`` it is 0. The state of a key is
+    its job count, the last pair seen, r and the open cycle's trial costs. Those at or below the last pair seen
+    are duplicates or late and are dropped. Spark hands a key's jobs of a micro-batch over in Arrow batches, in no
+    order, so their pairs and costs are kept as three packed columns until the last has come: memory of a task
+    grows with a key's jobs in one micro-batch, which the stream's source bounds; results leave in parts of bounded
+    size. The result equals the batch operators' on the same jobs.
     """
+    jobs = jobs.select("key", "order", ("tie" if "tie" in jobs.columns else F.lit(0)), "cost")
+    jobs = jobs.toDF("key", "order", "tie", "cost").withColumn("tie", F.col("tie").cast("long"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, last, r, *trials = state.get if state.exists else (0, None, r0, None, None, None)
-        rows = pd.concat(list(batches)).sort_values("order").drop_duplicates("order")
+        seq, last, tie, r, *trials = state.get if state.exists else (0, None, None, r0, None, None, None)
+        parts = []
+        for x in batches:
+            at, of = x["order"].to_numpy(), x["tie"].to_numpy()
+            new = np.ones(len(x), bool) if last is None else (at > last) | ((at == last) & (of > tie))
+            parts.append((at[new], of[new], x["cost"].to_numpy()[new]))
+        at, of, costs = (np.concatenate(c) for c in zip(*parts, strict=True))
         out = []
-        for order, cost in zip(rows["order"].tolist(), rows["cost"].tolist(), strict=True):
-            if last is not None and order <= last:
+        for i in np.lexsort((of, at)):
+            pair = int(at[i]), int(of[i])
+            if pair == (last, tie):
                 continue
+            cost = float(costs[i])
             cycle, slot = divmod(seq, interval + 4)
             used = r if slot < interval else min(max_r, r + 1) if (slot - interval) % 2 == 0 else max(1, r - 1)
             out.append((key[0], seq, cycle, slot, used))
@@ -36,8 +55,33 @@ def tune_stream(jobs: DataFrame, r0: int = 1, max_r: int = 5, interval: int = 10
                 a1, b1, a2 = trials
                 r = min(max_r, max(1, r + (1 if a1 < b1 and a2 < cost else -1 if b1 < a1 and cost < a2 else 0)))
                 trials = [None, None, None]
-            seq, last = seq + 1, order
-        state.update((seq, last, r, *trials))
-        yield pd.DataFrame(out, columns=["key", "seq", "cycle", "slot", "r_used"])
+            seq, (last, tie) = seq + 1, pair
+            if len(out) == _PART:
+                yield pd.DataFrame(out, columns=_COLUMNS)
+                out = []
+        state.update((seq, last, tie, r, *trials))
+        yield pd.DataFrame(out, columns=_COLUMNS)
 
     return jobs.groupBy("key").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def in_time_order(jobs: DataFrame, path: str, rows: int = 1_000_000) -> DataFrame:
+    """``jobs`` (``key, order, tie, cost``) as a stream of one file of at most ``rows`` rows a micro-batch, in order.
+
+    A file stream takes files by modification time, so they are written below ``path`` one after the other; where the
+    file system's times don't tell them apart that is an error, as later batches would drop rows as late.
+    """
+    spark = jobs.sparkSession
+    parts = f"{path}-parts"
+    numbered = with_row_index(jobs, ["order", "tie", "key", "cost"]).withColumn("part", F.expr(f"idx div {rows}")).drop("idx")
+    numbered.repartition("part").write.partitionBy("part").parquet(parts)
+    n = -(-jobs.count() // rows)
+    of = spark.read.schema(numbered.schema).parquet(parts)
+    jobs.limit(0).write.parquet(path)
+    for i in range(n):
+        of.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").option("maxRecordsPerFile", 0).parquet(path)
+    files = spark.read.schema(jobs.schema).parquet(path).select("order", "tie", F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"))
+    spans = files.groupBy("file", "time").agg(F.min(F.struct("order", "tie")).alias("first"), F.max(F.struct("order", "tie")).alias("last")).orderBy("first", "last").collect()
+    if any(a["time"] >= b["time"] for a, b in zip(spans, spans[1:])):
+        raise ValueError(f"the files below {path} are not in the order of their modification times")
+    return spark.readStream.schema(jobs.schema).option("maxFilesPerTrigger", 1).parquet(path)
