@@ -135,10 +135,12 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
 
 @dataclass(frozen=True)
 class WarcSpec:
-    """``least``: bytes from which equal payloads are written once; ``file_records``: records of an archive file."""
+    """``least``: bytes from which equal payloads are written once; ``file_records`` and ``file_bytes``: most records and
+    bytes of an archive file; only a record that is longer by itself makes a longer file."""
 
     least: int = 1000
     file_records: int = 2000
+    file_bytes: int = 64_000_000
     level: int = 6
 
 
@@ -153,32 +155,40 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     marked = named.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
     keys = marked.where(F.col("bytes") >= spec.least).select("page_id", "digest", "bytes")
     last = stored(keys.groupBy("digest", "bytes").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "warc-revisited")
-    old = stored(keys.join(last.hint("merge"), ["digest", "bytes"]).where("page_id < last").select("page_id", F.col("last").alias("refers_to")).distinct(), "warc-revisits")
-    joined = marked.join(old, "page_id", "left")
+    old = stored(keys.join(last.hint("merge"), ["digest", "bytes"]).where("page_id < last").select("page_id", "digest", "bytes", F.col("last").alias("refers_to")).distinct(), "warc-revisits")
+    joined = marked.join(old, ["page_id", "digest", "bytes"], "left")
     return joined.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "bytes", "digest", "refers_to")
 
 
 def write_archives(plan: DataFrame, path: str, spec: WarcSpec = WarcSpec()) -> None:
-    """Write a record per row of ``plan`` as gzip members to files of ``file_records`` records below ``path``.
+    """Write a record per row of ``plan`` as gzip members to files of bounded records and bytes below ``path``.
 
     Members are made in Python tasks; the files are written by Spark's text writer, which commits them whole and
     works on any file system Spark has. It ends each row with a byte 0: the one that ends every member.
+    A task deals its members to folders ``part=0``, 1... by their running bytes.
     """
 
     def make() -> Callable:
+        part = held = 0
+
         def row(page_id, url, payload, size, digest, refers_to):
+            nonlocal part, held
             key = "" if page_id is None else str(page_id)
             fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{key}>"), ("WARC-Target-URI", re.sub(r"[\x00-\x08\x0a-\x1f\x7f]", " ", url or "")), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(size))]
             if refers_to is not None:
                 fields += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", _PROFILE)]
             payload = payload or b""
             fields.append(("WARC-Block-Digest", f"sha1:{hashlib.sha1(payload).hexdigest()}"))
-            return (member(record_bytes(fields, payload), spec.level)[:-1],)
+            data = member(record_bytes(fields, payload), spec.level)
+            if held and held + len(data) > spec.file_bytes:
+                part, held = part + 1, 0
+            held += len(data)
+            return data[:-1], part
 
         return row
 
-    members = plan.mapInArrow(per_row(pa.schema([("value", pa.binary())]), make), "value binary")
-    members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", spec.file_records).text(path)
+    members = plan.mapInArrow(per_row(pa.schema([("value", pa.binary()), ("part", pa.int32())]), make), "value binary, part int")
+    members.select(F.col("value").cast("string"), "part").write.partitionBy("part").option("lineSep", "\0").option("maxRecordsPerFile", spec.file_records).text(path)
 
 
 _READ = "file string, kind string, offset long, size long, reason string, headers map<string,string>, payload binary"

@@ -1,4 +1,6 @@
 import gzip
+import hashlib
+import os
 import random
 
 import pytest
@@ -101,3 +103,24 @@ def test_members_are_gzip(spark, sf):
     files = [open(f, "rb").read() for f in glob.glob(f"{path}/part-*")]
     assert all(gzip.decompress(f).startswith(b"WARC/1.1\r\n") for f in files if f)
     assert warc.member(b"x" * (1 << 24))[-1] == 0 and len(gzip.decompress(warc.member(b"x" * (1 << 24)))) == 1 << 24
+
+
+def test_repeated_page_ids_keep_their_own_payloads(spark, tmp_path):
+    """A page_id that is repeated with another html: only the html that a larger page_id shares is a revisit."""
+    a, b, c = "a" * 1500, "b" * 1500, "c" * 1500
+    pages = spark.createDataFrame([(1, "u", a), (1, "u", b), (1, "u", c), (2, "u", a), (3, "u", b)], "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_round_trip(pages, str(tmp_path / "w")).collect()), key=repr)
+    sha = lambda x: hashlib.sha1(x.encode()).hexdigest()
+    want = [(1, sha(a), "revisit", 2), (1, sha(b), "revisit", 3), (1, sha(c), "response", None), (2, sha(a), "response", None), (3, sha(b), "response", None)]
+    assert got == sorted(want, key=repr)
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    """Long pages make more files, none above the bytes; a page that is longer by itself has a file of its own."""
+    rows = [(i, "u", os.urandom(30000 if i == 3 else 2000).hex()) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "w")
+    got = warc.archive_round_trip(pages, path, warc.WarcSpec(file_bytes=10000)).collect()
+    assert sorted((r.page_id, r.payload_digest) for r in got) == [(i, hashlib.sha1(x.encode()).hexdigest()) for i, _, x in rows]
+    sizes = sorted(os.path.getsize(f"{at}/{f}") for at, _, names in os.walk(path) for f in names if f.startswith("part-"))
+    assert len(sizes) > 3 and sizes[-2] <= 10000 < sizes[-1]
