@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +24,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def hashed(words: Iterable[bytes], n: int) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the finalizer of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -35,11 +31,84 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_rng = np.random.default_rng(20240229)
+_BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
+_FACTOR = int(_rng.integers(0, 2**62)) * 4 + 3
+_SOLID = np.array([chr(i) not in WHITE for i in range(256)])
+_CHUNK = 1 << 16
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    x = np.full(n, base, np.uint64)
+    x[0] = 1
+    return np.multiply.accumulate(x)
+
+
+_UP, _DOWN = _powers(_FACTOR, _CHUNK), _powers(pow(_FACTOR, -1, 2**64), _CHUNK)
+
+
+def _chunk_hashes(b: np.ndarray) -> np.ndarray:
+    solid = np.zeros(len(b) + 2, np.int8)
+    solid[1:-1] = _SOLID[b]
+    change = np.flatnonzero(solid[1:] != solid[:-1])
+    start, end = change[::2], change[1::2]
+    whole = len(b) <= _CHUNK
+    up, down = (_UP, _DOWN) if whole else (_powers(_FACTOR, len(b)), _powers(pow(_FACTOR, -1, 2**64), len(b)))
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTE[b] * up[: len(b)], out=total[1:])
+    size = (end - start).astype(np.uint64)
+    out = mixed((total[end] - total[start]) * down[start] + size * _LENGTH)
+    for i in np.flatnonzero(size > 64):
+        out[i] = xxhash.xxh3_64_intdigest(b[start[i] : end[i]].tobytes())
+    return out
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text in UTF-8, words as in :func:`words_of`.
+
+    A word of up to 64 bytes is a polynomial in an odd number modulo 2**64, scrambled: all words of a chunk come
+    from one running sum over its bytes. Longer words have a hash of their own. Chunks end at white space, so an array
+    holds 64 KiB of text or one longer word.
+    """
+    data, n, at, parts = np.frombuffer(raw, np.uint8), len(raw), 0, []
+    while at < n:
+        end = min(at + _CHUNK, n)
+        if end < n and _SOLID[data[end]]:
+            back = np.flatnonzero(~_SOLID[data[at:end]])
+            while len(back) == 0 and end < n:
+                step = np.flatnonzero(~_SOLID[data[end : end + _CHUNK]])
+                end = end + int(step[0]) if len(step) else min(end + _CHUNK, n)
+                if len(step):
+                    break
+            if len(back):
+                end = at + int(back[-1]) + 1
+        parts.append(_chunk_hashes(data[at:end]))
+        at = end
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+_FACTORS = _rng.integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def combined(h: np.ndarray, step: int, count: int) -> np.ndarray:
+    """Hash of each ``count`` (at most 8) values that stand ``step`` apart: their sum by fixed odd factors, scrambled."""
+    n = len(h) - step * (count - 1)
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    out = h[:n] * _FACTORS[0]
+    for i in range(1, count):
+        out += h[i * step : i * step + n] * _FACTORS[i]
+    return mixed(out)
+
+
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of ``size`` consecutive values, by doubling: runs of 1, 2, 4... are joined to the size."""
+    """Hash of each run of ``size`` consecutive values; runs longer than 8 are joined from runs of 1, 2, 4..."""
     n = len(h) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
+    if size <= len(_FACTORS):
+        return combined(h, 1, size)
     out, done, power, width = None, 0, h, 1
     rest = size
     while rest:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeloom.llm._text import documents, hashed, mixed, per_row, window_hashes
+from rangeloom.llm._text import documents, mixed, per_row, window_hashes, word_hashes
 from rangeloom.llm.components import components
 from rangeloom.shared import stored
 
@@ -53,11 +53,10 @@ class NearSpec:
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; a shorter text is one shingle, one without words none."""
-    words = text.encode().lower().split() if text else []
-    n = len(words)
+    h = word_hashes(text.encode().lower()) if text else np.empty(0, np.uint64)
+    n = len(h)
     if not n:
-        return np.empty(0, np.uint64)
-    h = hashed(words, n)
+        return h
     if n < size:
         return mixed(window_hashes(h, n) + np.uint64(n) * np.uint64(0xD6E8FEB86659FD93))
     return np.unique(window_hashes(h, size))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from rangeloom.llm._text import WHITE, covered, documents, hashed, per_row, window_hashes, words_of
+from rangeloom.llm._text import WHITE, covered, documents, per_row, window_hashes, word_hashes
 
 _SYMBOLS = b"#*$%&|<>"
 
@@ -60,8 +60,8 @@ def measurer(bands: Bands = Bands()) -> Callable[[str | None], Measures]:
     def measure(text: str | None) -> Measures:
         text = text or ""
         raw = text.encode()
-        words = raw.split()
-        n = len(words)
+        h = word_hashes(raw)
+        n = len(h)
         seen: set[str] = set()
         dup_lines = 0
         for line in text.split("\n"):
@@ -70,7 +70,7 @@ def measurer(bands: Bands = Bands()) -> Callable[[str | None], Measures]:
                 seen.add(line)
         repeat = 0
         if n > 8:
-            w = window_hashes(hashed(words, n), 8)
+            w = window_hashes(h, 8)
             _, back, count = np.unique(w, return_inverse=True, return_counts=True)
             if len(count) < len(w):
                 repeat = int(covered(np.flatnonzero(count[back] > 1), 8, n).sum())
