@@ -10,16 +10,13 @@ from pyspark.sql import functions as F
 from rangeloom.llm._text import documents
 from rangeloom.shared import stored
 
-#: Multipliers of the index permutations: primes, so that for any number of blocks one of them has no common factor with it.
-_PRIMES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099)
-
-
 @dataclass(frozen=True)
 class MixSpec:
     """``weights`` repeat over the sources in order; no source is taken more than ``max_epochs`` times.
 
     ``block``: words of a packed block; ``shard_slots``: slots of an output shard; ``chunk_rows``: rows of a
-    source's chunk, the unit of the prefix sums; ``seed`` shifts the block permutations and draws the shards.
+    source's chunk, the unit of the prefix sums; ``seed`` draws the shards and the block permutations, which have
+    ``rounds`` rounds.
     """
 
     weights: tuple[int, ...] = (5, 2, 1)
@@ -28,6 +25,7 @@ class MixSpec:
     shard_slots: int = 2048
     chunk_rows: int = 100_000
     seed: int = 0
+    rounds: int = 24
 
 
 def word_count(text: Column) -> Column:
@@ -35,12 +33,23 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _permuted(i: Column, n: Column, shift: Column) -> Column:
-    """``i`` of 0..n-1 to another index, one to one: ``(prime * i + shift) mod n``."""
-    prime = F.lit(_PRIMES[-1])
-    for p in reversed(_PRIMES[:-1]):
-        prime = F.when(n % F.lit(p) != 0, F.lit(p)).otherwise(prime)
-    return (prime.cast("long") * i + shift) % n
+def hashed(digits: int, *of: Column) -> Column:
+    """The first ``digits`` (at most 15) hex digits of the MD5 of the values, as a number."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(c.cast("string") for c in of)).cast("binary")), 1, digits), 16, 10).cast("long")
+
+
+def permuted(i: Column, n: Column, key: Column, rounds: int) -> Column:
+    """``i`` of 0..n-1 to another index, one to one, by a swap-or-not shuffle.
+
+    In each round an index and its mirror image ``(k - i) mod n`` change places or don't, by a hashed bit that both agree
+    on, so each round is a permutation of any ``n``; ``k`` and the bits follow from ``key`` and the round.
+    """
+
+    def swap(x: Column, r: Column) -> Column:
+        mirror = F.pmod(hashed(12, key, r, F.lit("k")) - x, n)
+        return F.when(hashed(1, key, r, F.greatest(x, mirror)) >= 8, mirror).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), i, swap)
 
 
 def targets(sizes: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
@@ -81,57 +90,68 @@ def targets(sizes: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     )
 
 
-def slots(sources: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
-    """Every slot of the mix: ``source_no, slot, epoch, block, slot_words, shard, shard_slot``.
+def drawn(sources: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
+    """``shard, source_no, n``: how many slots of each output shard a source gets.
 
-    A source's slots run through whole epochs of its blocks and then through part of one; each epoch visits the
-    blocks by a permutation of its own, the short last block comes last, and the last slot is cut to the words
-    that are left, so the words taken are the target's. That permutation settles which blocks the part of an epoch
-    takes; where blocks stand is drawn: the mix's slots are dealt to output shards by :func:`drawn`. Slots are made in
-    runs of 4096, so no task makes all slots of a hot source.
+    All slots of the mix, each source's number of them, are put in a random order by a hash of seed, source and slot,
+    and dealt to shards of ``shard_slots``: a multinomial draw under the condition that the sources' totals are
+    met. Slots are made in runs of 4096, so no task makes all slots of a hot source, and are ranked in groups by hash,
+    moved up by the counts of the groups before, so no window holds all slots.
     """
     run = 4096
     runs = sources.where("n_slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_slots - 1) div {run}"))))
     s = runs.repartition("source_no", "run").withColumn("slot", F.explode(F.sequence(F.col("run") * run, F.least(F.col("run") * run + (run - 1), F.col("n_slots") - 1))))
-    epoch, i = F.expr("slot div n_blocks"), F.col("slot") % F.col("n_blocks")
-    full = F.col("n_blocks") - 1
-    shift = F.col("source_no") * 7919 + F.expr("slot div n_blocks") * 104729 + F.lit(spec.seed * 15485863)
-    block = F.when(i < full, _permuted(i, F.greatest(full, F.lit(1)), shift)).otherwise(full)
-    s = s.withColumn("epoch", epoch).withColumn("block", block)
-    length = F.when(F.col("block") < full, F.lit(spec.block)).otherwise(F.col("source_size") - full * spec.block)
-    last = (F.col("rest_slots") > 0) & (F.col("slot") == F.col("n_slots") - 1)
-    s = s.withColumn("slot_words", F.when(last, F.col("rest") - (F.col("rest_slots") - 1) * spec.block).otherwise(length).cast("long"))
-    s = drawn(s.select("source_no", "slot", "epoch", "block", "slot_words", "all_slots"), spec)
-    return s.select("source_no", "slot", "epoch", "block", "slot_words", F.expr(f"place div {spec.shard_slots}").alias("shard"), (F.col("place") % spec.shard_slots).alias("shard_slot"))
-
-
-def drawn(s: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
-    """Add ``place``, 0..all_slots - 1: the rank of each slot by a hash of seed, source and slot.
-
-    Ranks by a hash are a random order of all slots: a shard's counts by source are a multinomial draw under the
-    condition that the sources' totals are met, and each epoch of a source has a random order of its own. Slots
-    are ranked in groups by hash and moved up by the counts of the groups before, so no window holds all slots.
-    """
     groups = F.greatest(F.lit(1024).cast("long"), F.expr(f"all_slots div {spec.chunk_rows}"))
-    s = s.withColumn("draw", F.xxhash64(F.lit(spec.seed).cast("long"), "source_no", "slot")).withColumn("group", F.pmod("draw", groups))
+    s = s.select("source_no", "slot", hashed(15, F.lit(spec.seed), F.col("source_no"), F.col("slot")).alias("draw"), groups.alias("groups"))
+    s = s.withColumn("group", F.col("draw") % F.col("groups"))
     totals = s.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per group of 100,000 slots of 512 words.
     starts = totals.select("group", F.coalesce(F.sum("n").over(ahead), F.lit(0).cast("long")).alias("group_at"))
-    ranked = s.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy("draw", "source_no", "slot")).cast("long") - 1)
-    # One row per group; the slots, whose size Spark cannot guess, are never the broadcast side.
-    return ranked.join(F.broadcast(starts), "group").withColumn("place", F.col("group_at") + F.col("rank")).drop("group", "draw", "rank", "group_at", "all_slots")
+    rank = F.row_number().over(Window.partitionBy("group").orderBy("draw", "source_no", "slot")).cast("long") - 1
+    ranked = s.withColumn("rank", rank).join(starts.hint("merge"), "group").withColumn("place", F.col("group_at") + F.col("rank"))
+    return ranked.groupBy(F.expr(f"place div {spec.shard_slots}").alias("shard"), "source_no").agg(F.count(F.lit(1)).alias("n"))
+
+
+def slots(sources: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
+    """Every slot of the mix: ``source_no, slot, epoch, block, slot_words, shard, shard_slot``.
+
+    A source's slots go on from shard to shard by the counts that were drawn, through whole epochs of its blocks and
+    then through part of one. Each epoch visits the blocks by a pseudorandom permutation of its own; the short last block
+    comes last, and the last slot is cut to the words that are left, so the words taken are the target's. Within a
+    shard the slots are in a hashed order.
+    """
+    counts = stored(drawn(sources, spec), "mix-shards")
+    # Slots before a shard: first within 4096 shards, then those before them.
+    part = F.expr("shard div 4096").alias("part")
+    ahead = Window.partitionBy("source_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("source_no", part).agg(F.sum("n").alias("m")).select("source_no", "part", F.coalesce(F.sum("m").over(ahead), F.lit(0).cast("long")).alias("part_at"))
+    within = Window.partitionBy("source_no", "part").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    at = counts.select("*", part).withColumn("first", F.sum("n").over(within) - F.col("n")).join(parts, ["source_no", "part"])
+    s = at.withColumn("first", F.col("part_at") + F.col("first")).withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+    s = s.select("source_no", "shard", "slot").join(sources.select("source_no", "n_blocks", "source_size", "rest_slots", "n_slots", "rest"), "source_no")
+    i, full = F.col("slot") % F.col("n_blocks"), F.col("n_blocks") - 1
+    s = s.withColumn("epoch", F.expr("slot div n_blocks"))
+    key = F.concat_ws(":", F.lit(str(spec.seed)), F.col("source_no").cast("string"), F.col("epoch").cast("string"))
+    s = s.withColumn("block", F.when(i < full, permuted(i, F.greatest(full, F.lit(1).cast("long")), key, spec.rounds)).otherwise(full))
+    length = F.when(F.col("block") < full, F.lit(spec.block)).otherwise(F.col("source_size") - full * spec.block)
+    last = (F.col("rest_slots") > 0) & (F.col("slot") == F.col("n_slots") - 1)
+    s = s.withColumn("slot_words", F.when(last, F.col("rest") - (F.col("rest_slots") - 1) * spec.block).otherwise(length).cast("long"))
+    order = Window.partitionBy("shard").orderBy(hashed(15, F.lit(spec.seed), F.col("shard"), F.col("source_no"), F.col("slot")), "source_no", "slot")
+    s = s.withColumn("shard_slot", F.row_number().over(order).cast("long") - 1)
+    return s.select("source_no", "slot", "epoch", "block", "slot_words", "shard", "shard_slot")
 
 
 def packed(sizes: DataFrame, sources: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     """``sizes`` (``doc_id, source, size``) with each row's place in its source: ``source_no, source_size, target, chunk, rn, at``.
 
     The running word count of a source is made in two steps, so no window holds a source: within chunks of
-    about ``chunk_rows`` rows (by doc_id modulo the number of chunks), then over the chunks' totals.
+    about ``chunk_rows`` rows (by a hash of doc_id and size), then over the chunks' totals.
     """
     own = sources.select(F.col("source").alias("__source"), "source_no", "source_size", "target")
     rows = sizes.join(own, sizes["source"].eqNullSafe(own["__source"])).drop("__source")
     chunks = max(256, -(-sizes.count() // spec.chunk_rows))
-    rows = rows.withColumn("chunk", F.coalesce(F.pmod("doc_id", F.lit(chunks).cast("long")), F.lit(0).cast("long")))
+    rows = rows.withColumn("chunk", hashed(12, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size")) % F.lit(chunks).cast("long"))
     tag = [c for c in sizes.columns if c == "tag"]
     order = Window.partitionBy("source_no", "chunk").orderBy("doc_id", "size", *tag)
     rows = rows.withColumn("rn", F.row_number().over(order)).withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
@@ -208,7 +228,7 @@ def op8_block_mix(spark, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 r AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS source_no FROM d GROUP BY source),
@@ -229,19 +249,23 @@ e AS (
 n AS (SELECT *, (rest + 511) // 512 AS rest_slots FROM e),
 i AS (
   SELECT *, unnest(range(0, rest_slots)) AS i FROM n WHERE rest_slots > 0),
+x AS (
+  SELECT source_no, epochs, n_blocks, i, i AS cur, 1 AS turn FROM i WHERE i < n_blocks - 1
+  UNION ALL
+  SELECT source_no, epochs, n_blocks, i,
+         CASE WHEN substr(md5('0:' || source_no || ':' || epochs || ':' || turn || ':' || greatest(cur, mirror)), 1, 1) >= '8' THEN mirror ELSE cur END, turn + 1
+  FROM (SELECT *, ((CAST('0x' || substr(md5('0:' || source_no || ':' || epochs || ':' || turn || ':k'), 1, 12) AS BIGINT) - cur) % (n_blocks - 1) + n_blocks - 1) % (n_blocks - 1) AS mirror FROM x)
+  WHERE turn <= 24),
 b AS (
-  SELECT source_no,
-         CASE WHEN i < n_blocks - 1
-              THEN ((CASE WHEN (n_blocks - 1) % 1000003 <> 0 THEN 1000003 ELSE 1000033 END) * i + source_no * 7919 + epochs * 104729) % (n_blocks - 1)
-              ELSE n_blocks - 1 END AS block,
-         CASE WHEN i = rest_slots - 1 THEN rest - i * 512
-              WHEN i < n_blocks - 1 THEN 512
-              ELSE source_size - (n_blocks - 1) * 512 END AS slot_words
-  FROM i),
+  SELECT i.source_no, coalesce(x.cur, i.n_blocks - 1) AS block,
+         CASE WHEN i.i = i.rest_slots - 1 THEN i.rest - i.i * 512
+              WHEN i.i < i.n_blocks - 1 THEN 512
+              ELSE i.source_size - (i.n_blocks - 1) * 512 END AS slot_words
+  FROM i LEFT JOIN x ON x.source_no = i.source_no AND x.i = i.i AND x.turn = 25),
 k AS (SELECT greatest(256, (count(*) + 99999) // 100000) AS chunks FROM d),
 o AS (
   SELECT d.doc_id, d.size, n.source_no, n.source_size, n.target, n.epochs,
-         CAST(sum(d.size) OVER (PARTITION BY n.source_no ORDER BY coalesce(((d.doc_id % chunks) + chunks) % chunks, 0), d.doc_id, d.size
+         CAST(sum(d.size) OVER (PARTITION BY n.source_no ORDER BY CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || d.size), 1, 12) AS BIGINT) % chunks, d.doc_id NULLS FIRST, d.size
               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - d.size AS beg
   FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source CROSS JOIN k),
 p AS (

@@ -1,5 +1,6 @@
+import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -60,13 +61,29 @@ def test_sources_by_code_point_null_last(spark):
     assert [r.source for r in mixing.targets(df).orderBy("source_no").collect()] == ["B", "b", "é", None]
 
 
-def test_permutation(spark):
+def swap_or_not(i, n, key, rounds=24):
+    for r in range(1, rounds + 1):
+        mirror = (int(hashlib.md5(f"{key}:{r}:k".encode()).hexdigest()[:12], 16) - i) % n
+        if int(hashlib.md5(f"{key}:{r}:{max(i, mirror)}".encode()).hexdigest()[0], 16) >= 8:
+            i = mirror
+    return i
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1000, 166667, 333334, 1000003])
+def test_permutation(spark, n):
+    """One to one, equal to a plain version, and without a stride, whatever the number of blocks."""
     from pyspark.sql import functions as F
 
-    for n in (1, 2, 7, 1000, 1000003, 2000006):
-        k = min(n, 2000)
-        got = spark.range(k).select(mixing._permuted(F.col("id"), F.lit(n).cast("long"), F.lit(12345).cast("long")).alias("p")).distinct()
-        assert got.count() == k and got.where(f"p < 0 or p >= {n}").isEmpty()
+    k = min(n, 20000)
+    got = [r.p for r in spark.range(k).select("id", mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("0:1:2"), 24).alias("p")).orderBy("id").collect()]
+    assert len(set(got)) == k and 0 <= min(got) and max(got) < n
+    assert got[:50] == [swap_or_not(i, n, "0:1:2") for i in range(min(k, 50))]
+    if k > 500:
+        steps = [(b - a) % n for a, b in zip(got, got[1:])]
+        assert len(set(steps)) > 0.6 * min(k, n) and 0.45 < sum(x < y for x, y in zip(got, got[1:])) / k < 0.55
+        # Chi-squared of the tenths of the range over the tenths of the places.
+        cells = Counter((10 * i // k, 10 * p // n) for i, p in enumerate(got))
+        assert sum((cells[i, j] - k / 100) ** 2 / (k / 100) for i in range(10) for j in range(10)) < 180
 
 
 def test_pieces_fill_slots(spark, sf):
@@ -123,7 +140,7 @@ def test_repeated_rows_count_once(spark, odd):
 
 
 def test_shards_are_drawn(spark):
-    """Source counts by shard vary as a draw's do, where a stride by 1000003 is nearly the identity (100,000 slots)."""
+    """Source counts by shard vary as a draw's do, and the draw is that of a plain version."""
     sizes = spark.createDataFrame([(f"s{i}", 20000 * 512) for i in range(5)], "source string, size long")
 
     def deal(seed):
@@ -138,6 +155,24 @@ def test_shards_are_drawn(spark):
     var = 2048 * 0.2 * 0.8 * (100000 - 2048) / (100000 - 1)
     ratios = [(counts[s, h] - 2048 * 0.2) ** 2 / var for s in range(5) for h in range(100000 // 2048)]
     assert 0.6 < sum(ratios) / len(ratios) < 1.5
-    places = [h * 2048 + i for _, _, h, i in got]
-    assert 0.48 < sum(a < b for a, b in zip(places, places[1:])) / len(places) < 0.52
+    order = sorted((int(hashlib.md5(f"0:{s}:{i}".encode()).hexdigest()[:15], 16) % 1024, int(hashlib.md5(f"0:{s}:{i}".encode()).hexdigest()[:15], 16), s, i) for s in range(5) for i in range(20000))
+    want = defaultdict(int)
+    for place, (_, _, s, _) in enumerate(order):
+        want[s, place // 2048] += 1
+    assert counts == want
     assert deal(0) == got != deal(1)
+
+
+def test_shards_are_in_the_plan(spark, sf):
+    plan = mixing.op8_block_mix(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "shard" in plan
+
+
+def test_hot_and_null_ids_are_chunked(spark):
+    """Ids in steps of 256 and null ids of one source do not meet in one chunk."""
+    from pyspark.sql import functions as F
+
+    sizes = spark.range(20000).select(F.when(F.col("id") % 2 == 0, F.col("id") * 256).alias("doc_id"), F.lit("s").alias("source"), (F.col("id") % 997 + 1).alias("size"))
+    rows = mixing.packed(sizes, mixing.targets(sizes))
+    assert rows.groupBy("chunk").count().agg(F.max("count")).first()[0] < 400
+    assert rows.agg(F.max(F.col("at") + F.col("size"))).first()[0] == sizes.agg(F.sum("size")).first()[0]
