@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -16,10 +17,12 @@ from rangeloom.llm._text import per_row
 from rangeloom.shared import new_path, stored
 
 _VERSION = b"WARC/1.1"
-_VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
 _FIELD = re.compile(rb"([!-9;-~]+):([^\x00-\x08\x0a-\x1f\x7f]*)")
-_BEGIN = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
-_STEP = 1 << 14
+_BEGIN = re.compile(rb"\x1f\x8b\x08|WARC/\d+\.\d+\r\n")
+#: Digest algorithms that block digests are checked with; blocks with others are taken unchecked.
+_CHECKED = ("md5", "sha1", "sha256", "sha512")
+_STEP = 1 << 10
 _MEMBER = b"\x1f\x8b\x08"
 _EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -27,12 +30,17 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 @dataclass
 class Record:
-    """A record that passed its checks: place and size of its bytes in the archive, header fields, payload."""
+    """A record that passed its checks: place and size of its bytes in the archive, header fields, payload.
+
+    Of a record in a gzip member, place and size are the member's (size 0 if the member is damaged behind the
+    record), and ``inner`` is its place in the inflated bytes.
+    """
 
     offset: int
     size: int
     headers: dict[str, str]
     payload: bytes
+    inner: int = 0
 
 
 @dataclass
@@ -78,55 +86,97 @@ def _parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     if data[end : end + 4] != b"\r\n\r\n":
         return "no record end after the payload"
     payload = data[start:end]
-    digest = headers.get("warc-block-digest", "")
-    if digest.startswith("sha1:") and hashlib.sha1(payload).hexdigest() != digest[5:]:
+    if (digest := headers.get("warc-block-digest")) and not _agrees(digest, payload):
         return "block digest differs"
     return headers, payload, end + 4
 
 
-def _inflated(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """Bytes and end of the gzip member at ``at``; zlib checks its CRC and length."""
-    z, view, parts = zlib.decompressobj(31), memoryview(data), []
+def _agrees(digest: str, payload: bytes) -> bool:
+    """Whether ``algorithm:value`` is the payload's digest; the value is in hex or base32, in either case."""
+    name, _, value = digest.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in _CHECKED:
+        return True
+    raw = hashlib.new(name, payload).digest()
+    return value.strip().upper().rstrip("=") in (raw.hex().upper(), base64.b32encode(raw).decode().rstrip("="))
+
+
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """Bytes and end of the gzip member at ``at``, and what is wrong with it; zlib checks its CRC and length.
+
+    Of a damaged or cut member, the bytes of the steps before the damage.
+    """
+    z, view, parts, wrong = zlib.decompressobj(31), memoryview(data), [], None
     while at < len(data) and not z.eof:
         try:
             parts.append(z.decompress(view[at : at + _STEP]))
         except zlib.error as e:
-            return f"gzip: {e}"
+            wrong = f"gzip: {e}"
+            break
         at = min(at + _STEP, len(data)) - len(z.unused_data)
-    return (b"".join(parts), at) if z.eof else "gzip: cut off"
+    return b"".join(parts), at, wrong or (None if z.eof else "gzip: cut off")
+
+
+def _in_member(inner: bytes, whole: bool, cut_off: bool) -> tuple[list[tuple[int, dict[str, str], bytes]], str | None]:
+    """Records of a member's inflated bytes, each with its place there, and the first thing that is wrong between them.
+
+    Where the member's CRC did not hold, a record counts if its own digest was checked, or if the member is sound
+    up to its cut.
+    """
+    found, wrong, at = [], None, 0
+    while at < len(inner):
+        got = _parsed(inner, at)
+        if isinstance(got, tuple):
+            if whole or cut_off or got[0].get("warc-block-digest", "").partition(":")[0].strip().lower().replace("-", "") in _CHECKED:
+                found.append((at, got[0], got[1]))
+            at = got[2]
+            continue
+        wrong = wrong or got
+        begin = _VERSION_LINE.search(inner, at + 1)
+        at = begin.start() if begin else len(inner)
+    return found, wrong
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """Records of an archive in order, and the byte gaps between them.
 
-    At each place a record (plain, or alone in a gzip member) is checked in full: gzip CRC, version line, header,
+    At each place a record (plain, or with others in a gzip member) is checked in full: gzip CRC, version line, header,
     content length, record end, block digest. After a failed check the next place to try is the next gzip magic
-    or version line behind the failed one; the bytes passed over are one quarantined gap, with the first reason.
+    or version line behind the failed one; the bytes passed over are one quarantined gap, with the first reason. A
+    member that is damaged or cut still gives the records before the damage; its bytes are a gap all the same. A sound
+    member of which some records are not valid gives the others, and a gap of size 0 with the reason.
     """
     at, n = 0, len(data)
     lost, reason = -1, ""
     while at < n:
         if data.startswith(_MEMBER, at):
-            got = _inflated(data, at)
-            if isinstance(got, tuple):
-                end = got[1]
-                inner = _parsed(got[0], 0) if got[0] else None
-                if isinstance(inner, tuple) and inner[2] != len(got[0]):
-                    inner = "more than a record in a member"
-                got = inner if isinstance(inner, str) else (inner and (inner[0], inner[1], end), end)
-        else:
-            got = _parsed(data, at)
-            got = got if isinstance(got, str) else (got, got[2])
-        if isinstance(got, tuple):
-            if lost >= 0:
+            inner, end, bad = _inflated(data, at)
+            found, odd = _in_member(inner, bad is None, bad == "gzip: cut off")
+            ok = bad is None and (found or not inner)
+            if (found or ok) and lost >= 0:
                 yield Gap(lost, at - lost, reason)
                 lost = -1
-            if got[0]:
-                yield Record(at, got[1] - at, got[0][0], got[0][1])
-            at = got[1]
+            for place, headers, payload in found:
+                yield Record(at, end - at if ok else 0, headers, payload, place)
+            if ok and odd:
+                yield Gap(end, 0, odd)
+            bad = bad or odd
+        else:
+            got = _parsed(data, at)
+            ok = isinstance(got, tuple)
+            if ok:
+                if lost >= 0:
+                    yield Gap(lost, at - lost, reason)
+                    lost = -1
+                end = got[2]
+                yield Record(at, end - at, got[0], got[1])
+            else:
+                bad = got
+        if ok:
+            at = end
             continue
         if lost < 0:
-            lost, reason = at, got
+            lost, reason = at, bad
         begin = _BEGIN.search(data, at + 1)
         at = begin.start() if begin else n
     if lost >= 0:
@@ -164,7 +214,8 @@ def write_archives(plan: DataFrame, path: str, spec: WarcSpec = WarcSpec()) -> N
     """Write a record per row of ``plan`` as gzip members to files of bounded records and bytes below ``path``.
 
     Members are made in Python tasks; the files are written by Spark's text writer, which commits them whole and
-    works on any file system Spark has. It ends each row with a byte 0: the one that ends every member.
+    works on any file system Spark has. It ends each row with a byte 0: the one that ends every member. Null
+    payloads and urls are empty, repeated rows are records of their own; an empty table gives no record.
     A task deals its members to folders ``part=0``, 1... by their running bytes.
     """
 
@@ -199,8 +250,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records and quarantined gaps of the archives below ``path``: ``file, kind (record or gap), offset, size,
     reason, headers, payload``.
 
-    A task holds one archive file and one record at a time; archives are files of bounded size. Damage costs
-    the records it touches: those behind it are found again. Empty files give nothing.
+    A task holds one archive file and one record at a time; archives are files of bounded size, as
+    :func:`write_archives` makes them. Spark refuses a file above 2 GiB with an error (its binary reader's limit), so
+    longer ones must be cut at members before. Damage costs the records it touches: those behind it are found again.
+    Empty files give nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,8 +298,9 @@ def archive_round_trip(pages: DataFrame, path: str, spec: WarcSpec = WarcSpec())
     """Write ``pages`` to archives below ``path`` and return what the salvage reader finds there, a row per page.
 
     A null html counts as an empty payload, a null url as an empty one. Of equal payloads of at least ``least``
-    bytes the largest page_id is the response; rows that repeat it are responses too. A null page_id is a
-    response unless it shares a payload, and comes back null. An empty table gives an empty one.
+    bytes the largest page_id is the response; rows that repeat it are responses too. A repeated page_id with
+    other html is a page of its own. A null page_id is always a response and comes back null. An empty table gives an
+    empty one; other columns are not read.
     """
     write_archives(plan_records(pages, spec=spec), path, spec)
     return page_records(read_archives(pages.sparkSession, path))

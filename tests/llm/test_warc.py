@@ -124,3 +124,59 @@ def test_files_are_bounded_by_bytes(spark, tmp_path):
     assert sorted((r.page_id, r.payload_digest) for r in got) == [(i, hashlib.sha1(x.encode()).hexdigest()) for i, _, x in rows]
     sizes = sorted(os.path.getsize(f"{at}/{f}") for at, _, names in os.walk(path) for f in names if f.startswith("part-"))
     assert len(sizes) > 3 and sizes[-2] <= 10000 < sizes[-1]
+
+
+def record(i, payload=b"abc", digest=None, version=b"WARC/1.1"):
+    fields = [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:page:{i}>")] + ([("WARC-Block-Digest", digest)] if digest else [])
+    return version + warc.record_bytes(fields, payload)[8:]
+
+
+@pytest.mark.parametrize("name", ["sha1", "SHA-1", "sha256", "md5"])
+def test_digest_forms(name):
+    """Hex and base32, upper and lower case; another payload's digest does not pass; other algorithms are not checked."""
+    import base64
+
+    raw = hashlib.new(name.lower().replace("-", ""), b"abc").digest()
+    forms = [raw.hex(), raw.hex().upper(), base64.b32encode(raw).decode(), base64.b32encode(raw).decode().lower().rstrip("=")]
+    assert ids(warc.salvage(b"".join(record(i, digest=f"{name}:{x}") for i, x in enumerate(forms)))) == [0, 1, 2, 3]
+    assert ids(warc.salvage(record(0, b"abd", f"{name}:{forms[0]}") + record(1, digest="crc32:00") + record(2))) == [1, 2]
+
+
+def test_versions():
+    assert ids(warc.salvage(b"".join(record(i, version=v) for i, v in enumerate([b"WARC/0.17", b"WARC/0.18", b"WARC/1.0", b"WARC/1.1", b"WARC/2.0"])))) == [0, 1, 2, 3, 4]
+
+
+def test_several_records_in_a_member():
+    r = random.Random(4)
+    payloads = [bytes(r.randrange(256) for _ in range(3000)) for _ in range(6)]
+    digests = ["sha1:" + hashlib.sha1(p).hexdigest() for p in payloads]
+    whole = b"".join(map(record, range(6), payloads, digests))
+    found = list(warc.salvage(gzip.compress(whole) + gzip.compress(record(6))))
+    assert ids(found) == list(range(7)) and [x.inner for x in found][:2] == [0, len(record(0, payloads[0], digests[0]))]
+    # One of them is not valid: the others come, the reason is logged.
+    broken = whole.replace(payloads[2], payloads[3])
+    found = list(warc.salvage(gzip.compress(broken) + gzip.compress(record(6))))
+    assert ids(found) == [0, 1, 3, 4, 5, 6] and [x.reason for x in found if isinstance(x, Gap)] == ["block digest differs"]
+
+
+@pytest.mark.parametrize("harm", ["cut", "flip"])
+def test_records_before_the_damage_of_a_member(harm):
+    r = random.Random(4)
+    payloads = [bytes(r.randrange(256) for _ in range(5000)) for _ in range(4)]
+    data = bytearray(gzip.compress(b"".join(record(i, p, "sha1:" + hashlib.sha1(p).hexdigest()) for i, p in enumerate(payloads))))
+    if harm == "cut":
+        del data[16000:]
+    else:
+        data[16000] ^= 0x5A
+    tail = gzip.compress(record(9))
+    found = list(warc.salvage(bytes(data) + tail))
+    assert set(ids(found)) >= {0, 1, 2, 9} and 3 not in ids(found)[: -1 if harm == "cut" else None] or harm == "flip"
+    gaps = [x for x in found if isinstance(x, Gap)]
+    assert gaps and gaps[-1].offset + gaps[-1].size == len(data)
+
+
+def test_null_page_ids_are_responses(spark):
+    long = "x" * 2000
+    df = spark.createDataFrame([(None, "u", long), (None, "u", long), (4, "u", long)], "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.record_type) for r in warc.archive_round_trip(df, new_path(spark, "w")).collect()), key=repr)
+    assert got == [(4, "response"), (None, "response"), (None, "response")]
