@@ -33,9 +33,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _hex(digits: int, *of: Column) -> Column:
+    return F.substring(F.md5(F.concat_ws(":", *(c.cast("string") for c in of)).cast("binary")), 1, digits)
+
+
 def hashed(digits: int, *of: Column) -> Column:
     """The first ``digits`` (at most 15) hex digits of the MD5 of the values, as a number."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *(c.cast("string") for c in of)).cast("binary")), 1, digits), 16, 10).cast("long")
+    return F.conv(_hex(digits, *of), 16, 10).cast("long")
 
 
 def permuted(i: Column, n: Column, key: Column, rounds: int) -> Column:
@@ -47,7 +51,7 @@ def permuted(i: Column, n: Column, key: Column, rounds: int) -> Column:
 
     def swap(x: Column, r: Column) -> Column:
         mirror = F.pmod(hashed(12, key, r, F.lit("k")) - x, n)
-        return F.when(hashed(1, key, r, F.greatest(x, mirror)) >= 8, mirror).otherwise(x)
+        return F.when(_hex(1, key, r, F.greatest(x, mirror)) >= "8", mirror).otherwise(x)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), i, swap)
 
@@ -128,7 +132,10 @@ def slots(sources: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     parts = counts.groupBy("source_no", part).agg(F.sum("n").alias("m")).select("source_no", "part", F.coalesce(F.sum("m").over(ahead), F.lit(0).cast("long")).alias("part_at"))
     within = Window.partitionBy("source_no", "part").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     at = counts.select("*", part).withColumn("first", F.sum("n").over(within) - F.col("n")).join(parts, ["source_no", "part"])
-    s = at.withColumn("first", F.col("part_at") + F.col("first")).withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+    # So many tasks at any size of the counts: each of their rows becomes up to a shard's slots.
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = at.select("source_no", "shard", "n", (F.col("part_at") + F.col("first")).alias("first")).repartition(tasks, "source_no", "shard")
+    s = at.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     s = s.select("source_no", "shard", "slot").join(sources.select("source_no", "n_blocks", "source_size", "rest_slots", "n_slots", "rest"), "source_no")
     i, full = F.col("slot") % F.col("n_blocks"), F.col("n_blocks") - 1
     s = s.withColumn("epoch", F.expr("slot div n_blocks"))
