@@ -20,22 +20,71 @@ PHRASES: tuple[tuple[str, str], ...] = (
     ("all rights reserved", "reserved"),
 )
 
-#: Label and wording of well-known notices (fixed values).
+#: Label and wording of well-known notices (fixed values): short lines first, then whole notices.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "The software is provided as is, without warranty of any kind, express or implied"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("gpl", "Licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
     ("lgpl", "under the terms of the GNU Lesser General Public License"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "The software is provided as is, without warranty of any kind, express or implied"),
+    (
+        "apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+        License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable
+        law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+        WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+        permissions and limitations under the License.""",
+    ),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice
+        and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS
+        PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+        HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
+        "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+        DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+        NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    (
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+        PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+        INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+        GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+        LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF
+        THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "gpl",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+        version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+        details.""",
+    ),
 )
 
 #: Words are runs of anything but ASCII characters that are neither digits nor letters; A-Z count as a-z.
@@ -44,16 +93,19 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 
 @dataclass(frozen=True)
 class LicenseSpec:
-    """``threshold``: least |block and template| / |template|; blocks are ``block`` words, one each ``stride`` words.
+    """``threshold``: least |block and template| / |template| of distinct words.
 
-    A passage of up to ``block - stride`` words stands whole in some block.
+    Blocks of a template have ``width``: ``stretch`` times its words. They stand at every place of a text, so a notice is found
+    wherever it begins, with up to ``stretch - 1`` of its length in other words between its own.
     """
 
     threshold: float = 0.9
-    block: int = 64
-    stride: int = 32
+    stretch: float = 1.25
     templates: tuple[tuple[str, str], ...] = TEMPLATES
 
+    def width(self, words: int) -> int:
+        return -int(-words * self.stretch // 1)
+
 
 def folded_words(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
@@ -94,49 +146,153 @@ def token_counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> DataFrame:
 
 
 def template_tokens(spark: SparkSession, counts: DataFrame, spec: LicenseSpec) -> DataFrame:
-    """``template, label, token, rank, size, need``: a template's distinct words from the globally rarest on."""
-    rows = [(i, label, w.decode(), len(set(folded_words(t))), _need(len(set(folded_words(t))), spec.threshold)) for i, (label, t) in enumerate(spec.templates) for w in sorted(set(folded_words(t)))]
-    df = spark.createDataFrame(rows, "template int, label string, token string, size int, need int").join(counts, "token", "left")
+    """``template, label, token, rank, size, need, width``: a template's distinct words from the globally rarest on."""
+    rows = []
+    for i, (label, t) in enumerate(spec.templates):
+        words = folded_words(t)
+        own = sorted(set(words))
+        rows += [(i, label, w.decode(), len(own), _need(len(own), spec.threshold), spec.width(len(words))) for w in own]
+    df = spark.createDataFrame(rows, "template int, label string, token string, size int, need int, width int").join(counts, "token", "left")
     order = Window.partitionBy("template").orderBy(F.coalesce("n", F.lit(0)), "token")
-    return df.withColumn("rank", F.row_number().over(order) - 1).select("template", "label", "token", "rank", "size", "need")
+    return df.withColumn("rank", F.row_number().over(order) - 1).select("template", "label", "token", "rank", "size", "need", "width")
+
+
+@dataclass(frozen=True)
+class Family:
+    """The templates with blocks of one width: their words, the words of their prefixes, the least number of words."""
 
+    width: int
+    vocabulary: frozenset[bytes]
+    prefix: frozenset[bytes]
+    least: int
 
-def blocks(docs: DataFrame, vocabulary: frozenset[bytes], prefix: frozenset[bytes], least: int, spec: LicenseSpec) -> DataFrame:
-    """A row per document: base columns and ``blocks``, the template words of each block that may match.
 
-    A block may match if it has a word of some template's prefix and (length filter) at least ``least``
-    template words.
+def families(prefixes: DataFrame, spec: LicenseSpec) -> list[Family]:
+    """By width; the given templates alone decide their number and size."""
+    prefix: dict[int, set[bytes]] = {}
+    for width, token in prefixes.select("width", "token").distinct().collect():
+        prefix.setdefault(width, set()).add(token.encode())
+    by_width: dict[int, list[list[bytes]]] = {}
+    for _, t in spec.templates:
+        words = folded_words(t)
+        if words:
+            by_width.setdefault(spec.width(len(words)), []).append(words)
+    return [Family(w, frozenset(x for t in ts for x in t), frozenset(prefix[w]), min(_need(len(set(t)), spec.threshold) for t in ts)) for w, ts in sorted(by_width.items())]
+
+
+def regions(words: list[bytes], family: Family) -> list[list[tuple[int, bytes]]]:
+    """Stretches of a text whose blocks may match, as the places and words of the family's vocabulary in them.
+
+    A block is a run of ``width`` words. One may match if it has a word of a prefix and (length filter) at least
+    ``least`` distinct words of the vocabulary. Blocks that overlap make one region.
     """
-    fields = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("blocks", pa.list_(pa.list_(pa.string())))]
+    at = [(i, w) for i, w in enumerate(words) if w in family.vocabulary]
+    out: list[tuple[int, int]] = []
+    n: Counter[bytes] = Counter()
+    lo = led = 0
+    for hi, (i, w) in enumerate(at):
+        n[w] += 1
+        led += w in family.prefix
+        while i - at[lo][0] >= family.width:
+            old = at[lo][1]
+            n[old] -= 1
+            led -= old in family.prefix
+            if not n[old]:
+                del n[old]
+            lo += 1
+        if led and len(n) >= family.least:
+            if out and lo <= out[-1][1]:
+                out[-1] = (out[-1][0], hi)
+            else:
+                out.append((lo, hi))
+    return [at[a : b + 1] for a, b in out]
+
+
+def in_order(block: list[bytes], template: list[bytes]) -> int:
+    """Longest common subsequence of two word lists, by bit rows."""
+    where: dict[bytes, int] = {}
+    for i, w in enumerate(template):
+        where[w] = where.get(w, 0) | 1 << i
+    full = (1 << len(template)) - 1
+    row = full
+    for w in block:
+        hit = row & where.get(w, 0)
+        row = (row + hit | row - hit) & full
+    return len(template) - row.bit_count()
+
+
+def best_block(region: list[tuple[int, bytes]], template: list[bytes], spec: LicenseSpec) -> float:
+    """Best share of the template's words that a block of the region has in their order, 0 if none meets the threshold.
+
+    A block meets it if it has ``threshold`` of the template's distinct words, and of all its words in their order.
+    """
+    own = set(template)
+    at = [(i, w) for i, w in region if w in own]
+    need, least, width = _need(len(own), spec.threshold), _need(len(template), spec.threshold), spec.width(len(template))
+    n: Counter[bytes] = Counter()
+    lo, best = 0, 0
+    for hi, (i, w) in enumerate(at):
+        n[w] += 1
+        while i - at[lo][0] >= width:
+            n[at[lo][1]] -= 1
+            if not n[at[lo][1]]:
+                del n[at[lo][1]]
+            lo += 1
+        # A block with more words of the template to come is judged with them.
+        if len(n) >= need and (hi + 1 == len(at) or at[hi + 1][0] - at[lo][0] >= width):
+            best = max(best, in_order([x for _, x in at[lo : hi + 1]], template))
+    return best / len(template) if best >= least else 0.0
+
+
+_BLOCK = "struct<width: int, place: array<int>, words: array<string>>"
+_BLOCK_TYPE = pa.struct([("width", pa.int32()), ("place", pa.list_(pa.int32())), ("words", pa.list_(pa.string()))])
+
+
+def blocks(docs: DataFrame, spec_families: list[Family]) -> DataFrame:
+    """A row per document: base columns and ``blocks``, the regions of each family that may match."""
+    fields = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("blocks", pa.list_(_BLOCK_TYPE))]
 
     def make() -> Callable:
         def row(doc_id, text_key, text):
             words = folded_words(text)
             places = phrase_places(words)
             starts = [s for s, _ in places]
+            there = set(words)
             found = []
-            if not prefix.isdisjoint(words):
-                for at in range(0, max(1, len(words) - spec.block + spec.stride), spec.stride):
-                    own = vocabulary.intersection(words[at : at + spec.block])
-                    if len(own) >= least and not prefix.isdisjoint(own):
-                        found.append(sorted(w.decode() for w in own))
+            for family in spec_families:
+                if len(words) >= family.least and not family.prefix.isdisjoint(there):
+                    for r in regions(words, family):
+                        found.append({"width": family.width, "place": [i for i, _ in r], "words": [w.decode() for _, w in r]})
             return doc_id, text_key, len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places})), found
 
         return row
 
-    out = "doc_id long, text_key long, n_words long, n_base long, first_word long, last_word long, base_labels string, blocks array<array<string>>"
+    out = f"doc_id long, text_key long, n_words long, n_base long, first_word long, last_word long, base_labels string, blocks array<{_BLOCK}>"
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(per_row(pa.schema(fields), make), out)
 
 
+def verified(pairs: DataFrame, spec: LicenseSpec) -> DataFrame:
+    """``doc_id, text_key, label, share`` of the pairs of region and template whose best block meets the threshold."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("label", pa.string()), ("share", pa.float64())])
+    templates = [folded_words(t) for _, t in spec.templates]
+
+    def make() -> Callable:
+        return lambda doc_id, text_key, template, label, b: (doc_id, text_key, label, best_block([(i, w.encode()) for i, w in zip(b["place"], b["words"], strict=True)], templates[template], spec))
+
+    found = pairs.select("doc_id", "text_key", "template", "label", "block").mapInArrow(per_row(schema, make), "doc_id long, text_key long, label string, share double")
+    return found.where("share > 0")
+
+
 def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: LicenseSpec = LicenseSpec()) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` of every row.
 
-    The join, for containment ``t`` in templates of ``size`` words: words are ordered by how often they stand in
+    The join, for containment ``t`` in templates of ``size`` distinct words: words are ordered by how often they stand in
     the whole corpus, rarest first. A block that holds ``need = ceil(t * size)`` words of a template holds one of
     the template's first ``size - need + 1`` (prefix filter); it has at least ``need`` template words (length
     filter); and counting from the first shared word at ``rank``, no more than ``size - rank`` words can be shared
-    (positional filter). What is left is verified on the sets, so every block that meets the threshold is found.
-    ``score`` is the highest containment of a matching block, 1 if a phrase was found, else 0.
+    (positional filter). What is left is verified, so every block that meets the threshold is found; blocks whose words
+    are the template's in another order are not taken. ``score`` is the highest share of a template's words that
+    stand in order in one block, 1 if a phrase was found, else 0.
 
     Null and empty texts have no words and no labels. Repeated rows give a row each; an empty table gives an
     empty one; other columns are not read. The template table is as small as ``spec.templates``.
@@ -146,18 +302,12 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     vocabulary = frozenset(w for _, t in spec.templates for w in folded_words(t))
     templates = stored(template_tokens(spark, token_counts(docs, vocabulary), spec), "license-templates")
     prefixes = templates.where(F.col("rank") <= F.col("size") - F.col("need"))
-    # One row per word of the given templates.
-    prefix = frozenset(r[0].encode() for r in prefixes.select("token").distinct().collect())
-    least = min((_need(len(set(folded_words(t))), spec.threshold) for _, t in spec.templates), default=1)
-    rows = stored(blocks(docs, vocabulary, prefix, least, spec), "license-blocks")
-    block = rows.select("doc_id", "text_key", F.explode("blocks").alias("tokens")).distinct()
-    probes = block.select("doc_id", "text_key", "tokens", F.explode("tokens").alias("token"))
-    first = probes.join(prefixes, "token").groupBy("doc_id", "text_key", "tokens", "template").agg(F.min("rank").alias("rank"), F.first("need").alias("need"), F.first("size").alias("size"))
+    rows = stored(blocks(docs, families(prefixes, spec)), "license-blocks")
+    block = stored(rows.select("doc_id", "text_key", F.explode("blocks").alias("block")).distinct().withColumn("tokens", F.array_distinct("block.words")), "license-regions")
+    probes = block.select("doc_id", "text_key", "block", "tokens", F.col("block.width").alias("width"), F.explode("tokens").alias("token"))
+    first = probes.join(prefixes, ["width", "token"]).groupBy("doc_id", "text_key", "block", "template").agg(F.first("tokens").alias("tokens"), F.first("label").alias("label"), F.min("rank").alias("rank"), F.first("need").alias("need"), F.first("size").alias("size"))
     possible = first.where((F.size("tokens") >= F.col("need")) & (F.col("size") - F.col("rank") >= F.col("need")))
-    sets = templates.groupBy("template").agg(F.first("label").alias("label"), F.collect_list("token").alias("words"))
-    shared = F.size(F.array_intersect("tokens", "words"))
-    matches = possible.join(sets, "template").withColumn("shared", shared).where("shared >= need")
-    by_doc = matches.groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.col("size")).alias("best"))
+    by_doc = verified(possible, spec).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("found"), F.max("share").alias("best"))
     joined = rows.drop("blocks").join(by_doc.withColumnsRenamed({"doc_id": "__d", "text_key": "__t"}), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_key") == F.col("__t")), "left")
     base = F.when(F.col("base_labels") != "", F.split("base_labels", ",")).otherwise(F.array().cast("array<string>"))
     labels = F.array_sort(F.array_union(base, F.coalesce("found", F.array().cast("array<string>"))))
