@@ -282,18 +282,47 @@ def _across(members: DataFrame, spec: NearSpec) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: NearSpec = NearSpec()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
+    Words are lower-cased (A-Z). Null, empty and white texts have no shingles and are linked with nothing. Rows
+    that repeat a doc_id are one document, also if their texts differ: what any of its texts links to is reachable from it, and
+    ``n_shingles`` is that of the row's text. A null doc_id is linked with nothing. An empty table gives an empty one.
+    Other columns are not read.
+    """
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    key = F.xxhash64("text")
+    several = docs.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi and doc_id is not null")
+    return _of_texts(docs, spec) if not several.isEmpty() else _of_documents(docs, spec)
+
+
+def _of_texts(docs: DataFrame, spec: NearSpec) -> DataFrame:
+    """The result where a doc_id has several texts: each text is a document of its own, and those of one id are linked.
+
+    A text's number is set when the table of (doc_id, text key) is written, so it stays as it is.
+    """
+    docs = docs.withColumn("key", F.xxhash64("text"))
+    named = docs.where("doc_id is not null").select("doc_id", "key").distinct().withColumn("node", F.monotonically_increasing_id())
+    named = stored(named, "text-nodes")
+    texts = stored(docs.join(named, ["doc_id", "key"]).dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "text"), "node-texts")
+    own = stored(_of_documents(texts, spec).select(F.col("doc_id").alias("node"), "n_shingles", F.col("component_id").alias("of")), "node-components")
+    same_id = named.join(named.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b"))
+    labels = components(own.select(F.col("of").alias("a"), F.col("node").alias("b")).unionByName(same_id))
+    nodes = named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = stored(nodes.join(nodes.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").join(own, "node").select("doc_id", "key", "component_id", "n_shingles"), "node-results")
+    out = docs.join(nodes, ["doc_id", "key"], "left").select("doc_id", "component_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.col("text")).alias("text"))
+    alone = _of_documents(out.where("doc_id is null").select("doc_id", "text"), spec)
+    found = out.where("doc_id is not null").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return found.unionByName(alone)
+
+
+def _of_documents(docs: DataFrame, spec: NearSpec) -> DataFrame:
+    """:func:`near_duplicates` of ``docs`` (``doc_id, text``), in which a doc_id has one text.
+
     1. Documents with equal sets are one node from here on, found by a digest of the set.
     2. Band buckets: every member is a candidate of the bucket's smallest node, never all pairs of a bucket.
     3. Size and odd sketches drop most false candidates; the rest is confirmed on full sets from the texts.
     4. Buckets whose members are not yet in one component are searched across components, by sketches in
        blocks, and the pairs that pass are confirmed likewise; so no link between components is missed that
        shares a bucket.
-
-    Words are lower-cased (A-Z). Null, empty and white texts have no shingles and are linked with nothing. Rows
-    that repeat a doc_id are one node: what either links to is reachable from both. A null doc_id is linked with nothing. An empty table
-    gives an empty one. Other columns are not read.
     """
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     signed = stored(signatures(docs, spec), "signatures")
     full = signed.where("set_key is not null and doc_id is not null")
     reps = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), *(F.first(c).alias(c) for c in _SKETCH[1:])), "set-representatives")
@@ -320,7 +349,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: NearSpec = NearSpec()) -> DataFrame:
-    """The rows of ``docs`` without those of a near-duplicate group's other documents, with all columns."""
+    """The rows of ``docs`` without those of a near-duplicate group's other documents, with all columns.
+
+    Rows without shingles or with a null id stay, rows that repeat a kept id stay all; an empty table gives an
+    empty one; columns may have any names.
+    """
     gone = near_duplicates(docs, id_col, text_col, spec).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(stored(gone, "near-duplicates"), F.col(id_col) == F.col("__gone"), "left_anti")
 

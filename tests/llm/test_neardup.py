@@ -136,3 +136,19 @@ def test_narrowed_loses_nothing(spark):
     few = neardup.narrowed(docs, ids)
     assert few.join(ids, "doc_id").count() == ids.count() and few.count() < ids.count() + 20
     assert neardup.narrowed(docs, ids, 64).join(ids, "doc_id").count() == ids.count()
+
+
+def test_several_texts_of_one_id(spark):
+    """An id with two or three texts is one document: what each text links to is reachable from it."""
+    r = random.Random(11)
+    text = lambda: [f"w{r.randrange(3000)}" for _ in range(120)]
+    near = lambda t: t[:-2] + ["x", "y"]
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (1, b), (5, near(a)), (6, near(b)), (7, c), (8, c), (8, d), (2, near(d)), (9, text()), (9, a), (None, a), (3, [])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
+    group = {1: 1, 5: 1, 6: 1, 9: 1, 7: 2, 8: 2, 2: 2, 3: 3}
+    want = {(i, len(neardup.shingle_set(t, 5)), group.get(i), i == group.get(i, 0) if i is not None else True) for i, t in rows}
+    assert {x[:3] for x in got} == {x[:3] for x in want} and {x for x in got if x[0] is not None} == {x for x in want if x[0] is not None}
+    assert df.count() == len(neardup.near_duplicates(df).collect())
