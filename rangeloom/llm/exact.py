@@ -53,6 +53,12 @@ class DigestIndex:
     def add(self, groups: DataFrame) -> None:
         self.missing(groups).select("digest", "keep_id", "n_points").write.insertInto(self.name)
 
+    def compact(self, path: str) -> DigestIndex:
+        """The index rewritten below ``path`` with one sorted file a bucket, as each ``add`` leaves a file in each."""
+        new = DigestIndex(self.spark, path, self.buckets)
+        self.table().repartition(self.buckets, "digest").write.insertInto(new.name)
+        return new
+
     def lookup(self, groups: DataFrame) -> DataFrame:
         """``groups`` with the ``keep_id`` that the index holds for each digest."""
         return groups.drop("keep_id", "n_points").join(self.table().hint("merge"), "digest")
@@ -110,13 +116,19 @@ def keep_rows(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
     return found.drop("__digest")
 
 
+def buckets_for(rows: int, bucket_rows: int = 2_000_000) -> int:
+    """A power of two of buckets, 64 at least, with about ``bucket_rows`` digests each."""
+    return max(64, 1 << max(0, -(-rows // bucket_rows) - 1).bit_length())
+
+
 def new_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:
     """An empty index in the shared folder."""
     return DigestIndex(spark, new_path(spark, "digest-index"), buckets)
 
 
 def op3_digest_index(spark, sf_dir: str) -> DataFrame:
-    return deduplicate(documents(spark, sf_dir), new_index(spark))
+    docs = documents(spark, sf_dir)
+    return deduplicate(docs, new_index(spark, buckets_for(docs.count())))
 
 
 OP3_SQL = r"""

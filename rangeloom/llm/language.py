@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rangeloom.llm._text import documents, mixed
+from rangeloom.llm._text import documents, mixed, per_row
 
 _WORD = re.compile(r"[^\W\d_]+")
 _GRAMS = (1, 2, 3, 4)
@@ -22,7 +22,8 @@ _AFFIXES = (1, 2, 3, 4)
 @dataclass(frozen=True)
 class LanguageSpec:
     """The model is fitted on a bounded sample: ``per_language`` labelled rows of each language, ``max_rows`` in
-    all, and of each row ``max_words`` words from a place drawn for it. Everything else reads whole texts.
+    all, and of each row ``max_words`` words (their first ``max_letters`` letters) from a place drawn for it. Everything
+    else reads whole texts.
 
     ``buckets``: weights a label; ``length``: words of a training sequence; ``switched``: share of sequences that
     are spliced from texts of different languages, ``span`` words at a time; ``known``: a word is in a language's
@@ -32,6 +33,7 @@ class LanguageSpec:
     per_language: int = 400
     max_rows: int = 4000
     max_words: int = 160
+    max_letters: int = 64
     buckets: int = 1 << 16
     length: int = 40
     switched: float = 0.4
@@ -307,14 +309,26 @@ def training_rows(docs: DataFrame, spec: LanguageSpec) -> list[tuple[str, str]]:
     """``(text, lang)`` of a bounded sample of the rows that may be learned from, drawn by a hash of the id.
 
     The first rows by hash are taken from each of 64 parts of a language and then from the language, so no task
-    ranks more than a part's rows.
+    ranks more than a part's rows. Texts are cut to their ``max_words`` words by the tasks that read them, so the driver gets
+    at most ``max_rows * max_words`` words of ``max_letters`` letters. Of the rows of one id, the first by text is taken.
     """
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     rows = usable.select("doc_id", "lang", F.pmod(F.hash("doc_id"), F.lit(64)).alias("part"))
     first = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("rank") <= spec.per_language)
     picked = first(first(rows, "lang", "part"), "lang")
     ids = [r[0] for r in picked.orderBy("rank", "lang").limit(spec.max_rows).collect()]
-    rows = usable.where(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").dropDuplicates(["doc_id"]).collect()
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string())])
+
+    def make() -> Callable:
+        def row(doc_id, lang, text):
+            words = words_of(text)
+            at = int(np.random.default_rng([spec.seed, doc_id % 2**63]).integers(max(1, len(words) - spec.max_words + 1)))
+            return doc_id, lang, " ".join(w[: spec.max_letters] for w in words[at : at + spec.max_words])
+
+        return row
+
+    cut = usable.where(F.col("doc_id").isin(ids)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(per_row(schema, make), "doc_id long, lang string, text string")
+    rows = cut.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("doc_id", "r.text", "r.lang").collect()
     return [(r[1], r[2]) for r in sorted(rows, key=lambda r: r[0])]
 
 

@@ -20,8 +20,9 @@ class Bands:
     """Limits of the ratio (compressed bytes / bytes) by length.
 
     ``limits``: (bytes below which the band holds, lowest ratio, highest ratio), ascending. Short texts
-    compress badly, so the lowest band has no limits at all. ``chunk``: bytes of a chunk; a rest of at least
-    half a chunk counts as one. ``chunk_limits`` hold for chunks; a text is rejected if more than
+    compress badly, so the lowest band has no limits at all. ``chunk``: bytes of a chunk; a rest of less
+    than half a chunk is part of the last one, and a text of less than half a chunk has none: its band measures
+    the same bytes. ``chunk_limits`` hold for chunks; a text is rejected if more than
     ``max_bad_chunks`` of its chunks are outside.
     """
 
@@ -78,11 +79,13 @@ def measurer(bands: Bands = Bands()) -> Callable[[str | None], Measures]:
         ratio = len(zstd.compress(raw)) / size if size else 0.0
         low, high = next(x[1:] for x in bands.limits if size < x[0])
         bad = total = 0
-        for at in range(0, size, bands.chunk):
-            part = raw[at : at + bands.chunk]
-            if 2 * len(part) >= bands.chunk:
-                total += 1
-                bad += not bands.chunk_limits[0] <= len(zstd.compress(part)) / len(part) <= bands.chunk_limits[1]
+        ends = list(range(bands.chunk, size, bands.chunk))
+        if ends and 2 * (size - ends[-1]) < bands.chunk:
+            ends.pop()
+        for at, end in zip([0, *ends], [*ends, size] if 2 * size >= bands.chunk else []):
+            part = raw[at:end]
+            total += 1
+            bad += not bands.chunk_limits[0] <= len(zstd.compress(part)) / len(part) <= bands.chunk_limits[1]
         bad_chunks = bad / total if total else 0.0
         failed = n < 20 or 100 * repeat > 30 * n
         return Measures(
@@ -119,7 +122,10 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
-    """The rows of ``docs`` whose text is kept, with all their columns."""
+    """The rows of ``docs`` whose text is kept, with all their columns, whatever their names.
+
+    Null and empty texts go, repeated rows are judged alike; an empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = measurer(bands)

@@ -4,6 +4,7 @@ import re
 import pytest
 
 from rangeloom.llm import exact
+from rangeloom.shared import new_path
 
 
 def rows_of(df):
@@ -79,3 +80,19 @@ def test_null_ids(spark):
 def test_white_space(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(exact.without_white(df.t)).first()[0] == want
+
+
+def test_buckets_follow_the_rows():
+    assert [exact.buckets_for(n) for n in (0, 1, 128_000_000, 128_000_001, 10**11)] == [64, 64, 64, 128, 65536]
+
+
+def test_compacted_index_has_a_file_a_bucket(spark):
+    index = exact.new_index(spark, 4)
+    for i in range(3):
+        df = spark.createDataFrame([(100 * i + j, f"text {i} {j}") for j in range(50)], "doc_id long, text string")
+        exact.deduplicate(df, index).count()
+    new = index.compact(new_path(spark, "compacted"))
+    assert sorted(map(tuple, new.table().collect())) == sorted(map(tuple, index.table().collect())) and new.table().count() == 150
+    assert len(new.table().inputFiles()) == 4 < len(index.table().inputFiles())
+    again = exact.deduplicate(spark.createDataFrame([(1, "text 0 1"), (900, "new")], "doc_id long, text string"), new)
+    assert {(r.doc_id, r.keep_id, r.kept) for r in again.collect()} == {(1, 1, False), (900, 900, True)}
