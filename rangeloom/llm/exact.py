@@ -54,9 +54,13 @@ class DigestIndex:
         self.missing(groups).select("digest", "keep_id", "n_points").write.insertInto(self.name)
 
     def compact(self, path: str) -> DigestIndex:
-        """The index rewritten below ``path`` with one sorted file a bucket, as each ``add`` leaves a file in each."""
+        """The index rewritten below ``path`` with one sorted file a bucket, as each ``add`` leaves a file in each.
+
+        The files are read as plain ones: of a bucketed table Spark takes the exchange for done, and reads it unbucketed.
+        """
         new = DigestIndex(self.spark, path, self.buckets)
-        self.table().repartition(self.buckets, "digest").write.insertInto(new.name)
+        files = self.spark.read.schema(self.table().schema).parquet(self.path)
+        files.repartition(self.buckets, "digest").write.insertInto(new.name)
         return new
 
     def lookup(self, groups: DataFrame) -> DataFrame:
