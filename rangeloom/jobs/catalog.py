@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.functions.keys import key_hex, n_choose_r, split_key
+from rangeloom.functions.keys import from_words, key_hex, n_choose_r, split_key, to_words
 from rangeloom.jobs import tables as T
 from rangeloom.operators import coded, jobspec, phaselog, records, transfer, tuning
 from rangeloom.shared import new_path, stored
 from rangeloom.sources.fixed import read_records, write_records
-from rangeloom.sources.text import read_jobs
+from rangeloom.sources.text import read_jobs, read_phase_log
 from rangeloom.streaming.controller import in_time_order, tune_stream
 
 K, R, S = T.NODES, T.REPLICATION, T.SAMPLES
@@ -59,7 +59,7 @@ def range_assign_many(spark, d):
 
 def exchange_matrix(spark, d):
     split = records.split_input(T.rec(spark, d), 7, ["id"])
-    return records.exchange_matrix(records.range_assign(split, "key", _cuts(T.rec(spark, d))), "split_id", "pid")
+    return records.exchange_matrix(records.range_assign(split, "key", _cuts(T.rec(spark, d))), "split_id", "pid", 7, K)
 
 
 def total_sort(spark, d):
@@ -124,8 +124,24 @@ def decoded(spark, d):
 
 
 def completeness(spark, d):
+    """Whether each node has all lines of all files after decoding, by the sizes in the metadata."""
     p = _parts(spark, d)
-    return coded.completeness(p["meta"], p["placed"])
+    decoded = coded.xor_decode(coded.xor_encode(p["chunks"], T.WORDS), p["meta"], p["chunks"], T.WORDS)
+    return coded.completeness(spark, p["local"], decoded, p["meta"], K, R)
+
+
+def file_copies(spark, d):
+    """Lines of each file, on each node that has it."""
+    lines = T.placed(spark, d).groupBy("file_id").agg(F.count(F.lit(1)).alias("lines"))
+    return coded.placement(spark, K, R).join(lines, "file_id").select("node", "file_id", "lines")
+
+
+def group_demand(spark, d):
+    """Lines that each group of nodes serves to each of its members, and the group's nodes."""
+    sizes = T.placed(spark, d).groupBy("file_id", "dest").agg(F.count(F.lit(1)).alias("lines"))
+    groups = coded.node_subsets(spark, K, R + 1).select(F.col("subset_id").alias("group_id"), F.array_join("nodes", " ").alias("members"))
+    demand = coded.exchange_demand(spark, K, R).join(groups, "group_id").join(sizes, ["file_id", "dest"], "left")
+    return demand.select("group_id", "members", "dest", "file_id", F.coalesce("lines", F.lit(0)).alias("lines"))
 
 
 def coded_sort(spark, d):
@@ -134,6 +150,17 @@ def coded_sort(spark, d):
     return coded.coded_sort(df, "key", K, R, words, ["id"], S).select("dest", "file_id", *words)
 
 
+def coded_sort_records(spark, d):
+    """Records of fixed width, written and read back, through the coded exchange as words and back to bytes."""
+    rec = T.rec(spark, d).select("key", F.rpad(F.lpad(F.col("id").cast("string"), 12, "0"), 90, ".").cast("binary").alias("value"))
+    path = new_path(spark, "records")
+    write_records(rec, path)
+    df = read_records(spark, path)
+    words = to_words(F.concat("key", "value"), 100, "b")
+    out = coded.coded_sort(df.withColumns(words), "key", K, R, list(words), ["value"], S).withColumn("rec", from_words(list(words), 100))
+    return split_key(out.select("dest", "file_id", "rec"), "rec").select("dest", "file_id", key_hex(F.col("key")).alias("key_hex"), F.col("value").cast("string").alias("value"))
+
+
 def load_report(spark, d):
     out = coded.load_report(T.placed(spark, d), K, R)
     return out.withColumn("coded_over_uncoded", F.round("coded_over_uncoded", 6))
@@ -234,23 +261,35 @@ def record_files(spark, d):
     rec = li.select(F.unhex(F.substring(F.md5(text.cast("binary")), 1, 20)).alias("key"), F.rpad(text, 90, ".").cast("binary").alias("value"))
     path = new_path(spark, "records")
     write_records(records.total_sort(rec, "key", K, ["value"], S), path)
-    return read_records(spark, path).select(key_hex(F.col("key")).alias("key_hex"), F.col("value").cast("string").alias("value"))
+    return read_records(spark, path, places=True).select("place", key_hex(F.col("key")).alias("key_hex"), F.col("value").cast("string").alias("value"))
+
+
+def phase_log_files(spark, d):
+    """A log file a user, written with CRLF in the order of its events and read back; other kinds of events are other lines."""
+    e = T.table(spark, d, "events")
+    phase = F.when(F.col("event_type") == "click", "MAP").when(F.col("event_type") == "purchase", "SHUFFLE").otherwise(F.upper("event_type"))
+    lines = e.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").select("user_id", F.concat(phase, F.lit(" "), F.col("event_id").cast("string"), F.lit("\r")).alias("line"))
+    path = new_path(spark, "phase-log")
+    lines.write.partitionBy("user_id").text(path)
+    user = F.regexp_extract("_metadata.file_path", r"user_id=(\d+)", 1).cast("long")
+    return read_phase_log(spark, path, user).select("source", "line_no", "phase", "value")
 
 
 def job_list_files(spark, d):
-    """Job lists written as text and read back."""
+    """Job lists written as text and read back; every 13th line lacks its last fields and is rejected."""
     jobs = T.jobs(spark, d)
     path = new_path(spark, "job-list")
-    jobs.select(F.concat_ws(" ", "type", "input_file_num", "reducer_num", "r", F.concat(F.lit("order-"), F.col("id").cast("string")), F.lit(" "))).write.text(path)
-    return read_jobs(spark, path)
+    whole = F.concat_ws(" ", "type", "input_file_num", "reducer_num", "r", F.concat(F.lit("order-"), F.col("id").cast("string")), F.lit(" "))
+    jobs.select(F.when(F.col("id") % 13 == 0, F.concat_ws(" ", "type", "id")).otherwise(whole)).write.text(path)
+    return read_jobs(spark, path, rejects=True)
 
 
 _QUERIES = (
     total_sort, total_sort_skew, total_sort_builtin, row_index, row_index_lineitem, split_keys, split_input, systematic_sample, splitters, range_assign,
     range_assign_many, exchange_matrix, job_codec, validate_jobs, input_files, replicas, chunks, packets, packet_metadata, decoded, completeness,
-    coded_sort, load_report, pair_phases, phase_ratios, total_time, ratio_stats, compare_schemes, phase_summary, cycle_slots, trial_decisions,
+    file_copies, group_demand, coded_sort, coded_sort_records, load_report, pair_phases, phase_ratios, total_time, ratio_stats, compare_schemes, phase_summary, cycle_slots, trial_decisions,
     r_trajectory, assign_r, tune_stream_files, bandwidth_series, transfer_cost, rate_as_of,
-    record_files, job_list_files,
+    record_files, phase_log_files, job_list_files,
 )
 
 

@@ -105,7 +105,9 @@ ORACLES = {
     "range_assign": f"WITH {_REC}, {_spl(6)}, {_asg()} SELECT id, pid FROM asg",
     "range_assign_many": f"WITH {_REC}, {_spl(100)}, {_asg()} SELECT id, pid FROM asg",
     "exchange_matrix": f"""WITH {_REC}, {_spl(6)}, {_asg()}
-SELECT CAST(least(idx // (n // 7), 6) AS INTEGER) AS split_id, pid, count(*) AS lines, 100 * count(*) AS bytes FROM asg GROUP BY 1, 2""",
+SELECT g.split_id, g.pid, count(asg.id) AS lines, 100 * count(asg.id) AS bytes
+FROM (SELECT CAST(a.s AS INTEGER) AS split_id, CAST(unnest(range(0, 6)) AS INTEGER) AS pid FROM (SELECT unnest(range(0, 7)) AS s) a) g
+LEFT JOIN asg ON CAST(least(idx // (n // 7), 6) AS INTEGER) = g.split_id AND asg.pid = g.pid GROUP BY 1, 2""",
     "job_codec": """WITH j AS (
   SELECT o_orderkey AS id, o_custkey % 5 AS m, CASE WHEN o_orderkey % 2 = 0 THEN 'CodedTeraSort' ELSE 'TeraSort' END AS type, o_orderkey % 7 AS r, o_orderpriority AS prefix FROM orders)
 SELECT id, m || ':' || type || ':-1:6:' || r || ':' || prefix || CASE WHEN id % 11 = 0 THEN ':x' ELSE '' END AS job, id % 11 <> 0 AS job_ok,
@@ -125,7 +127,11 @@ FROM plc JOIN pla p ON plc.file_id = p.file_id JOIN fil f ON f.file_id = plc.fil
   string_agg(dest || '/' || file_id || '/' || (part + 1) || '/' || size, ' ' ORDER BY dest, file_id, part) AS chunks, max(size) AS packet_size, CAST(136 AS INTEGER) AS header_bytes
 FROM met GROUP BY 1, 2""",
     "decoded": f'{_CODED} SELECT dest, file_id, CAST(part AS INTEGER) AS part, "offset", w0, w1, w2 FROM chk',
-    "completeness": """SELECT unnest(range(1, 7)) AS node, CAST(20 AS BIGINT) AS files_seen, CAST(20 AS BIGINT) AS files_expected, true AS ok FROM (SELECT count(*) FROM events)""",
+    "completeness": f"""{_CODED} SELECT dest AS node, CAST(20 AS BIGINT) AS files_seen, CAST(20 AS BIGINT) AS files_expected, count(*) AS lines, true AS ok FROM plc GROUP BY 1""",
+    "file_copies": f"{_CODED} SELECT pla.node, pla.file_id, count(*) AS lines FROM pla JOIN plc ON pla.file_id = plc.file_id GROUP BY 1, 2",
+    "group_demand": f"""{_CODED} SELECT dem.group_id, array_to_string(grp.nodes, ' ') AS members, dem.dest, dem.file_id, count(plc.id) AS lines
+FROM dem JOIN grp ON dem.group_id = grp.group_id LEFT JOIN plc ON plc.file_id = dem.file_id AND plc.dest = dem.dest GROUP BY 1, 2, 3, 4""",
+    "coded_sort_records": f"""{_CODED} SELECT dest, file_id, {_HEX.format("key")} AS key_hex, rpad(lpad(CAST(id AS VARCHAR), 12, '0'), 90, '.') AS value FROM plc""",
     "coded_sort": f"""{_CODED} SELECT dest, file_id, CAST('0x' || substr(hex(key), 1, 10) AS BIGINT) AS k0, CAST('0x' || substr(hex(key), 11, 10) AS BIGINT) AS k1, w0, w1, w2 FROM plc""",
     "load_report": f"""{_CODED},
 a AS (SELECT p.node, count(*) AS lines_mapped FROM plc JOIN pla p ON plc.file_id = p.file_id GROUP BY 1),
@@ -153,7 +159,13 @@ FROM tra JOIN ser ON tra.t // 86400 = ser.bucket AND kind = 'pareto' GROUP BY 1,
 FROM (SELECT * FROM events WHERE event_type <> 'error') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') s ON e.user_id = s.user_id AND e.ts >= s.ts""",
     "record_files": f"""WITH t AS (
   SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || CAST(epoch(l_shipdate) AS BIGINT) AS text FROM lineitem)
-SELECT {_HEX.format("unhex(substr(md5(text), 1, 20))")} AS key_hex, rpad(text, 90, '.') AS value FROM t""",
-    "job_list_files": """SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'CodedTeraSort' ELSE 'TeraSort' END AS type, CAST(-1 AS INTEGER) AS input_file_num,
-  CAST(6 AS INTEGER) AS reducer_num, CAST(o_orderkey % 7 AS INTEGER) AS r, 'order-' || o_orderkey AS prefix FROM orders""",
+SELECT row_number() OVER (ORDER BY substr(md5(text), 1, 20), rpad(text, 90, '.')) - 1 AS place, {_HEX.format("unhex(substr(md5(text), 1, 20))")} AS key_hex, rpad(text, 90, '.') AS value FROM t""",
+    "phase_log_files": """WITH n AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS line_no FROM events)
+SELECT user_id AS source, line_no, CASE event_type WHEN 'click' THEN 'MAP' ELSE 'SHUFFLE' END AS phase, CAST(event_id AS DOUBLE) AS value
+FROM n WHERE event_type IN ('click', 'purchase')""",
+    "job_list_files": """WITH j AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 'CodedTeraSort' ELSE 'TeraSort' END AS kind, o_orderkey % 13 <> 0 AS ok FROM orders)
+SELECT CASE WHEN ok THEN kind END AS type, CASE WHEN ok THEN CAST(-1 AS INTEGER) END AS input_file_num,
+  CASE WHEN ok THEN CAST(6 AS INTEGER) END AS reducer_num, CASE WHEN ok THEN CAST(o_orderkey % 7 AS INTEGER) END AS r, CASE WHEN ok THEN 'order-' || o_orderkey END AS prefix,
+  CASE WHEN NOT ok THEN kind || ' ' || o_orderkey END AS rejected FROM j""",
 }

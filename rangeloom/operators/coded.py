@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rangeloom.functions.keys import masked_nodes
 from rangeloom.operators import records
+from rangeloom.shared import stored
 
 _MOST_NODES = 20
 
@@ -80,15 +81,16 @@ def remote(df: DataFrame, spark: SparkSession, k: int, r: int) -> DataFrame:
 def chunk_blocks(df: DataFrame, r: int, order_cols: Sequence[str]) -> DataFrame:
     """Cut each block in r chunks of ``floor(n / r)`` lines, the last with the rest (all lines if n < r).
 
-    Adds ``part`` (0-based), ``offset`` in the chunk and ``sender``, the ``part``-th node that has the file. A
-    block is 1 / (files * nodes) of the input, so its window is bounded by the choice of k and r.
+    Adds ``part`` (0-based), ``offset`` in the chunk and ``sender``, the ``part``-th node that has the file. A line's
+    place in its block is its row index in the order of (file, dest, ``order_cols``) less that of the block's first
+    line, so a block that holds much of the input is spread over many ranges.
     """
-    block = Window.partitionBy("file_id", "dest")
-    place = df.withColumn("__n", F.count(F.lit(1)).over(block)).withColumn("__pos", F.row_number().over(block.orderBy(*order_cols)) - 1)
-    place = place.withColumn("__size", F.expr(f"__n div {r}"))
+    placed = records.with_row_index(df, ["file_id", "dest", *order_cols], "__at")
+    blocks = placed.groupBy("file_id", "dest").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    place = placed.join(blocks, ["file_id", "dest"]).withColumn("__pos", F.col("__at") - F.col("__first")).withColumn("__size", F.expr(f"__n div {r}"))
     part = F.when(F.col("__size") == 0, F.lit(r - 1)).otherwise(F.least(F.expr("__pos div __size"), F.lit(r - 1))).cast("int")
     out = place.withColumn("part", part).withColumn("offset", (F.col("__pos") - F.col("part") * F.col("__size")).cast("long"))
-    return out.withColumn("sender", F.element_at("nodes", F.col("part") + 1)).drop("__n", "__pos", "__size")
+    return out.withColumn("sender", F.element_at("nodes", F.col("part") + 1)).select(*df.columns, "part", "offset", "sender")
 
 
 def xor_encode(chunks: DataFrame, words: Sequence[str]) -> DataFrame:
@@ -119,8 +121,8 @@ def xor_decode(packets: DataFrame, meta: DataFrame, chunks: DataFrame, words: Se
     """
     own = meta.select("group_id", "sender", F.col("dest").alias("receiver"), "file_id", "part", "size")
     line = ["group_id", "sender", "offset", "receiver", "file_id", "part"]
-    coded = packets.join(F.broadcast(own), ["group_id", "sender"]).where("offset < size").select(*line, *words)
-    known = chunks.select("group_id", "sender", "offset", "dest", *words).join(F.broadcast(own), ["group_id", "sender"])
+    coded = packets.join(own, ["group_id", "sender"]).where("offset < size").select(*line, *words)
+    known = chunks.select("group_id", "sender", "offset", "dest", *words).join(own, ["group_id", "sender"])
     known = known.where("dest <> receiver and offset < size").select(*line, *words)
     return coded.unionByName(known).groupBy(*line).agg(*(F.bit_xor(w).alias(w) for w in words)).withColumnRenamed("receiver", "dest")
 
@@ -131,20 +133,30 @@ def reassemble(local: DataFrame, decoded: DataFrame, words: Sequence[str]) -> Da
     return local.select(*cols).unionByName(decoded.select(*cols))
 
 
-def completeness(meta: DataFrame, placed: DataFrame) -> DataFrame:
-    """``node, files_seen, files_expected, ok``: from metadata, so that empty blocks count."""
-    seen = placed.select("node", "file_id").unionByName(meta.select(F.col("dest").alias("node"), "file_id"))
-    total = placed.agg(F.count_distinct("file_id").alias("files_expected"))
-    counts = seen.groupBy("node").agg(F.count_distinct("file_id").alias("files_seen"))
-    return counts.join(F.broadcast(total)).withColumn("ok", F.col("files_seen") == F.col("files_expected"))
+def completeness(spark: SparkSession, local: DataFrame, decoded: DataFrame, meta: DataFrame, k: int, r: int) -> DataFrame:
+    """``node, files_seen, files_expected, lines, ok``: a file counts as seen if a node holds all of its lines.
+
+    What a node decoded is held against the sizes in the metadata, file by file; a file it has itself is there whole, and
+    an empty block is complete as it is. ``lines`` are those it holds.
+    """
+    every = files(spark, k, r).select("file_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("dest"))
+    count = lambda x, n: x.groupBy("dest", "file_id").agg(F.count(F.lit(1)).alias(n))
+    wanted = meta.groupBy("dest", "file_id").agg(F.sum("size").alias("wanted"))
+    cells = every.join(wanted, ["dest", "file_id"], "left").join(count(decoded, "got"), ["dest", "file_id"], "left").join(count(local, "own"), ["dest", "file_id"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    out = cells.groupBy(F.col("dest").alias("node")).agg(
+        F.count_if(zero("got") == zero("wanted")).alias("files_seen"), F.count(F.lit(1)).alias("files_expected"), F.sum(zero("got") + zero("own")).alias("lines")
+    )
+    return out.withColumn("ok", F.col("files_seen") == F.col("files_expected"))
 
 
 def coded_parts(df: DataFrame, k: int, r: int, order_cols: Sequence[str]) -> dict[str, DataFrame]:
-    """Tables of a coded exchange of ``df`` (``file_id, dest`` set): local, chunks, meta."""
+    """Tables of a coded exchange of ``df`` (``file_id, dest`` set): local, chunks, meta. Placed lines and chunks are written."""
     spark = df.sparkSession
+    df = stored(df, "placed-lines")
     placed = placement(spark, k, r)
     mine = placed.select("file_id", F.col("node").alias("dest"))
-    chunks = chunk_blocks(remote(df, spark, k, r), r, order_cols)
+    chunks = stored(chunk_blocks(remote(df, spark, k, r), r, order_cols), "chunks")
     return {"local": df.join(F.broadcast(mine), ["file_id", "dest"], "left_semi"), "chunks": chunks, "meta": chunk_metadata(chunks, spark, k, r), "placed": placed}
 
 
@@ -152,15 +164,16 @@ def coded_sort(df: DataFrame, key: str, k: int, r: int, words: Sequence[str], or
     """Total sort through the coded exchange: rows ``dest, file_id, words`` in the order of ``words``.
 
     ``words`` are BIGINT columns that carry the whole record, the key's words first, such that their order is the
-    order wanted. Encoding needs no replicas: each remote line stands in one packet only. Runs jobs for the split
-    and the splitters, and checks that every node gets all files.
+    order wanted (see ``to_words``). Encoding needs no replicas: each remote line stands in one packet only. Runs jobs for the
+    split and the splitters, writes what is decoded, and fails where a node lacks lines.
     """
-    placed = place_records(df, key, order_cols, k, r, num_samples)
-    parts = coded_parts(placed, k, r, order_cols)
+    spark = df.sparkSession
+    parts = coded_parts(place_records(df, key, order_cols, k, r, num_samples), k, r, order_cols)
+    meta = stored(parts["meta"], "chunk-sizes")
     packets = xor_encode(parts["chunks"], words)
-    decoded = xor_decode(packets, parts["meta"], parts["chunks"], words)
-    if not completeness(parts["meta"], parts["placed"]).where("not ok").isEmpty():
-        raise ValueError("a node lacks files")
+    decoded = stored(xor_decode(packets, meta, parts["chunks"], words), "decoded-lines")
+    if not completeness(spark, parts["local"], decoded, meta, k, r).where("not ok").isEmpty():
+        raise ValueError("a node lacks lines")
     whole = reassemble(parts["local"], decoded, words)
     return whole.repartitionById(k, F.col("dest") - 1).sortWithinPartitions(*words)
 

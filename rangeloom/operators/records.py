@@ -2,71 +2,63 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangeloom.functions.keys import key_hex
+from rangeloom.shared import stored
 
 #: Splitters up to which a literal array is scanned; more go through a binary search on Arrow batches.
 _FEW = 64
 
 
-def _bucket(cols: Sequence[Column], bounds: list[tuple]) -> Column:
-    """Number of ``bounds`` (ascending tuples) that are <= the row's columns, by a coarse and a fine array."""
-    row = F.struct(*(c.alias(f"c{i}") for i, c in enumerate(cols)))
-    value = lambda b: F.struct(*(F.lit(x).alias(f"c{i}") for i, x in enumerate(b)))
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    upto = lambda a: F.size(F.filter(a, lambda s: s <= row))
-    coarse = upto(F.array(*(value(g[0]) for g in groups)))
-    fine = F.get(F.array(*(F.array(*map(value, g)) for g in groups)), F.greatest(coarse - 1, F.lit(0)))
-    return F.greatest(coarse - 1, F.lit(0)) * step + upto(fine)
+def _indexed(df: DataFrame, order_cols: Sequence[str], name: str, buckets: int | None) -> tuple[DataFrame, int]:
+    spark = df.sparkSession
+    buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(buckets, *order_cols).sortWithinPartitions(*order_cols)
+    # The number of a row in its range: the low 33 bits of the id that Spark gives it there.
+    numbered = ranged.withColumns({"__range": F.spark_partition_id(), "__in": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    numbered = stored(numbered, "row-index")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = stored(numbered.groupBy("__range").agg(F.count(F.lit(1)).alias("n")), "row-index-counts")
+    # One row per range.
+    starts = counts.select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    out = numbered.join(F.broadcast(starts), "__range").withColumn(name, F.col("__start") + F.col("__in"))
+    return out.select(*df.columns, name), counts.agg(F.sum("n")).first()[0] or 0
 
 
 def with_row_index(df: DataFrame, order_cols: Sequence[str], name: str = "idx", buckets: int | None = None) -> DataFrame:
-    """Add the 0-based position in the total order of ``order_cols``. Runs a job for the bucket bounds.
+    """Add the 0-based position in the total order of ``order_cols``. Runs a job that writes the sorted rows.
 
-    Rows are dealt to ranges of ``order_cols``, numbered inside their range, and moved up by the rows of the
-    ranges before; no window holds more than a range. Any bounds give the same index, so they come from a
-    fixed-size draw by hash. The range is an expression of the row, so a task that runs again gives the same.
+    Rows cross one exchange to ranges of ``order_cols``, are sorted and numbered there, and moved up by the rows of the
+    ranges before. The numbered rows are written once, so a task that runs again later cannot number them anew. Rows
+    that are equal in all ``order_cols`` meet in one range.
     """
-    spark = df.sparkSession
-    buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cols = [F.col(c) for c in order_cols]
-    draw = [tuple(r) for r in df.select(*cols).orderBy(F.xxhash64(*cols), *cols).limit(20 * buckets).orderBy(*cols).collect()]
-    draw = [r for r in draw if None not in r]
-    bounds = sorted({draw[i * len(draw) // buckets] for i in range(1, buckets)}) if draw else []
-    placed = df.withColumn("__bucket", _bucket(cols, bounds))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per bucket.
-    starts = placed.groupBy("__bucket").count().select("__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    rank = F.row_number().over(Window.partitionBy("__bucket").orderBy(*cols))
-    numbered = placed.withColumn("__rank", rank).join(F.broadcast(starts), "__bucket")
-    return numbered.withColumn(name, (F.col("__start") + F.col("__rank") - 1).cast("long")).drop("__bucket", "__start", "__rank")
+    return _indexed(df, order_cols, name, buckets)[0]
 
 
 def split_input(df: DataFrame, n: int, order_cols: Sequence[str]) -> DataFrame:
     """Add ``split_id``: n runs of ``floor(N / n)`` rows, the last with the remainder; fails if n < 2 or n > N."""
-    total = df.count()
+    indexed, total = _indexed(df, order_cols, "idx", None)
     if not 2 <= n <= total:
         raise ValueError(f"cannot split {total} rows in {n}")
-    return with_row_index(df, order_cols).withColumn("split_id", F.least(F.expr(f"idx div {total // n}"), F.lit(n - 1)).cast("int"))
+    return indexed.withColumn("split_id", F.least(F.expr(f"idx div {total // n}"), F.lit(n - 1)).cast("int"))
 
 
 def systematic_sample(df: DataFrame, num_samples: int, order_cols: Sequence[str]) -> DataFrame:
-    """Rows 0, gap, 2 gap... (``gap = floor(N / S)``, ``S = min(num_samples, N)`` rows); an empty table gives none."""
-    total = df.count()
-    s = min(num_samples, total)
-    if not s:
-        return df.withColumn("idx", F.lit(0).cast("long")).limit(0)
+    """Rows 0, gap, 2 gap... (``gap = floor(N / S)``, ``S = min(num_samples, N)`` rows); an empty table gives none.
+
+    The rows are indexed once and the sample, of at most ``num_samples`` rows, is written.
+    """
+    indexed, total = _indexed(df, order_cols, "idx", None)
+    if not (s := min(num_samples, total)):
+        return indexed
     gap = total // s
-    return with_row_index(df, order_cols).where((F.col("idx") % gap == 0) & (F.expr(f"idx div {gap}") < s))
+    return stored(indexed.where((F.col("idx") % gap == 0) & (F.expr(f"idx div {gap}") < s)).coalesce(1), "sample")
 
 
 def choose_splitters(sample: DataFrame, key: str, p: int) -> DataFrame:
@@ -89,23 +81,60 @@ def splitter_list(splitters: DataFrame) -> list[bytes]:
     return [bytes(r[0]) for r in splitters.orderBy("i").select("splitter").collect()]
 
 
+def _as_words(keys: pa.Array, width: int) -> np.ndarray:
+    """Keys of at most ``width`` bytes as rows of big-endian 64-bit words, the length as the last one."""
+    size = -(-width // 8) * 8
+    lengths = np.diff(np.frombuffer(keys.buffers()[1], np.int32, len(keys) + 1, keys.offset * 4))
+    if len(keys) and (lengths == width).all() and not keys.null_count:
+        first = int(np.frombuffer(keys.buffers()[1], np.int32, 1, keys.offset * 4)[0])
+        data = np.frombuffer(keys.buffers()[2], np.uint8, len(keys) * width, first).reshape(-1, width)
+        padded = np.zeros((len(keys), size), np.uint8)
+        padded[:, :width] = data
+    else:
+        padded = np.frombuffer(b"".join(k[:size].ljust(size, b"\0") for k in keys.to_pylist()), np.uint8).reshape(-1, size)
+    words = np.ascontiguousarray(padded).view(">u8").astype(np.uint64)
+    return np.column_stack([words, lengths.astype(np.uint64)])
+
+
+def _upto(rows: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """For each row the number of ``cuts`` (ascending rows) that are <= it, by a binary search of all rows at once."""
+    lo, hi = np.zeros(len(rows), np.int64), np.full(len(rows), len(cuts))
+    for _ in range(len(cuts).bit_length()):
+        mid = np.minimum((lo + hi) // 2, len(cuts) - 1)
+        at, more = cuts[mid], np.zeros(len(rows), bool)
+        equal = np.ones(len(rows), bool)
+        for c in range(rows.shape[1]):
+            more |= equal & (at[:, c] < rows[:, c])
+            equal &= at[:, c] == rows[:, c]
+        right = (more | equal) & (lo < hi)
+        lo, hi = np.where(right, mid + 1, lo), np.where(~right & (lo < hi), mid, hi)
+    return lo
+
+
 def range_assign(df: DataFrame, key: str, splitters: Sequence[bytes]) -> DataFrame:
-    """Add ``pid``, the number of splitters <= key (unsigned bytes): a key equal to a splitter goes right."""
+    """Add ``pid``, the number of splitters <= key (unsigned bytes): a key equal to a splitter goes right.
+
+    More than 64 splitters are searched in Arrow batches, a whole batch at a time; keys are then not null.
+    """
     if len(splitters) <= _FEW:
         pid = F.size(F.filter(F.array(*map(F.lit, map(bytes, splitters))), lambda s: s <= F.col(key))) if splitters else F.lit(0)
         return df.withColumn("pid", pid.cast("int"))
-    cuts = [bytes(s) for s in splitters]
+    plain = [bytes(s) for s in splitters]
 
-    @F.pandas_udf("int")
-    def find(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: bisect.bisect_right(cuts, bytes(k)))
+    @F.arrow_udf("int")
+    def find(keys: pa.Array) -> pa.Array:
+        keys = keys.cast(pa.binary())
+        longest = max(max(map(len, plain)), int(np.diff(np.frombuffer(keys.buffers()[1], np.int32, len(keys) + 1, keys.offset * 4)).max(initial=0)))
+        return pa.array(_upto(_as_words(keys, longest), _as_words(pa.array(plain, pa.binary()), longest)), pa.int32())
 
-    return df.withColumn("pid", find(key))
+    return df.withColumn("pid", find(F.col(key)))
 
 
-def exchange_matrix(df: DataFrame, src: str, dst: str, record_bytes: int = 100) -> DataFrame:
-    """``src, dst, lines, bytes`` for each pair that has lines."""
-    return df.groupBy(src, dst).agg(F.count(F.lit(1)).alias("lines")).withColumn("bytes", F.col("lines") * record_bytes)
+def exchange_matrix(df: DataFrame, src: str, dst: str, sources: int, dests: int, record_bytes: int = 100) -> DataFrame:
+    """``src, dst, lines, bytes`` for each of ``sources * dests`` pairs, 0 where no line goes."""
+    cells = df.sparkSession.range(sources).select(F.col("id").cast("int").alias(src), F.explode(F.sequence(F.lit(0), F.lit(dests - 1))).alias(dst))
+    counts = df.groupBy(src, dst).agg(F.count(F.lit(1)).alias("lines"))
+    return cells.join(counts, [src, dst], "left").select(src, dst, F.coalesce("lines", F.lit(0)).alias("lines")).withColumn("bytes", F.col("lines") * record_bytes)
 
 
 def range_partition(df: DataFrame, key: str, splitters: Sequence[bytes]) -> DataFrame:
@@ -120,15 +149,17 @@ def sort_partitions(df: DataFrame, key: str, tiebreak: Sequence[str]) -> DataFra
 def total_sort(df: DataFrame, key: str, p: int, tiebreak: Sequence[str], num_samples: int = 10_000, method: str = "sampled") -> DataFrame:
     """Sort by key and tie-break; partitions, read in order, are the sorted whole. Runs jobs for the splitters.
 
+    ``df`` is read twice: its key and tie-break for the sample, and whole for the one exchange.
+
     ``sampled``: systematic sample, splitters, one exchange of all rows to their range, sort inside; equal keys
     meet in one partition. ``builtin``: Spark's own range sort over (key, tie-break), which spreads equal keys;
     then there is no ``pid``. An empty input gives an empty output.
     """
     if method == "builtin":
         return df.orderBy(key, *tiebreak)
-    if df.isEmpty():
+    sample = systematic_sample(df.select(*dict.fromkeys([key, *tiebreak])), num_samples, tiebreak)
+    if sample.isEmpty():
         return df.withColumn("pid", F.lit(0))
-    sample = systematic_sample(df.select(key, *tiebreak), num_samples, tiebreak)
     cuts = splitter_list(choose_splitters(sample, key, p))
     return sort_partitions(range_partition(df, key, cuts), key, tiebreak)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
@@ -24,8 +25,10 @@ def _local(path: str) -> str:
 
 
 class _Range(InputPartition):
-    def __init__(self, file: str, start: int, stop: int) -> None:
-        self.file, self.start, self.stop = file, start, stop
+    """Bytes ``start`` to ``stop`` of a file; ``place`` is the number of records before them in all files."""
+
+    def __init__(self, file: str, start: int, stop: int, place: int) -> None:
+        self.file, self.start, self.stop, self.place = file, start, stop, place
 
 
 class _Reader(DataSourceReader):
@@ -33,17 +36,19 @@ class _Reader(DataSourceReader):
         self.path = _local(options["path"])
         self.key, self.value = int(options.get("keysize", 10)), int(options.get("valuesize", 90))
         self.split = int(options.get("splitbytes", 64 << 20))
+        self.places = _places(options)
 
     def partitions(self) -> list[InputPartition]:
         width = self.key + self.value
         names = sorted(glob.glob(f"{self.path}/*")) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
         step = max(1, self.split // width) * width
-        ranges = []
+        ranges, before = [], 0
         for f in names:
             if os.path.isfile(f) and not os.path.basename(f).startswith(("_", ".")):
                 whole = os.path.getsize(f) // width * width
-                ranges += [_Range(f, at, min(at + step, whole)) for at in range(0, whole, step)]
-        return ranges or [_Range("", 0, 0)]
+                ranges += [_Range(f, at, min(at + step, whole), before + at // width) for at in range(0, whole, step)]
+                before += whole // width
+        return ranges or [_Range("", 0, 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         width = self.key + self.value
@@ -51,12 +56,16 @@ class _Reader(DataSourceReader):
             return
         with open(partition.file, "rb") as f:
             f.seek(partition.start)
-            left = partition.stop - partition.start
+            left, place = partition.stop - partition.start, partition.place
             while left:
                 data = f.read(min(left, _CHUNK // width * width or width))
                 left -= len(data)
                 rows = np.frombuffer(data, np.uint8).reshape(-1, width)
-                yield pa.RecordBatch.from_arrays([_fixed(rows[:, : self.key]), _fixed(rows[:, self.key :])], names=["key", "value"])
+                columns = {"key": _fixed(rows[:, : self.key]), "value": _fixed(rows[:, self.key :])}
+                if self.places:
+                    columns["place"] = pa.array(np.arange(place, place + len(rows)))
+                place += len(rows)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def _fixed(rows: np.ndarray) -> pa.Array:
@@ -65,16 +74,37 @@ def _fixed(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
+def _places(options: dict) -> bool:
+    return str(options.get("places", "false")).lower() == "true"
+
+
+def _joined(batch: pa.RecordBatch) -> bytes:
+    """Keys and values of a batch in turn; where all are of one length, as two blocks of bytes side by side."""
+    sides = []
+    for name in ("key", "value"):
+        column = batch.column(name).cast(pa.binary())
+        ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+        sizes = np.diff(ends)
+        if column.null_count or not len(sizes) or not sizes[0] or (sizes != sizes[0]).any():
+            return b"".join((k or b"") + (v or b"") for k, v in zip(batch.column("key").to_pylist(), batch.column("value").to_pylist(), strict=True))
+        sides.append(np.frombuffer(column.buffers()[2], np.uint8, int(ends[-1] - ends[0]), int(ends[0])).reshape(len(column), -1))
+    return np.concatenate(sides, axis=1).tobytes()
+
+
 class _Commit(WriterCommitMessage):
     def __init__(self, part: int, name: str) -> None:
         self.part, self.name = part, name
 
 
 class _Writer(DataSourceArrowWriter):
-    """Tasks write hidden files; the commit renames one per partition, so a task that ran twice counts once."""
+    """Tasks write hidden files; the commit renames one per partition, so a task that ran twice counts once.
 
-    def __init__(self, options: dict) -> None:
-        self.path = _local(options["path"])
+    Files are named by write and partition: those of a later write come after those before it. ``overwrite`` removes
+    the files before it when the new ones are there.
+    """
+
+    def __init__(self, options: dict, overwrite: bool) -> None:
+        self.path, self.overwrite = _local(options["path"]), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -84,15 +114,18 @@ class _Writer(DataSourceArrowWriter):
         name = f"{self.path}/.part-{part:05d}-{uuid.uuid4().hex}"
         with open(name, "wb") as f:
             for batch in iterator:
-                for k, v in zip(batch.column("key").to_pylist(), batch.column("value").to_pylist(), strict=True):
-                    f.write(k)
-                    f.write(v)
+                f.write(_joined(batch))
         return _Commit(part, name)
 
     def commit(self, messages: list) -> None:
+        old = [f for f in os.listdir(self.path) if re.match(r"part-\d+-\d+$", f)] if os.path.isdir(self.path) else []
+        write = 1 + max((int(f.split("-")[1]) for f in old), default=-1)
         for m in messages:
             if m is not None:
-                os.replace(m.name, f"{self.path}/part-{m.part:05d}")
+                os.replace(m.name, f"{self.path}/part-{write:06d}-{m.part:06d}")
+        if self.overwrite:
+            for f in old:
+                os.remove(f"{self.path}/{f}")
 
     def abort(self, messages: list) -> None:
         for m in messages:
@@ -101,29 +134,36 @@ class _Writer(DataSourceArrowWriter):
 
 
 class FixedWidthSource(DataSource):
-    """``path``, ``keysize``, ``valuesize``, ``splitbytes``; bytes short of a whole record at a file's end are dropped."""
+    """``path``, ``keysize``, ``valuesize``, ``splitbytes``, ``places``; bytes short of a whole record at a file's end are dropped."""
 
     @classmethod
     def name(cls) -> str:
         return "fixed_width"
 
     def schema(self) -> str:
-        return "key binary, value binary"
+        return "key binary, value binary, place long" if _places(self.options) else "key binary, value binary"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options)
+        return _Writer(self.options, overwrite)
 
 
-def read_records(spark: SparkSession, path: str, key_size: int = 10, value_size: int = 90, split_bytes: int = 64 << 20) -> DataFrame:
-    """``key, value`` of back-to-back records; an input partition for each record-aligned range of bytes."""
+def read_records(spark: SparkSession, path: str, key_size: int = 10, value_size: int = 90, split_bytes: int = 64 << 20, places: bool = False) -> DataFrame:
+    """``key, value`` of back-to-back records; an input partition for each record-aligned range of bytes.
+
+    With ``places`` also ``place``, the number of records before it in the files in the order of their names. Files lie
+    below a folder that the driver and all executors mount.
+    """
     spark.dataSource.register(FixedWidthSource)
-    return spark.read.format("fixed_width").option("keysize", key_size).option("valuesize", value_size).option("splitbytes", split_bytes).load(path)
+    return spark.read.format("fixed_width").option("keysize", key_size).option("valuesize", value_size).option("splitbytes", split_bytes).option("places", str(places)).load(path)
+
 
+def write_records(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Write ``key, value`` as a file per partition, numbered in their order: sorted partitions concatenate sorted.
 
-def write_records(df: DataFrame, path: str) -> None:
-    """Write ``key, value`` as a file per partition, numbered in their order: sorted partitions concatenate sorted."""
+    ``append`` adds files behind those that are there, ``overwrite`` replaces them.
+    """
     df.sparkSession.dataSource.register(FixedWidthSource)
-    df.select("key", "value").write.format("fixed_width").mode("append").save(path)
+    df.select("key", "value").write.format("fixed_width").mode(mode).save(path)

@@ -5,6 +5,7 @@ from math import comb
 import pytest
 from pyspark.sql import functions as F
 
+from rangeloom.functions.keys import from_words, to_words
 from rangeloom.operators import coded as C
 
 WORDS = ["w0", "w1"]
@@ -59,7 +60,12 @@ def test_decode_gives_back_what_was_encoded(spark, k, r):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, df.select("dest", "file_id", *WORDS).collect()))
     meta = p["meta"].collect()
     assert len(meta) == r * (k - r) * comb(k, r)
-    assert {(x.node, x.ok) for x in C.completeness(p["meta"], p["placed"]).collect()} == {(i, True) for i in range(1, k + 1)}
+    check = lambda decoded: {x.node: x.ok for x in C.completeness(spark, p["local"], decoded, p["meta"], k, r).collect()}
+    assert check(back) == {i: True for i in range(1, k + 1)}
+    # Without one of the chunks, the node that wanted it is not complete, and no other.
+    if lost := back.first():
+        short = back.where(f"not (dest = {lost.dest} and file_id = {lost.file_id} and part = {lost.part})")
+        assert check(short) == {i: i != lost.dest for i in range(1, k + 1)}
     heads = C.packet_metadata(p["meta"], r).collect()
     assert len(heads) == (r + 1) * comb(k, r + 1) and {x.header_bytes for x in heads} == {4 + 44 * r}
     assert {len(x.chunks) for x in heads} == {r} and all(x.packet_size == max(c["size"] for c in x.chunks) for x in heads)
@@ -93,6 +99,34 @@ def test_coded_sort_equals_total_sort(spark):
     assert all(x.p == x.dest - 1 for x in got)
 
 
+def test_coded_sort_notices_lost_lines(spark, monkeypatch):
+    df = spark.createDataFrame([(bytearray([i % 251, i % 7] + [0] * 8), i) for i in range(200)], "key binary, id long")
+    whole = C.xor_decode
+    monkeypatch.setattr(C, "xor_decode", lambda *a: whole(*a).where("not (dest = 2 and part = 0)"))
+    with pytest.raises(ValueError, match="lacks lines"):
+        C.coded_sort(df.withColumn("k", F.col("id")), "key", 4, 2, ["k", "id"], ["id"], 50)
+
+
+def test_records_as_words(spark):
+    r = random.Random(2)
+    rows = [(bytearray(b),) for n in (100,) for b in [bytes(n), b"\xff" * n, *(r.randbytes(n) for _ in range(20))]]
+    df = spark.createDataFrame(rows, "rec binary")
+    for size in (100, 96, 1, 7):
+        words = to_words(F.substring("rec", 1, size), size, "w")
+        got = df.withColumns(words).select(F.substring("rec", 1, size).alias("a"), from_words(list(words), size).alias("b")).collect()
+        assert len(words) == -(-size // 8) and all(bytes(x.a) == bytes(x.b) for x in got)
+
+
+def test_hot_block_is_chunked_over_ranges(spark):
+    """A block that holds nearly all lines is not numbered in one window."""
+    df = spark.range(5000).select("id", F.lit(1).cast("long").alias("file_id"), F.lit(4).alias("dest")).unionByName(spark.range(7).select("id", F.lit(2).cast("long").alias("file_id"), F.lit(3).alias("dest")))
+    chunks = C.chunk_blocks(C.remote(df, spark, 4, 3), 3, ["id"])
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(file_id" not in plan and plan.count("Window") <= 2
+    sizes = {(x.file_id, x.part): x["count"] for x in chunks.groupBy("file_id", "part").count().collect()}
+    assert sizes == {(1, 0): 1666, (1, 1): 1666, (1, 2): 1668, (2, 0): 2, (2, 1): 2, (2, 2): 3}
+
+
 def test_load_report(spark):
     df = table(spark, 6, 3, 8, 600)
     rows = C.load_report(df, 6, 3).collect()

@@ -11,6 +11,8 @@ def test_read_jobs(spark, tmp_path):
     (tmp_path / "jobs").write_text("TeraSort -1 6 2 ./in  \n\nCodedTeraSort   15 6 2 x\nbad line\n")
     got = [tuple(r) for r in read_jobs(spark, str(tmp_path / "jobs")).collect()]
     assert got == [("TeraSort", -1, 6, 2, "./in"), ("CodedTeraSort", 15, 6, 2, "x")]
+    rejected = read_jobs(spark, str(tmp_path / "jobs"), rejects=True).where("rejected is not null").collect()
+    assert [tuple(r) for r in rejected] == [(None,) * 5 + ("bad line",)]
 
 
 def test_phase_log_files(spark, tmp_path):

@@ -107,7 +107,37 @@ def test_total_sort_ways_agree(spark):
 
 def test_exchange_matrix(spark):
     df = spark.createDataFrame([(0, 1), (0, 1), (1, 0)], "s int, d int")
-    assert {tuple(r) for r in R.exchange_matrix(df, "s", "d").collect()} == {(0, 1, 2, 200), (1, 0, 1, 100)}
+    want = {(0, 0, 0, 0), (0, 1, 2, 200), (0, 2, 0, 0), (1, 0, 1, 100), (1, 1, 0, 0), (1, 2, 0, 0)}
+    assert {tuple(r) for r in R.exchange_matrix(df, "s", "d", 2, 3).collect()} == want
+
+
+def test_range_assign_with_keys_of_any_length(spark):
+    r = random.Random(4)
+    ks = [r.randbytes(r.randrange(20)) for _ in range(400)] + [b"", b"\0", b"\0\0", b"a" * 17, b"a" * 16]
+    cuts = sorted(r.choices(ks, k=80))
+    got = {x.id: x.pid for x in R.range_assign(frame(spark, ks).repartition(3), "key", cuts).collect()}
+    assert got == {i: bisect.bisect_right(cuts, k) for i, k in enumerate(ks)}
+
+
+def test_total_sort_reads_its_input_twice(spark, tmp_path):
+    """Once its key and tie-break for the sample, once whole; the splitters come from written tables."""
+    frame(spark, keys(200)).write.parquet(str(tmp_path / "t"))
+    plan = R.total_sort(spark.read.parquet(str(tmp_path / "t")), "key", 4, ["id"], 40)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Python" not in plan
+
+
+def test_appended_and_overwritten_files(spark, tmp_path):
+    from rangeloom.sources.fixed import read_records, write_records
+
+    rows = [(bytearray(bytes([i]) * 10), bytearray(bytes([i]) * 90)) for i in range(60)]
+    part = lambda a, b: spark.createDataFrame(rows[a:b], "key binary, value binary").coalesce(1)
+    path = str(tmp_path / "r")
+    for a, b in ((0, 20), (20, 40), (40, 60)):
+        write_records(part(a, b), path)
+    got = [(x.place, bytes(x.key)) for x in read_records(spark, path, places=True, split_bytes=700).orderBy("place").collect()]
+    assert got == [(i, bytes([i]) * 10) for i in range(60)]
+    write_records(part(5, 9), path, "overwrite")
+    assert sorted(bytes(x.key)[0] for x in read_records(spark, path).collect()) == [5, 6, 7, 8]
 
 
 def test_fixed_width_files(spark, tmp_path):
