@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,11 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables of the shared folder, whatever file system it is on."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: list[str] | None = None) -> Iterator[None]:
+    """Tables that are written in the block are removed when it ends well, but for the paths in ``keep``.
+
+    Frames that read them must have been run or written by then. After an error they stay.
+    """
+    before = len(_made)
+    yield
+    remove(spark, [p for p in _made[before:] if p not in (keep or ())])
+    _made[before:] = [p for p in _made[before:] if p in (keep or ())]
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a lost executor loses none of it."""
-    path = new_path(df.sparkSession, name)
+    path = path or new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
