@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline
-from rangeloom.llm import bpe, mixing
+from rangeloom.llm import bpe, mixing, quality
 from tests.llm.test_neardup import shingles
 from tests.llm.test_quality import brute as base_rules
 
@@ -93,3 +93,53 @@ def test_run_is_the_stages(spark, sf, stages):
     rows, _ = stages
     got = corpus_pipeline.run(spark, sf).collect()
     assert sorted((r.doc_id, list(r.ids)) for r in got) == sorted((r.doc_id, list(r.ids)) for r in rows["tokens"])
+
+
+def test_run_removes_its_tables(spark, sf):
+    """Of a run only the mix, which the last stage reads, and the digest index's catalog entries are left."""
+    import os
+
+    from rangeloom.shared import shared_dir
+
+    before = set(os.listdir(shared_dir(spark)))
+    corpus_pipeline.run(spark, sf).count()
+    assert [x.rpartition("-")[0] for x in set(os.listdir(shared_dir(spark))) - before] == ["source-mix"]
+
+
+def test_stages_on_odd_rows(spark, odd, odd_rows):
+    """Nulls, empty and long texts, ties, repeated rows, several texts of one id and a null id, with clashing columns."""
+    long = " ".join(f"w{i}" for i in range(400))
+    extra = [(20, long, "en", "s1", 9, True, "y"), (20, long + " end", "en", "s1", 9, True, "y"), (21, long + "\n", "en", None, 9, True, "y"), (None, long, "en", "s1", 9, True, "y"), (None, None, None, None, None, None, None)]
+    docs = odd.unionByName(spark.createDataFrame(extra, odd.schema))
+    rows = [*odd_rows, *extra]
+    stage = dict(corpus_pipeline.STAGES)
+    run = lambda name: stage[name](spark, docs, "")
+    for name, _ in corpus_pipeline.STAGES[:-1]:
+        assert run(name).columns == docs.columns
+
+    kept = run("quality rules").collect()
+    assert len(kept) == sum(quality.measurer()(r[1]).kept for r in rows) > 0
+
+    plain = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    groups = defaultdict(list)
+    for r in rows:
+        groups[plain(r[1])].append(r)
+    want = [min(g, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0)) for g in groups.values()]
+    got = run("exact dedup").collect()
+    assert sorted((r.doc_id, plain(r.text)) for r in got) == sorted((r[0], plain(r[1])) for r in want)
+
+    stays = [r.doc_id for r in run("near dedup").collect()]
+    assert 21 not in stays and stays.count(20) == 2 and stays.count(None) == 2
+    assert {7, 9} <= set(stays) and not {8, 10, 12} & set(stays)
+
+    mix = run("source mix").collect()
+    assert mix and all((r.text or "").split() and r.n_chars == len(r.text) for r in mix) and not {1, 2, 3} & {r.doc_id for r in mix}
+
+    made = run("tokens").collect()
+    assert len(made) == len(rows) and all((r.n_tokens == 0) == (not r.ids) for r in made)
+    assert sum(r.n_tokens == 0 for r in made) == sum(not r[1] for r in rows)
+
+
+def test_stages_on_an_empty_table(spark, empty):
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, empty, "").collect() == [], name
