@@ -46,6 +46,31 @@ def test_any_text(text):
         assert bpe.Decoder(t).feed(ids, final=True) == x
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.characters(max_codepoint=127), max_size=60), max_size=6))
+def test_ascii_texts_together(texts):
+    t = bpe.transducer(bpe.vocabulary())
+    lib = test_any_text.lib
+    assert [np.frombuffer(b"".join(p), "<u4").tolist() for p in t.encode_each(texts)] == [lib.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_pieces_merged_together(ours):
+    r = random.Random(6)
+    tokens = [b for b in ours.bytes_of.values() if len(b) < 9]
+    pieces = [b"".join(r.choices(tokens, k=r.randint(0, 7)))[:64] for _ in range(5000)] + [bytes(r.randrange(256) for _ in range(r.randint(0, 64))) for _ in range(500)]
+    assert ours.merge_all(pieces) == [np.array(ours.merge(p), "<u4").tobytes() for p in pieces]
+    assert ours.merge_all([]) == []
+
+
+def test_known_pieces_are_bounded(ours, library, monkeypatch):
+    monkeypatch.setattr(bpe, "_CACHE", 50)
+    monkeypatch.setattr(bpe, "_GROUP", 300)
+    r = random.Random(8)
+    texts = ["", *(" ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 9))) for _ in range(r.randint(0, 90))) for _ in range(60)), "x" * 2000]
+    t = bpe.Transducer(bpe.vocabulary())
+    assert [np.frombuffer(b"".join(p), "<u4").tolist() for p in t.encode_each(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_streaming_equals_whole(ours):
     r = random.Random(2)
     tokens = [b for b in ours.bytes_of.values() if b.isalpha()]
