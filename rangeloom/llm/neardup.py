@@ -288,9 +288,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are not read.
     """
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    key = F.xxhash64("text")
-    several = docs.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi and doc_id is not null")
-    return _of_texts(docs, spec) if not several.isEmpty() else _of_documents(docs, spec)
+    signed = stored(signatures(docs, spec), "signatures")
+    key = F.xxhash64("set_key")
+    several = signed.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi and doc_id is not null")
+    return _of_texts(docs, spec) if not several.isEmpty() else _of_documents(docs, signed, spec)
 
 
 def _of_texts(docs: DataFrame, spec: NearSpec) -> DataFrame:
@@ -302,19 +303,21 @@ def _of_texts(docs: DataFrame, spec: NearSpec) -> DataFrame:
     named = docs.where("doc_id is not null").select("doc_id", "key").distinct().withColumn("node", F.monotonically_increasing_id())
     named = stored(named, "text-nodes")
     texts = stored(docs.join(named, ["doc_id", "key"]).dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "text"), "node-texts")
-    own = stored(_of_documents(texts, spec).select(F.col("doc_id").alias("node"), "n_shingles", F.col("component_id").alias("of")), "node-components")
+    signed = stored(signatures(texts, spec), "node-signatures")
+    own = stored(_of_documents(texts, signed, spec).select(F.col("doc_id").alias("node"), "n_shingles", F.col("component_id").alias("of")), "node-components")
     same_id = named.join(named.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b"))
     labels = components(own.select(F.col("of").alias("a"), F.col("node").alias("b")).unionByName(same_id))
     nodes = named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     nodes = stored(nodes.join(nodes.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").join(own, "node").select("doc_id", "key", "component_id", "n_shingles"), "node-results")
     out = docs.join(nodes, ["doc_id", "key"], "left").select("doc_id", "component_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.col("text")).alias("text"))
-    alone = _of_documents(out.where("doc_id is null").select("doc_id", "text"), spec)
+    unnamed = out.where("doc_id is null").select("doc_id", "text")
+    alone = _of_documents(unnamed, stored(signatures(unnamed, spec), "unnamed-signatures"), spec)
     found = out.where("doc_id is not null").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     return found.unionByName(alone)
 
 
-def _of_documents(docs: DataFrame, spec: NearSpec) -> DataFrame:
-    """:func:`near_duplicates` of ``docs`` (``doc_id, text``), in which a doc_id has one text.
+def _of_documents(docs: DataFrame, signed: DataFrame, spec: NearSpec) -> DataFrame:
+    """:func:`near_duplicates` of ``docs`` (``doc_id, text``) with ``signed``, its :func:`signatures`; a doc_id has one set.
 
     1. Documents with equal sets are one node from here on, found by a digest of the set.
     2. Band buckets: every member is a candidate of the bucket's smallest node, never all pairs of a bucket.
@@ -323,7 +326,6 @@ def _of_documents(docs: DataFrame, spec: NearSpec) -> DataFrame:
        blocks, and the pairs that pass are confirmed likewise; so no link between components is missed that
        shares a bucket.
     """
-    signed = stored(signatures(docs, spec), "signatures")
     full = signed.where("set_key is not null and doc_id is not null")
     reps = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), *(F.first(c).alias(c) for c in _SKETCH[1:])), "set-representatives")
     banded = reps.select("id", F.explode("keys").alias("key"))
