@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rangeloom.operators.records import place_in_group
+
 #: Map times count in units of 0.5 * 1e7 (fixed value).
 MAP_SCALE = 5e6
 
@@ -15,11 +17,11 @@ def pair_phases(log: DataFrame, scale: float = MAP_SCALE, order_cols: Sequence[s
     """``source, k, map, shuffle``: the k-th MAP with the k-th SHUFFLE of a source, map times scaled.
 
     ``log`` has ``source, phase, value`` and ``order_cols``; lines of either kind beyond the other's number are
-    dropped, other phases ignored. One exchange by (source, phase) numbers the lines, one by (source, k) pairs them.
+    dropped, other phases ignored. Lines are numbered in sorted ranges, so that a source of many lines is spread over
+    tasks; one exchange by (source, k) pairs them. Runs a job that writes the lines.
     """
     lines = log.where(F.col("phase").isin("MAP", "SHUFFLE"))
-    k = F.row_number().over(Window.partitionBy("source", "phase").orderBy(*order_cols)) - 1
-    numbered = lines.select("source", "phase", "value", k.alias("k"))
+    numbered = place_in_group(lines.select(*dict.fromkeys(["source", "phase", "value", *order_cols])), ["source", "phase"], order_cols, "k")
     pick = lambda p: F.max(F.when(F.col("phase") == p, F.col("value")))
     pairs = numbered.groupBy("source", "k").agg((pick("MAP") * scale).alias("map"), pick("SHUFFLE").alias("shuffle"), F.count(F.lit(1)).alias("c"))
     return pairs.where("c = 2").drop("c")

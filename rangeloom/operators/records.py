@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangeloom.functions.keys import key_hex
@@ -16,13 +16,17 @@ from rangeloom.shared import stored
 _FEW = 64
 
 
-def _indexed(df: DataFrame, order_cols: Sequence[str], name: str, buckets: int | None) -> tuple[DataFrame, int]:
-    spark = df.sparkSession
-    buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def _ranged(df: DataFrame, order_cols: Sequence[str], buckets: int | None) -> DataFrame:
+    """``df`` in sorted ranges of ``order_cols``, written, with ``__range`` and the place in it, ``__in``."""
+    buckets = buckets or max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = df.repartitionByRange(buckets, *order_cols).sortWithinPartitions(*order_cols)
     # The number of a row in its range: the low 33 bits of the id that Spark gives it there.
     numbered = ranged.withColumns({"__range": F.spark_partition_id(), "__in": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    numbered = stored(numbered, "row-index")
+    return stored(numbered, "row-index")
+
+
+def _indexed(df: DataFrame, order_cols: Sequence[str], name: str, buckets: int | None) -> tuple[DataFrame, int]:
+    numbered = _ranged(df, order_cols, buckets)
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     counts = stored(numbered.groupBy("__range").agg(F.count(F.lit(1)).alias("n")), "row-index-counts")
     # One row per range.
@@ -31,6 +35,46 @@ def _indexed(df: DataFrame, order_cols: Sequence[str], name: str, buckets: int |
     return out.select(*df.columns, name), counts.agg(F.sum("n")).first()[0] or 0
 
 
+def _pieces(numbered: DataFrame, groups: Sequence[str], aggs: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
+    """``numbered`` joined with a row for each group in each range: ``aggs`` of its rows there, then ``carried`` over windows.
+
+    A group stands in neighbouring ranges, so there are at most as many pieces as groups and ranges together, and a
+    join key, (range, group), has the rows of one range at most however many rows its group has. Null is a group.
+    """
+    before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = numbered.groupBy("__range", *groups).agg(*(a.alias(n) for n, a in aggs.items()))
+    pieces = pieces.select(F.col("__range").alias("__piece"), *(F.col(g).alias(f"__of_{g}") for g in groups), *aggs, *(c.over(before).alias(n) for n, c in carried.items()))
+    same = F.col("__range") == F.col("__piece")
+    for g in groups:
+        same &= F.col(g).eqNullSafe(F.col(f"__of_{g}"))
+    return numbered.join(pieces, same)
+
+
+def place_in_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], name: str = "place") -> DataFrame:
+    """Add the 0-based place of a row among its group's rows, in the order of ``order_cols``. Runs a job that writes the rows.
+
+    What ``row_number`` gives over the group, without one task for each group: rows are sorted in ranges of (group,
+    order), and a row's place is that in its range, less the group's first there, and the group's rows in the ranges before.
+    Rows that are equal in group and order meet in one range. Null is a group; an empty table gives an empty one.
+    """
+    numbered = _ranged(df, [*group_cols, *order_cols], None)
+    out = _pieces(numbered, group_cols, {"__first": F.min("__in"), "__n": F.count(F.lit(1))}, {"__before": F.sum("__n")})
+    return out.withColumn(name, F.col("__in") - F.col("__first") + F.coalesce("__before", F.lit(0))).select(*df.columns, name)
+
+
+def last_in_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add the last ``value`` that is not null among a group's rows up to this one, null before the first. Runs a job that writes the rows.
+
+    As in :func:`place_in_group` a group is spread over ranges: inside a range a window carries the value on, and what the
+    ranges before end with comes from a row for each group and range.
+    """
+    numbered = _ranged(df, [*group_cols, *order_cols], None)
+    at_end = F.max_by(value, F.when(F.col(value).isNotNull(), F.col("__in")))
+    out = _pieces(numbered, group_cols, {"__end": at_end}, {"__carried": F.last("__end", ignorenulls=True)})
+    here = Window.partitionBy("__range", *group_cols).orderBy("__in").rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(here), "__carried")).select(*df.columns, name)
+
+
 def with_row_index(df: DataFrame, order_cols: Sequence[str], name: str = "idx", buckets: int | None = None) -> DataFrame:
     """Add the 0-based position in the total order of ``order_cols``. Runs a job that writes the sorted rows.
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rangeloom.operators.records import last_in_group
+
 
 @dataclass(frozen=True)
 class Bandwidth:
@@ -50,14 +52,12 @@ def rate_at(transfers: DataFrame, series: DataFrame, interval: int) -> DataFrame
 def rate_as_of(transfers: DataFrame, series: DataFrame, key: str) -> DataFrame:
     """Add the rate of the last ``valid_from <= t`` within ``key``, for uneven intervals; null before the first.
 
-    Both tables are stacked by time and the last rate is carried on, one exchange by ``key``, no join.
+    Both tables are stacked by time and the last rate is carried on, in sorted ranges, so that a key of many rows is
+    spread over tasks. Runs a job that writes the stacked rows.
     """
-    from pyspark.sql import Window
-
     t = transfers.withColumns({"__rate": F.lit(None).cast("double"), "__at": F.col("t").cast("double"), "__row": F.lit(1)})
     s = series.select(F.col(key), F.col("rate").alias("__rate"), F.col("valid_from").cast("double").alias("__at"), F.lit(0).alias("__row"))
-    w = Window.partitionBy(key).orderBy("__at", "__row").rowsBetween(Window.unboundedPreceding, 0)
-    both = t.unionByName(s, allowMissingColumns=True).withColumn("rate", F.last("__rate", ignorenulls=True).over(w))
+    both = last_in_group(t.unionByName(s, allowMissingColumns=True), [key], ["__at", "__row"], "__rate", "rate")
     return both.where("__row = 1").drop("__rate", "__at", "__row")
 
 

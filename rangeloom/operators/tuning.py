@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rangeloom.operators.records import place_in_group
+
 #: Cost of a unit of computation in units of network load: 0.5 * 1e7 (fixed value).
 COMPUTATION = 5e6
 
@@ -22,9 +24,11 @@ def arms(r: Column, max_r: int) -> tuple[Column, Column]:
 
 
 def cycle_slots(df: DataFrame, key: str, order_cols: Sequence[str], interval: int = 10) -> DataFrame:
-    """Add ``seq``, ``cycle`` and ``slot``: ``interval`` jobs as usual, then the trials 1A 1B 2A 2B, and again."""
-    seq = F.row_number().over(Window.partitionBy(key).orderBy(*order_cols)) - 1
-    return df.withColumn("seq", seq).withColumn("cycle", F.expr(f"seq div {interval + 4}").cast("int")).withColumn("slot", F.col("seq") % (interval + 4))
+    """Add ``seq``, ``cycle`` and ``slot``: ``interval`` jobs as usual, then the trials 1A 1B 2A 2B, and again.
+
+    Jobs are numbered in sorted ranges, so that a key of many jobs is spread over tasks. Runs a job that writes them.
+    """
+    return place_in_group(df, [key], order_cols, "seq").withColumn("cycle", F.expr(f"seq div {interval + 4}").cast("int")).withColumn("slot", F.col("seq") % (interval + 4))
 
 
 def trial_decisions(slots: DataFrame, key: str, interval: int = 10) -> DataFrame:

@@ -156,3 +156,34 @@ def test_fixed_width_files(spark, tmp_path):
     out = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
     assert out == b"".join(sorted(rows))
     assert not list((tmp_path / "out").glob(".part*"))
+
+
+def grouped(n=900, seed=3):
+    """Rows of five groups: one holds a third of all rows, one is null, one has a single row."""
+    r = random.Random(seed)
+    rows = [(r.choice(["hot", "a", "b", None]) if r.random() > 0.33 else "hot", i, r.choice([None, None, float(i)])) for i in range(n)]
+    return [*rows, ("one", n, None)]
+
+
+@pytest.mark.parametrize("n", [0, 900])
+def test_place_and_last_in_group(spark, n):
+    rows = grouped(n) if n else []
+    df = spark.createDataFrame(rows, "g string, at long, x double")
+    place, last, want = {}, {}, {}
+    for g, at, x in sorted(rows, key=lambda t: t[1]):
+        place[g] = place.get(g, -1) + 1
+        last[g] = x if x is not None else last.get(g)
+        want[at] = (g, place[g], last[g])
+    both = R.last_in_group(R.place_in_group(df, ["g"], ["at"]), ["g"], ["at"], "x", "y")
+    assert {r.at: (r.g, r.place, r.y) for r in both.collect()} == want
+    assert both.columns == ["g", "at", "x", "place", "y"]
+
+
+def test_a_hot_group_is_spread(spark):
+    df = spark.createDataFrame([("hot", i) for i in range(4000)], "g string, at long")
+    numbered = R._ranged(df, ["g", "at"], 16)
+    most = numbered.groupBy("__range").count().agg(F.max("count")).first()[0]
+    assert numbered.count() == 4000 and most < 1000
+    plan = R.place_in_group(df, ["g"], ["at"])._jdf.queryExecution().optimizedPlan().toString()
+    # The only window is over a row for each group and range.
+    assert plan.count("Window") == 1 and "sum(__n" in plan[plan.index("Window") :].split("\n")[0]
