@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rangeloom.operators.records import place_in_group
+from rangeloom.shared import stored
 
 #: Cost of a unit of computation in units of network load: 0.5 * 1e7 (fixed value).
 COMPUTATION = 5e6
@@ -43,36 +44,42 @@ def trial_decisions(slots: DataFrame, key: str, interval: int = 10) -> DataFrame
     return t.select(key, "cycle", F.when(up, 1).when(down, -1).otherwise(0).alias("decision"))
 
 
-def r_trajectory(decisions: DataFrame, key: str, r0: int, max_r: int, block: int = 4096) -> DataFrame:
-    """``key, cycle, r``: r in force during each decided cycle and the one after the last.
+def _clamp(x: Column, lo: Column, hi: Column) -> Column:
+    return F.least(F.greatest(x, lo), hi)
+
+
+def r_trajectory(decisions: DataFrame, key: str, r0: int, max_r: int, block: int = 256) -> DataFrame:
+    """``key, cycle, r``: r in force during each decided cycle and the one after the last. Runs jobs that write blocks of cycles.
 
     ``r`` moves by the decision and is clamped to 1..max_r. A run of decisions acts on r as ``clamp(r + shift, lo,
-    hi)``, and such steps compose, so blocks of cycles are reduced first and no list holds more than a block's
-    cycles or a key's blocks.
+    hi)``, and such steps compose: cycles are reduced in blocks, blocks in blocks of blocks and so on until a key has one,
+    and then r is handed down again, so no list holds more than ``block`` steps however many cycles a key has.
     """
-    step = lambda d: (d, F.lit(1), F.lit(max_r))
-    clamp = lambda x, lo, hi: F.least(F.greatest(x, lo), hi)
-    rows = decisions.withColumn("block", F.expr(f"cycle div {block}"))
-    blocks = rows.groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct("cycle", "decision"))).alias("steps"))
-
-    def join_steps(a: Column, s: Column) -> Column:
-        d, lo, hi = step(s["decision"])
-        return F.struct((a["shift"] + d).alias("shift"), clamp(a["lo"] + d, lo, hi).alias("lo"), clamp(a["hi"] + d, lo, hi).alias("hi"))
-
-    whole = F.struct(F.lit(0).alias("shift"), F.lit(-(2**30)).alias("lo"), F.lit(2**30).alias("hi"))
-    shapes = blocks.withColumn("shape", F.aggregate("steps", whole, join_steps))
-    starts = shapes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", "shape"))).alias("shapes"))
-    walk = F.aggregate(
-        "shapes",
-        F.array(F.lit(r0)),
-        lambda acc, b: F.concat(acc, F.array(clamp(F.element_at(acc, -1) + b["shape"]["shift"], b["shape"]["lo"], b["shape"]["hi"]))),
-    )
-    entry = starts.select(key, F.posexplode(F.arrays_zip(F.col("shapes.block").alias("block"), F.slice(walk, 1, F.size("shapes")).alias("start"))).alias("pos", "z")).select(key, F.col("z.block").alias("block"), F.col("z.start").alias("start"))
-    inside = F.aggregate("steps", F.array(F.col("start")), lambda acc, s: F.concat(acc, F.array(clamp(F.element_at(acc, -1) + s["decision"], F.lit(1), F.lit(max_r)))))
-    lines = blocks.join(entry, [key, "block"]).select(key, "steps", inside.alias("rs"))
-    here = lines.select(key, F.posexplode("rs").alias("pos", "r"), F.element_at("steps", 1)["cycle"].alias("first"), F.size("steps").alias("n"))
-    # The last r of a block is the first of the next; keep it only behind the last block.
-    return here.select(key, (F.col("first") + F.col("pos")).cast("int").alias("cycle"), "r").distinct()
+    steps = decisions.select(key, F.col("cycle").cast("long").alias("at"), F.col("decision").alias("shift"), F.lit(1).alias("lo"), F.lit(max_r).alias("hi"))
+    levels = []
+    while True:
+        blocks = steps.groupBy(key, F.expr(f"at div {block}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("at", "shift", "lo", "hi"))).alias("steps"))
+        levels.append(stored(blocks, "trajectory"))
+        if not levels[-1].agg(F.max("block")).first()[0]:
+            break
+        nothing = F.struct(F.lit(0).alias("shift"), F.lit(-(2**30)).alias("lo"), F.lit(2**30).alias("hi"))
+        shape = F.aggregate("steps", nothing, _then)
+        steps = levels[-1].withColumn("shape", shape).select(key, F.col("block").alias("at"), "shape.*")
+    at_start = levels[-1].withColumns({"start": F.lit(r0), "last": F.lit(True)})
+    inside = F.aggregate("steps", F.array(F.col("start")), lambda acc, s: F.concat(acc, F.array(_clamp(F.element_at(acc, -1) + s["shift"], s["lo"], s["hi"]))))
+    for below in [*reversed(levels[:-1]), None]:
+        lines = at_start.select(key, "last", F.size("steps").alias("n"), F.element_at("steps", 1)["at"].alias("first"), F.posexplode(inside).alias("pos", "r"))
+        if below is None:
+            # What a block ends with is what the next begins with; only the last block has no next.
+            return lines.where("pos < n or last").select(key, (F.col("first") + F.col("pos")).cast("int").alias("cycle"), "r")
+        starts = lines.where("pos < n").select(key, (F.col("first") + F.col("pos")).alias("block"), F.col("r").alias("start"), (F.col("last") & (F.col("pos") == F.col("n") - 1)).alias("last"))
+        at_start = below.join(starts, [key, "block"])
+
+
+def _then(a: Column, s: Column) -> Column:
+    """The step that does ``a`` and then ``s``."""
+    lo, hi = _clamp(a["lo"] + s["shift"], s["lo"], s["hi"]), _clamp(a["hi"] + s["shift"], s["lo"], s["hi"])
+    return F.struct((a["shift"] + s["shift"]).alias("shift"), lo.alias("lo"), hi.alias("hi"))
 
 
 def assign_r(slots: DataFrame, trajectory: DataFrame, key: str, r0: int, max_r: int, interval: int = 10) -> DataFrame:

@@ -174,3 +174,19 @@ def test_rates_and_costs(spark):
     uneven = spark.createDataFrame([(1, 3, 7.0), (1, 10, 8.0)], "k int, valid_from long, rate double")
     at = spark.createDataFrame([(1, 2), (1, 3), (1, 9), (1, 10), (2, 5)], "k int, t long")
     assert {(r.k, r.t): r.rate for r in transfer.rate_as_of(at, uneven, "k").collect()} == {(1, 2): None, (1, 3): 7.0, (1, 9): 7.0, (1, 10): 8.0, (2, 5): None}
+
+
+@pytest.mark.parametrize("block", [2, 5, 256])
+def test_trajectory_in_levels(spark, block):
+    r = random.Random(5)
+    moves = {k: [r.choice([-1, 0, 1, 1]) for _ in range(n)] for k, n in [(1, 90), (2, 1), (3, 4), (4, 32)]}
+    rows = [(k, c, d) for k, ds in moves.items() for c, d in enumerate(ds)]
+    got = tuning.r_trajectory(spark.createDataFrame(rows, "key long, cycle int, decision int"), "key", 2, 5, block=block)
+    want = set()
+    for k, ds in moves.items():
+        at = 2
+        for c, d in enumerate([*ds, 0]):
+            want.add((k, c, at))
+            at = min(max(at + d, 1), 5)
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+    assert not tuning.r_trajectory(spark.createDataFrame([], "key long, cycle int, decision int"), "key", 2, 5, block=block).collect()
