@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rangeloom.llm import bpe, exact, language, licenses, mixing, neardup, quality, secrets, substrings, warc
+from rangeloom.llm import audit, bpe, codes, exact, language, licenses, mixing, neardup, quality, secrets, substrings, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_block_mix": mixing.op8_block_mix,
         "op9_de_bruijn": substrings.op9_de_bruijn,
         "op10_compression_bands": quality.op10_compression_bands,
+        "op11_refined_audit": audit.op11_refined_audit,
+        "op13_screened_codes": codes.op13_screened_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_digest_index": exact.OP3_SQL, "op5_salvage_reader": warc.OP5_SQL, "op8_block_mix": mixing.OP8_SQL}
+    return {"op3_digest_index": exact.OP3_SQL, "op5_salvage_reader": warc.OP5_SQL, "op8_block_mix": mixing.OP8_SQL, "op11_refined_audit": audit.OP11_SQL, "op13_screened_codes": codes.OP13_SQL}
