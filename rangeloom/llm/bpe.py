@@ -220,7 +220,7 @@ class Transducer:
 
     def encode_each(self, texts: list[str]) -> Iterator[Iterable[bytes]]:
         """``encode`` of each text; short texts are cut in pieces together, up to about a million characters."""
-        for lo, hi in _groups(texts):
+        for lo, hi in groups(texts):
             if hi - lo == 1:
                 yield self.encode(texts[lo])
                 continue
@@ -230,7 +230,7 @@ class Transducer:
                 yield map(self._coded, own)
 
 
-def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+def groups(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of at most a million characters, or of one longer text."""
     lo = held = 0
     for i, x in enumerate(texts):

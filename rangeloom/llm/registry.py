@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rangeloom.llm import audit, bpe, codes, exact, language, licenses, mixing, neardup, quality, secrets, substrings, warc
+from rangeloom.llm import audit, bpe, codes, exact, language, licenses, mixing, neardup, packing, quality, secrets, substrings, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_de_bruijn": substrings.op9_de_bruijn,
         "op10_compression_bands": quality.op10_compression_bands,
         "op11_refined_audit": audit.op11_refined_audit,
+        "op12_bm25_packing": packing.op12_bm25_packing,
         "op13_screened_codes": codes.op13_screened_codes,
     }
 
