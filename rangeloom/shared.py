@@ -40,6 +40,13 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str, files: bool = False) -> bool:
+    """Whether there is something at ``path``, whatever file system it is on; ``files``: whether any file lies below it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(at) and (not files or fs.listFiles(at, True).hasNext())
+
+
 @contextmanager
 def scratch(spark: SparkSession, keep: list[str] | None = None) -> Iterator[None]:
     """Tables that are written in the block are removed when it ends well, but for the paths in ``keep``.
