@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.llm._text import documents
-from rangeloom.shared import new_path, stored
+from rangeloom.shared import exists, new_path, stored
 
 
 def without_white(text: Column) -> Column:
@@ -29,20 +29,40 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 class DigestIndex:
     """A Parquet table of digests, bucketed and sorted by digest, that outlives the session.
 
-    ``path`` may hold an index of an earlier session; it must have the same number of ``buckets``. A batch is
+    ``path`` may hold an index of an earlier session. The number of buckets and the format's version stand beside the
+    files and are read from there: another number would look for a digest in the wrong bucket, so it is refused, as are files
+    without them; ``compact`` rewrites an index with another number. A batch is
     first reduced to a row per digest, so no shuffle meets a hot digest, then joined to the index bucket by
     bucket: the index itself is never shuffled. ``add`` appends only digests that an anti-join did not find;
     repeating it after a failure adds nothing twice.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
-        self.spark, self.path, self.buckets = spark, path, buckets
+    VERSION = 1
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None) -> None:
+        self.spark, self.path = spark, path
+        self.buckets = self._settled(buckets)
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, n_points BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def _settled(self, buckets: int | None) -> int:
+        """The number of buckets at ``path``; a new index gets ``buckets``, or 64, before any row is added."""
+        about = f"{self.path}/_about"  # Spark's readers pass names with an underscore over
+        if not exists(self.spark, about):
+            if exists(self.spark, self.path, files=True):
+                raise ValueError(f"{self.path} has files but does not say how many buckets they are in")
+            self.spark.sql(f"SELECT {self.VERSION} AS version, {buckets or 64} AS buckets").write.parquet(about)
+            return buckets or 64
+        version, there = self.spark.read.parquet(about).select("version", "buckets").first()
+        if version != self.VERSION:
+            raise ValueError(f"{self.path} is of version {version}, not {self.VERSION}")
+        if buckets not in (None, there):
+            raise ValueError(f"{self.path} has {there} buckets, not {buckets}; open it without a number and compact it into {buckets}")
+        return there
+
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -53,14 +73,15 @@ class DigestIndex:
     def add(self, groups: DataFrame) -> None:
         self.missing(groups).select("digest", "keep_id", "n_points").write.insertInto(self.name)
 
-    def compact(self, path: str) -> DigestIndex:
+    def compact(self, path: str, buckets: int | None = None) -> DigestIndex:
         """The index rewritten below ``path`` with one sorted file a bucket, as each ``add`` leaves a file in each.
 
-        The files are read as plain ones: of a bucketed table Spark takes the exchange for done, and reads it unbucketed.
+        ``buckets``: their number there, as before if not given. The files are read as plain ones: of a bucketed table Spark takes the
+        exchange for done, and reads it unbucketed.
         """
-        new = DigestIndex(self.spark, path, self.buckets)
+        new = DigestIndex(self.spark, path, buckets or self.buckets)
         files = self.spark.read.schema(self.table().schema).parquet(self.path)
-        files.repartition(self.buckets, "digest").write.insertInto(new.name)
+        files.repartition(new.buckets, "digest").write.insertInto(new.name)
         return new
 
     def lookup(self, groups: DataFrame) -> DataFrame:
@@ -69,12 +90,13 @@ class DigestIndex:
 
 
 def groups_of(rows: DataFrame) -> DataFrame:
-    """A row per digest: the doc_id that stays (most code points, then smallest doc_id) and the number of rows.
+    """A row per digest: the doc_id that stays (most code points, then smallest doc_id; null only where all are) and the number of rows.
 
     Partial aggregation before the shuffle leaves a row per digest and task at most.
     """
-    best = F.min_by(F.col("doc_id"), F.struct(-F.col("n_points"), F.col("doc_id").isNull(), F.col("doc_id")))
-    return rows.groupBy("digest").agg(best.alias("keep_id"), F.max("n_points").alias("n_points"), F.count(F.lit(1)).alias("group_size"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), (-F.col("n_points")).alias("fewer"), "doc_id"))
+    groups = rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    return groups.select("digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.fewer")).alias("n_points"), "group_size")
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,7 +105,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     Returns ``doc_id, keep_id, group_size, kept, text_sha256``, a row per row of ``docs``; ``group_size`` counts
     the batch. Texts that the index held before give ``kept = false`` with the index's ``keep_id``. Null texts
     count as empty, empty texts are one group; rows that repeat a doc_id and text are all kept or all dropped
-    (``keep_rows`` returns one of them); a null doc_id never stays beside others and is kept only alone. An
+    (``keep_rows`` returns one of them); a null doc_id never stays beside others, however long its text, and is kept only alone. An
     empty table adds nothing. Only ``doc_id`` and the text are read.
     """
     rows = stored(digests(docs, id_col, text_col), "digests")

@@ -142,11 +142,17 @@ def _may_be_random(token: str) -> bool:
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]], spec: SecretSpec) -> list[tuple[int, int, int, int]]:
-    """Strings outside ``spans`` that may be random: ``(start, end, class, bin)``, the class of encoding and length."""
-    found = []
+    """Strings outside ``spans`` that may be random: ``(start, end, class, bin)``, the class of encoding and length.
+
+    ``spans`` are sorted by start and strings come in order, so one pass over both lists tells which meet: a string does if
+    the furthest end of the spans that start before its own end lies behind its start.
+    """
+    found, i, reach = [], 0, 0
     for m in _CANDIDATE.finditer(text):
         s, e = m.span()
-        if _may_be_random(m[0]) and not any(a < e and s < b for a, _, b in spans):
+        while i < len(spans) and spans[i][0] < e:
+            reach, i = max(reach, spans[i][2]), i + 1
+        if reach <= s and _may_be_random(m[0]):
             name, codes, size = encoding(m[0])
             length = sum(1 for x in spec.lengths if x <= e - s) - 1
             found.append((s, e, _NAMES.index(name) * len(spec.lengths) + length, _bin(randomness(codes, size), spec)))

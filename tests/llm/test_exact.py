@@ -76,6 +76,42 @@ def test_null_ids(spark):
     assert got == {(None, 1, False), (1, 1, True), (None, None, True)}
 
 
+def test_a_null_id_does_not_win_by_length(spark):
+    df = spark.createDataFrame([(None, "a  b"), (1, "ab"), (2, "ab"), (2, "a b"), (None, "c"), (None, "c ")], "doc_id long, text string")
+    got = {(r.doc_id, r.keep_id, r.kept) for r in exact.deduplicate(df, exact.new_index(spark, 4)).collect()}
+    assert got == {(None, 2, False), (1, 2, False), (2, 2, True), (None, None, True)}
+
+
+def many(spark, n, first=0):
+    return spark.createDataFrame([(first + i, f"text {i}") for i in range(n)], "doc_id long, text string")
+
+
+def test_another_number_of_buckets_is_refused(spark):
+    """It would look for digests in wrong buckets and keep texts again."""
+    index = exact.new_index(spark, 4)
+    exact.deduplicate(many(spark, 100), index).count()
+    with pytest.raises(ValueError, match="4 buckets, not 8"):
+        exact.DigestIndex(spark, index.path, 8)
+    again = exact.DigestIndex(spark, index.path)
+    assert again.buckets == 4 and not exact.deduplicate(many(spark, 100, 1000), again).where("kept").count()
+
+
+def test_an_index_is_rebucketed(spark):
+    index = exact.new_index(spark, 4)
+    exact.deduplicate(many(spark, 100), index).count()
+    wider = index.compact(new_path(spark, "wider"), 16)
+    assert exact.DigestIndex(spark, wider.path).buckets == 16
+    assert {(r.keep_id, r.kept) for r in exact.deduplicate(many(spark, 120, 1000), wider).collect()} == {(i, False) for i in range(100)} | {(1000 + i, True) for i in range(100, 120)}
+
+
+def test_files_without_a_number_of_buckets_are_refused(spark):
+    path = new_path(spark, "bare")
+    spark.sql("SELECT unhex('00') AS digest, 1L AS keep_id, 1L AS n_points").write.parquet(path)
+    with pytest.raises(ValueError, match="how many buckets"):
+        exact.DigestIndex(spark, path, 4)
+    assert exact.DigestIndex(spark, new_path(spark, "fresh")).buckets == 64
+
+
 @pytest.mark.parametrize("text,want", [(" a\tb\n", "ab"), ("a b", "a b"), ("\x1c", "\x1c")])
 def test_white_space(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -128,3 +129,25 @@ def test_null_is_of_the_own_encoding():
     last = secrets.last_bins(lower | mixed, {(2, 10): 5, (3, 10): 5}, spec, 4)
     assert last[2] >= 10 > last[3]
     assert secrets.last_bins(mixed, {(0, 10): 5}, spec, 4) == [-1] * 4
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_candidates_lie_outside_all_spans(seed):
+    """The pass over two sorted lists gives what comparing each with each gives, spans of several kinds overlapping."""
+    r = random.Random(seed)
+    spec = SecretSpec()
+    text = " ".join(base64.b64encode(r.randbytes(r.randint(15, 60))).decode() for _ in range(200))
+    spans = sorted((a := r.randrange(len(text)), r.randrange(3), min(len(text), a + r.choice([1, 24, 300]))) for _ in range(60))
+    everything = secrets.candidates(text, [], spec)
+    assert everything and secrets.candidates(text, spans, spec) == [c for c in everything if not any(a < c[1] and c[0] < b for a, _, b in spans)]
+
+
+def test_many_spans_in_a_text():
+    """100,000 fixed-pattern spans beside 1,000 strings to test, in a time that no comparison of each with each meets."""
+    r = random.Random(1)
+    keys = [base64.b64encode(r.randbytes(30)).decode() for _ in range(1000)]
+    text = "\n".join(f"token=abcdef{i}" + (f" {keys[i // 100]}" if i % 100 == 0 else "") for i in range(100_000))
+    spans = secrets.base_spans(text)
+    began = time.perf_counter()
+    found = secrets.candidates(text, spans, SecretSpec())
+    assert len(spans) == 100_000 and len(found) > 900 and time.perf_counter() - began < 2
