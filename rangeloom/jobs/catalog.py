@@ -11,7 +11,8 @@ from rangeloom.operators import coded, jobspec, phaselog, records, transfer, tun
 from rangeloom.shared import new_path, stored
 from rangeloom.sources.fixed import read_records, write_records
 from rangeloom.sources.text import read_jobs, read_phase_log
-from rangeloom.streaming.controller import in_time_order, tune_stream
+from rangeloom.streaming.controller import closing, start, tune_stream
+from rangeloom.streaming.queue import enqueue, read_queue
 
 K, R, S = T.NODES, T.REPLICATION, T.SAMPLES
 
@@ -222,12 +223,16 @@ def assign_r(spark, d):
 
 
 def tune_stream_files(spark, d):
-    """The streaming controller over the events as a file stream, run until all are taken."""
+    """The streaming controller over the events as a queue of jobs, run until all are taken."""
     jobs = T.outcomes(spark, d).select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("order"), F.col("id").alias("tie"), "cost")
-    out = new_path(spark, "tuned")
-    stream = in_time_order(stored(jobs, "outcomes"), new_path(spark, "outcomes-stream"))
-    query = tune_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "tuned-state")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    queue, out = new_path(spark, "job-queue"), new_path(spark, "tuned")
+    enqueue(jobs, queue, ["order", "tie"])
+    enqueue(closing(jobs), queue, ["order"], ranges=1)
+    query = start(tune_stream(read_queue(spark, queue)), out, new_path(spark, "tuned-state"))
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
     return spark.read.schema("key long, seq long, cycle int, slot int, r_used int").parquet(out).select("key", "seq", "cycle", "slot", "r_used")
 
 

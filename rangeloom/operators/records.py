@@ -16,12 +16,16 @@ from rangeloom.shared import stored
 _FEW = 64
 
 
+def sorted_ranges(df: DataFrame, order_cols: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """``df`` in ``ranges`` partitions that are sorted one after the other, at least 16 or Spark's shuffle partitions by default."""
+    ranges = ranges or max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartitionByRange(ranges, *order_cols).sortWithinPartitions(*order_cols)
+
+
 def _ranged(df: DataFrame, order_cols: Sequence[str], buckets: int | None) -> DataFrame:
     """``df`` in sorted ranges of ``order_cols``, written, with ``__range`` and the place in it, ``__in``."""
-    buckets = buckets or max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(buckets, *order_cols).sortWithinPartitions(*order_cols)
     # The number of a row in its range: the low 33 bits of the id that Spark gives it there.
-    numbered = ranged.withColumns({"__range": F.spark_partition_id(), "__in": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    numbered = sorted_ranges(df, order_cols, buckets).withColumns({"__range": F.spark_partition_id(), "__in": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
     return stored(numbered, "row-index")
 
 

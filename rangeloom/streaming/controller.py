@@ -1,87 +1,144 @@
-"""The A/B controller as a stream: constant state for each key."""
+"""The A/B controller as a stream: constant state for each key, early jobs waiting until their turn."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from rangeloom.operators.records import with_row_index
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.query import StreamingQuery
 
 _OUT = "key long, seq long, cycle int, slot int, r_used int"
 _COLUMNS = ["key", "seq", "cycle", "slot", "r_used"]
+#: Key of a job that only moves the watermark (fixed value).
+CLOSING = -(2**63)
 #: Rows of a part of the output.
 _PART = 100_000
-_STATE = "seq long, last long, last_tie long, r int, a1 double, b1 double, a2 double"
+_JOB = (("order", np.dtype("<i8")), ("tie", np.dtype("<i8")), ("cost", np.dtype("<f8")))
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def tune_stream(jobs: DataFrame, r0: int = 1, max_r: int = 5, interval: int = 10) -> DataFrame:
-    """``key, seq, cycle, slot, r_used`` for a stream of finished jobs (``key, order, cost`` and, optionally, ``tie``).
+class Controller(StatefulProcessor):
+    """State of a key: a value (job count, last pair of order and tie, r, trial costs of the open cycle, when it was last seen) and a list of the jobs that wait.
 
-    Jobs of a key are told apart and taken by (``order``, ``tie``); without a ``tie`` it is 0. The state of a key is
-    its job count, the last pair seen, r and the open cycle's trial costs. Those at or below the last pair seen
-    are duplicates or late and are dropped. Spark hands a key's jobs of a micro-batch over in Arrow batches, in no
-    order, so their pairs and costs are kept as three packed columns until the last has come: memory of a task
-    grows with a key's jobs in one micro-batch, which the stream's source bounds; results leave in parts of bounded
-    size. The result equals the batch operators' on the same jobs.
+    A job waits until the watermark has passed its order, as jobs before it may still come; a timer at the earliest waiting job's
+    order wakes the key. Then the jobs that are due are taken by (order, tie), so the result does not depend on how they
+    came. A pair that was taken is not taken again. The list holds the jobs of the watermark's delay, as packed columns of a
+    micro-batch each; the value is of constant size. With ``idle`` a key that has no job for so long is forgotten, and begins
+    anew if one comes.
     """
-    jobs = jobs.select("key", "order", ("tie" if "tie" in jobs.columns else F.lit(0)), "cost")
-    jobs = jobs.toDF("key", "order", "tie", "cost").withColumn("tie", F.col("tie").cast("long"))
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, last, tie, r, *trials = state.get if state.exists else (0, None, None, r0, None, None, None)
-        parts = []
-        for x in batches:
-            at, of = x["order"].to_numpy(), x["tie"].to_numpy()
-            new = np.ones(len(x), bool) if last is None else (at > last) | ((at == last) & (of > tie))
-            parts.append((at[new], of[new], x["cost"].to_numpy()[new]))
-        at, of, costs = (np.concatenate(c) for c in zip(*parts, strict=True))
+
+    def __init__(self, r0: int, max_r: int, interval: int, idle: int | None) -> None:
+        self.r0, self.max_r, self.interval, self.idle = r0, max_r, interval, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("controller", "seq long, last long, last_tie long, r int, a1 double, b1 double, a2 double, seen long")
+        self.waiting = handle.getListState("waiting", "order binary, tie binary, cost binary")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = [] if key[0] == CLOSING else [tuple(x[c].to_numpy(t) for c, t in _JOB) for x in rows]
+        if parts:
+            jobs = tuple(map(np.concatenate, zip(*parts, strict=True)))
+            self.waiting.appendValue(tuple(c.tobytes() for c in jobs))
+            self.handle.registerTimer(_ms(int(jobs[0].min())))
+            if self.idle is not None:
+                state = self._state()
+                seen = max(state[7] or 0, int(jobs[0].max()))
+                self.value.update((*state[:7], seen))
+                self.handle.registerTimer(_ms(seen + self.idle))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        chunks = [[np.frombuffer(x, t) for x, (_, t) in zip(c, _JOB, strict=True)] for c in self.waiting.get()] if self.waiting.exists() else []
+        if not chunks:
+            if self.idle is not None and self.value.exists() and (self.value.get()[7] or 0) + self.idle <= passed:
+                self.value.clear()
+            return
+        order, tie, cost = map(np.concatenate, zip(*chunks, strict=True))
+        due = order <= passed
+        if not due.any():
+            return
+        # An earlier timer may find jobs of a later one due; that one then finds nothing.
+        if due.all():
+            self.waiting.clear()
+        else:
+            self.waiting.put([tuple(c[~due].tobytes() for c in (order, tie, cost))])
+            self.handle.registerTimer(_ms(int(order[~due].min())))
+        order, tie, cost = order[due], tie[due], cost[due]
+        by = np.lexsort((tie, order))
+        yield from self._taken(key[0], zip(order[by].tolist(), tie[by].tolist(), cost[by].tolist(), strict=True))
+
+    def close(self) -> None:
+        pass
+
+    def _state(self) -> tuple:
+        return self.value.get() if self.value.exists() else (0, None, None, self.r0, None, None, None, None)
+
+    def _taken(self, key: int, due: Iterable[tuple]) -> Iterator[pd.DataFrame]:
+        seq, last, tie, r, *trials, seen = self._state()
         out = []
-        for i in np.lexsort((of, at)):
-            pair = int(at[i]), int(of[i])
-            if pair == (last, tie):
+        for order, of, cost in due:
+            if last is not None and (order, of) <= (last, tie):
                 continue
-            cost = float(costs[i])
-            cycle, slot = divmod(seq, interval + 4)
-            used = r if slot < interval else min(max_r, r + 1) if (slot - interval) % 2 == 0 else max(1, r - 1)
-            out.append((key[0], seq, cycle, slot, used))
-            if interval <= slot < interval + 3:
-                trials[slot - interval] = cost
-            elif slot == interval + 3:
+            cycle, slot = divmod(seq, self.interval + 4)
+            trial = slot - self.interval
+            used = r if trial < 0 else min(self.max_r, r + 1) if trial % 2 == 0 else max(1, r - 1)
+            out.append((key, seq, cycle, slot, used))
+            if 0 <= trial < 3:
+                trials[trial] = cost
+            elif trial == 3:
                 a1, b1, a2 = trials
-                r = min(max_r, max(1, r + (1 if a1 < b1 and a2 < cost else -1 if b1 < a1 and cost < a2 else 0)))
-                trials = [None, None, None]
-            seq, (last, tie) = seq + 1, pair
+                move = 1 if a1 < b1 and a2 < cost else -1 if b1 < a1 and cost < a2 else 0
+                r, trials = min(self.max_r, max(1, r + move)), [None, None, None]
+            seq, last, tie = seq + 1, order, of
             if len(out) == _PART:
                 yield pd.DataFrame(out, columns=_COLUMNS)
                 out = []
-        state.update((seq, last, tie, r, *trials))
-        yield pd.DataFrame(out, columns=_COLUMNS)
+        self.value.update((seq, last, tie, r, *trials, seen))
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS)
+
 
-    return jobs.groupBy("key").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+def _ms(micros: int) -> int:
+    """The first millisecond of a watermark that has passed a time in microseconds."""
+    return -(-micros // 1000)
 
 
-def in_time_order(jobs: DataFrame, path: str, rows: int = 1_000_000) -> DataFrame:
-    """``jobs`` (``key, order, tie, cost``) as a stream of one file of at most ``rows`` rows a micro-batch, in order.
+def tune_stream(jobs: DataFrame, r0: int = 1, max_r: int = 5, interval: int = 10, delay: str = "10 seconds", idle: str | None = None) -> DataFrame:
+    """``key, seq, cycle, slot, r_used`` for a stream of finished jobs (``key, order, cost`` and, optionally, ``tie``).
 
-    A file stream takes files by modification time, so they are written below ``path`` one after the other; where the
-    file system's times don't tell them apart that is an error, as later batches would drop rows as late.
+    ``order`` is a job's time in microseconds. Jobs of a key are told apart and taken by (``order``, ``tie``); without a ``tie``
+    it is 0; jobs without a key or a time are none. They may come in any order as long as none comes ``delay`` after a later one: until then jobs wait in the
+    state, so the result equals the batch operators' on the same jobs; those beyond are dropped as late. Jobs leave when
+    the watermark has passed them, the last ones when something later has come, see :func:`closing`. ``idle``: a key
+    that has no job for this long is forgotten. The state needs Spark's RocksDB store, see :func:`start`.
     """
     spark = jobs.sparkSession
-    parts = f"{path}-parts"
-    numbered = with_row_index(jobs, ["order", "tie", "key", "cost"]).withColumn("part", F.expr(f"idx div {rows}")).drop("idx")
-    numbered.repartition("part").write.partitionBy("part").parquet(parts)
-    n = -(-jobs.count() // rows)
-    of = spark.read.schema(numbered.schema).parquet(parts)
-    jobs.limit(0).write.parquet(path)
-    for i in range(n):
-        of.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").option("maxRecordsPerFile", 0).parquet(path)
-    files = spark.read.schema(jobs.schema).parquet(path).select("order", "tie", F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"))
-    spans = files.groupBy("file", "time").agg(F.min(F.struct("order", "tie")).alias("first"), F.max(F.struct("order", "tie")).alias("last")).orderBy("first", "last").collect()
-    if any(a["time"] >= b["time"] for a, b in zip(spans, spans[1:])):
-        raise ValueError(f"the files below {path} are not in the order of their modification times")
-    return spark.readStream.schema(jobs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    micros = spark.sql(f"SELECT INTERVAL {idle} AS i").select(F.unix_micros(F.timestamp_micros(F.lit(0)) + F.col("i"))).first()[0] if idle else None
+    jobs = jobs.select("key", "order", ("tie" if "tie" in jobs.columns else F.lit(0)), "cost").toDF("key", "order", "tie", "cost")
+    timed = jobs.where(F.col("key").isNotNull() & F.col("order").isNotNull()).withColumns({"tie": F.col("tie").cast("long"), "time": F.timestamp_micros("order")}).withWatermark("time", delay)
+    return timed.groupBy("key").transformWithStateInPandas(Controller(r0, max_r, interval, micros), _OUT, "append", "EventTime")
+
+
+def closing(jobs: DataFrame, delay: str = "10 seconds") -> DataFrame:
+    """One job of no real key, ``delay`` and a second after all of ``jobs``: put behind them it lets all of them leave."""
+    last = jobs.agg(F.max("order").alias("order"))
+    at = F.unix_micros(F.timestamp_micros("order") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 second"))
+    return last.where("order is not null").select(F.lit(CLOSING).alias("key"), at.alias("order"), F.lit(0).cast("long").alias("tie"), F.lit(0.0).alias("cost"))
+
+
+def start(tuned: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Start :func:`tune_stream`'s result as a query that appends to Parquet files at ``path``, with its state in RocksDB."""
+    conf = tuned.sparkSession.conf
+    before = conf.get(_STORE, None)
+    conf.set(_STORE, _ROCKSDB)
+    try:
+        return tuned.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).start()
+    finally:
+        conf.set(_STORE, before) if before else conf.unset(_STORE)

@@ -109,45 +109,6 @@ def test_trajectory(spark, max_r, block):
     assert got == want
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from rangeloom.streaming.controller import tune_stream
-
-    rows = outcome_rows(1)
-    by_file = [rows[i : i + 150] for i in range(0, len(rows), 150)]
-    for i, part in enumerate(by_file):
-        again = part + (by_file[i - 1][-20:] if i else [])  # duplicates of lines already taken
-        random.Random(i).shuffle(again)
-        spark.createDataFrame(again, "key long, order long, cost double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("key long, order long, cost double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = tune_stream(stream, 1, 5).writeStream.format("memory").queryName("tuned").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
-    q.awaitTermination()
-    got = {(r.key, r.seq): r.r_used for r in spark.table("tuned").collect()}
-    want = {}
-    for key in {k for k, _, _ in rows}:
-        want |= {(key, i): u for i, u in enumerate(simulate([c for k, _, c in rows if k == key], 1, 5))}
-    assert got == want
-
-
-def test_stream_takes_equal_times_by_id_in_bounded_batches(spark, tmp_path):
-    """Jobs of a key with equal time and ids equal mod 100 are all taken, in the order of (time, id), a file at a time."""
-    from rangeloom.streaming.controller import in_time_order, tune_stream
-
-    r = random.Random(8)
-    rows = [(k, i // 6, 100 * (i % 6) + (50 if i % 2 else 0), float(r.randrange(100))) for k, n in ((1, 400), (2, 90), (3, 1)) for i in range(n)]
-    shuffled = r.sample(rows, len(rows))
-    jobs = spark.createDataFrame(shuffled, "key long, order long, tie long, cost double")
-    stream = in_time_order(jobs, str(tmp_path / "in"), rows=64)
-    q = tune_stream(stream, 1, 5).writeStream.format("memory").queryName("tuned_ties").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
-    q.awaitTermination()
-    batches = [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
-    assert sum(batches) == len(rows) and max(batches) <= 64
-    got = {(x.key, x.seq): x.r_used for x in spark.table("tuned_ties").collect()}
-    want = {}
-    for key in (1, 2, 3):
-        want |= {(key, i): u for i, u in enumerate(simulate([c for k, _, _, c in sorted(rows) if k == key], 1, 5))}
-    assert got == want
-
-
 def test_cost_and_arms(spark):
     r = spark.createDataFrame([(1, 0.5, 2.0), (5, 0.0, 1.0)], "r int, comp double, net double").select(tuning.cost(F.col("comp"), F.col("net")).alias("c"), *(x.alias(n) for n, x in zip("ab", tuning.arms(F.col("r"), 5), strict=True))).collect()
     assert [tuple(x) for x in r] == [(2500002.0, 2, 1), (1.0, 5, 4)]
