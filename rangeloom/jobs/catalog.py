@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rangeloom.functions.keys import from_words, key_hex, n_choose_r, split_key, to_words
 from rangeloom.jobs import tables as T
-from rangeloom.operators import coded, jobspec, phaselog, records, transfer, tuning
+from rangeloom.operators import coded, jobspec, phaselog, quantiles, records, transfer, tuning
 from rangeloom.shared import new_path, stored
 from rangeloom.sources.fixed import read_records, write_records
 from rangeloom.sources.text import read_jobs, read_phase_log
@@ -65,15 +65,40 @@ def exchange_matrix(spark, d):
 
 def total_sort(spark, d):
     """Sampled total sort, each record with its partition and its place there."""
-    listed = records.list_partitions(records.total_sort(T.rec(spark, d), "key", K, ["id"], S), "key", ["id"])
+    listed = records.list_partitions(records.total_sort(T.rec(spark, d), "key", None, ["id"], S), "key", ["id"])
     return listed.select("pid", "pos", "key_hex", "id")
 
 
 def total_sort_skew(spark, d):
-    listed = records.list_partitions(records.total_sort(T.rec_skew(spark, d), "key", K, ["id"], S), "key", ["id"])
+    listed = records.list_partitions(records.total_sort(T.rec_skew(spark, d), "key", None, ["id"], S), "key", ["id"])
     return listed.select("pid", "pos", "key_hex", "id")
 
 
+def _places(df, order):
+    """Each row's place in the whole: that in its partition, and the rows of the partitions before."""
+    listed = records.list_partitions(df, order[0], order[1:])
+    starts = records.starts_of(df, "pid")
+    return listed.join(F.broadcast(starts), "pid").select((F.col("start") + F.col("pos")).alias("idx"), "key_hex", "id")
+
+
+def total_sort_balanced(spark, d):
+    """Total sort by cuts from a quantile summary, numbered through all partitions."""
+    return _places(stored(records.total_sort(T.rec(spark, d).select("key", "id"), "key", None, ["id"], method="balanced"), "balanced"), ["key", "id"])
+
+
+def total_sort_balanced_skew(spark, d):
+    """The same where a key that many records have is spread over partitions."""
+    return _places(stored(records.total_sort(T.rec_skew(spark, d), "key", None, ["id"], method="balanced"), "balanced"), ["key", "id"])
+
+
+def quantile_cuts(spark, d):
+    """Exact sizes of twelve ranges by cuts of a quantile summary: they cover all rows and none is above twice the mean."""
+    rows = T.rec(spark, d).withColumn("k", F.concat("key", F.unhex(F.lpad(F.hex("id"), 16, "0"))))
+    _, sizes = quantiles.balanced_cuts(rows, "k", 12)
+    n = int(sizes.sum())
+    return spark.createDataFrame([(n, len(sizes), bool(2 * n >= 12 * sizes.max()))], "n long, ranges int, even boolean")
+
+
 def total_sort_builtin(spark, d):
     out = records.total_sort(T.rec(spark, d), "key", K, ["id"], method="builtin")
     return out.select(key_hex(F.col("key")).alias("key_hex"), "id", "w1", "w2")
@@ -265,7 +290,7 @@ def record_files(spark, d):
     text = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.unix_seconds(F.col("l_shipdate").cast("timestamp")))
     rec = li.select(F.unhex(F.substring(F.md5(text.cast("binary")), 1, 20)).alias("key"), F.rpad(text, 90, ".").cast("binary").alias("value"))
     path = new_path(spark, "records")
-    write_records(records.total_sort(rec, "key", K, ["value"], S), path)
+    write_records(records.total_sort(rec, "key", None, ["value"], S), path)
     return read_records(spark, path, places=True).select("place", key_hex(F.col("key")).alias("key_hex"), F.col("value").cast("string").alias("value"))
 
 
@@ -290,7 +315,7 @@ def job_list_files(spark, d):
 
 
 _QUERIES = (
-    total_sort, total_sort_skew, total_sort_builtin, row_index, row_index_lineitem, split_keys, split_input, systematic_sample, splitters, range_assign,
+    total_sort, total_sort_skew, total_sort_builtin, total_sort_balanced, total_sort_balanced_skew, quantile_cuts, row_index, row_index_lineitem, split_keys, split_input, systematic_sample, splitters, range_assign,
     range_assign_many, exchange_matrix, job_codec, validate_jobs, input_files, replicas, chunks, packets, packet_metadata, decoded, completeness,
     file_copies, group_demand, coded_sort, coded_sort_records, load_report, pair_phases, phase_ratios, total_time, ratio_stats, compare_schemes, phase_summary, cycle_slots, trial_decisions,
     r_trajectory, assign_r, tune_stream_files, bandwidth_series, transfer_cost, rate_as_of,

@@ -12,10 +12,10 @@ samp AS (
   WHERE idx % (n // least(1000, n)) = 0 AND idx // (n // least(1000, n)) < least(1000, n))"""
 
 
-def _spl(p: int, name: str = "spl") -> str:
+def _spl(p: int | str, name: str = "spl") -> str:
     return f"""{name} AS (
   SELECT CAST(k // ((SELECT count(*) FROM samp) // {p}) AS INTEGER) AS i, key AS splitter FROM samp
-  WHERE k % ((SELECT count(*) FROM samp) // {p}) = 0 AND k // ((SELECT count(*) FROM samp) // {p}) BETWEEN 1 AND {p - 1})"""
+  WHERE k % ((SELECT count(*) FROM samp) // {p}) = 0 AND k // ((SELECT count(*) FROM samp) // {p}) BETWEEN 1 AND {p} - 1)"""
 
 
 _HEX = "regexp_replace(lower(hex({0})), '(..)', '\\1 ', 'g')"
@@ -26,10 +26,13 @@ def _asg(name: str = "asg") -> str:
   SELECT idx.*, CAST((SELECT count(*) FROM spl WHERE spl.splitter <= idx.key) AS INTEGER) AS pid FROM idx)"""
 
 
-_SORT = f"""WITH {_REC}, {_spl(6)}, {_asg()}
+#: Partitions of 128 MiB of records, 6 at least; a sample of 16 rows for each, 1000 at least.
+_BY_SIZE = "(SELECT greatest(6, (count(*) * 100 + 134217727) // 134217728) FROM rec)"
+_SIZED = f"least(greatest(1000, 16 * {_BY_SIZE}), n)"
+_SORT = f"""WITH {_REC.replace("least(1000, n)", _SIZED)}, {_spl(_BY_SIZE)}, {_asg()}
 SELECT pid, row_number() OVER (PARTITION BY pid ORDER BY key, id) - 1 AS pos, {_HEX.format("key")} AS key_hex, id FROM asg"""
 
-_SKEW = _SORT.replace(_REC, _REC.replace("CAST(event_id AS VARCHAR)", "event_type"))
+_SKEW = _SORT.replace("CAST(event_id AS VARCHAR)", "event_type")
 
 _CODED = f"""WITH {_REC}, {_spl(6)}, {_asg()},
 m AS (SELECT unnest(range(0, 64)) AS mask),
@@ -95,6 +98,9 @@ ORACLES = {
     "total_sort": _SORT,
     "total_sort_skew": _SKEW,
     "total_sort_builtin": f"WITH {_REC} SELECT {_HEX.format('key')} AS key_hex, id, w1, w2 FROM rec ORDER BY key, id",
+    "total_sort_balanced": f"WITH {_REC} SELECT row_number() OVER (ORDER BY key, id) - 1 AS idx, {_HEX.format('key')} AS key_hex, id FROM rec",
+    "total_sort_balanced_skew": f"WITH {_REC.replace('CAST(event_id AS VARCHAR)', 'event_type')} SELECT row_number() OVER (ORDER BY key, id) - 1 AS idx, {_HEX.format('key')} AS key_hex, id FROM rec",
+    "quantile_cuts": "SELECT count(*) AS n, CAST(12 AS INTEGER) AS ranges, true AS even FROM events",
     "row_index": f"WITH {_REC} SELECT id, row_number() OVER (ORDER BY key, id) - 1 AS idx FROM rec",
     "row_index_lineitem": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
   row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS idx FROM lineitem""",

@@ -4,18 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangeloom.functions.keys import key_hex
+from rangeloom.operators.quantiles import balanced_cuts, sort_key
+from rangeloom.operators.ranges import range_assign
 from rangeloom.shared import stored
 
-#: Splitters up to which a literal array is scanned; more go through a binary search on Arrow batches.
-_FEW = 64
-
-
 def sorted_ranges(df: DataFrame, order_cols: Sequence[str], ranges: int | None = None) -> DataFrame:
     """``df`` in ``ranges`` partitions that are sorted one after the other, at least 16 or Spark's shuffle partitions by default."""
     ranges = ranges or max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -29,14 +25,25 @@ def _ranged(df: DataFrame, order_cols: Sequence[str], buckets: int | None) -> Da
     return stored(numbered, "row-index")
 
 
+def starts_of(df: DataFrame, part: str) -> DataFrame:
+    """``part, start``: the rows before each value of the whole number ``part``; its counts come to the driver, one number each."""
+    return _starts(df, part)[0]
+
+
+def _starts(df: DataFrame, part: str) -> tuple[DataFrame, int]:
+    starts, total = [], 0
+    for i, n in sorted(map(tuple, df.groupBy(part).count().collect())):
+        starts.append((i, total))
+        total += n
+    return df.sparkSession.createDataFrame(starts, f"{part} int, start long"), total
+
+
 def _indexed(df: DataFrame, order_cols: Sequence[str], name: str, buckets: int | None) -> tuple[DataFrame, int]:
     numbered = _ranged(df, order_cols, buckets)
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = stored(numbered.groupBy("__range").agg(F.count(F.lit(1)).alias("n")), "row-index-counts")
+    starts, total = _starts(numbered, "__range")
     # One row per range.
-    starts = counts.select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    out = numbered.join(F.broadcast(starts), "__range").withColumn(name, F.col("__start") + F.col("__in"))
-    return out.select(*df.columns, name), counts.agg(F.sum("n")).first()[0] or 0
+    out = numbered.join(F.broadcast(starts.withColumnRenamed("start", "__start")), "__range").withColumn(name, F.col("__start") + F.col("__in"))
+    return out.select(*df.columns, name), total
 
 
 def _pieces(numbered: DataFrame, groups: Sequence[str], aggs: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
@@ -97,16 +104,28 @@ def split_input(df: DataFrame, n: int, order_cols: Sequence[str]) -> DataFrame:
     return indexed.withColumn("split_id", F.least(F.expr(f"idx div {total // n}"), F.lit(n - 1)).cast("int"))
 
 
-def systematic_sample(df: DataFrame, num_samples: int, order_cols: Sequence[str]) -> DataFrame:
-    """Rows 0, gap, 2 gap... (``gap = floor(N / S)``, ``S = min(num_samples, N)`` rows); an empty table gives none.
-
-    The rows are indexed once and the sample, of at most ``num_samples`` rows, is written.
-    """
-    indexed, total = _indexed(df, order_cols, "idx", None)
+def _sample(df: DataFrame, num_samples: int, order_cols: Sequence[str], place: str | None = None) -> tuple[DataFrame, int]:
+    """:func:`systematic_sample`, not yet written, and the number of rows."""
+    if place is None:
+        indexed, total = _indexed(df, order_cols, "idx", None)
+    else:
+        indexed, total = df.withColumn("idx", F.col(place)), df.count()
     if not (s := min(num_samples, total)):
-        return indexed
+        return indexed, 0
     gap = total // s
-    return stored(indexed.where((F.col("idx") % gap == 0) & (F.expr(f"idx div {gap}") < s)).coalesce(1), "sample")
+    return indexed.where((F.col("idx") % gap == 0) & (F.expr(f"idx div {gap}") < s)), total
+
+
+def systematic_sample(df: DataFrame, num_samples: int, order_cols: Sequence[str], place: str | None = None) -> DataFrame:
+    """Rows 0, gap, 2 gap... (``gap = floor(N / S)``, ``S = min(num_samples, N)`` rows) and their ``idx``; an empty table gives none.
+
+    Rows are selected by rank: they are sorted in ranges, the ranges' counts tell at which rank each begins, and the task
+    that reads a part of a range picks what falls on a multiple of the gap there. The sample, of at most ``num_samples`` rows, is
+    written. ``place``: a column that has every row's index already, as :func:`rangeloom.sources.fixed.read_records` gives
+    it; then nothing is sorted or moved.
+    """
+    sample, total = _sample(df, num_samples, order_cols, place)
+    return stored(sample, "sample") if total else sample
 
 
 def choose_splitters(sample: DataFrame, key: str, p: int) -> DataFrame:
@@ -114,7 +133,10 @@ def choose_splitters(sample: DataFrame, key: str, p: int) -> DataFrame:
 
     A sample is small by construction, so one window sorts it. Fails if it has fewer than p rows.
     """
-    s = sample.count()
+    return _picked(sample, key, p, sample.count())
+
+
+def _picked(sample: DataFrame, key: str, p: int, s: int) -> DataFrame:
     if s < p:
         raise ValueError(f"{s} samples are too few for {p} partitions")
     step = s // p
@@ -129,55 +151,6 @@ def splitter_list(splitters: DataFrame) -> list[bytes]:
     return [bytes(r[0]) for r in splitters.orderBy("i").select("splitter").collect()]
 
 
-def _as_words(keys: pa.Array, width: int) -> np.ndarray:
-    """Keys of at most ``width`` bytes as rows of big-endian 64-bit words, the length as the last one."""
-    size = -(-width // 8) * 8
-    lengths = np.diff(np.frombuffer(keys.buffers()[1], np.int32, len(keys) + 1, keys.offset * 4))
-    if len(keys) and (lengths == width).all() and not keys.null_count:
-        first = int(np.frombuffer(keys.buffers()[1], np.int32, 1, keys.offset * 4)[0])
-        data = np.frombuffer(keys.buffers()[2], np.uint8, len(keys) * width, first).reshape(-1, width)
-        padded = np.zeros((len(keys), size), np.uint8)
-        padded[:, :width] = data
-    else:
-        padded = np.frombuffer(b"".join(k[:size].ljust(size, b"\0") for k in keys.to_pylist()), np.uint8).reshape(-1, size)
-    words = np.ascontiguousarray(padded).view(">u8").astype(np.uint64)
-    return np.column_stack([words, lengths.astype(np.uint64)])
-
-
-def _upto(rows: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """For each row the number of ``cuts`` (ascending rows) that are <= it, by a binary search of all rows at once."""
-    lo, hi = np.zeros(len(rows), np.int64), np.full(len(rows), len(cuts))
-    for _ in range(len(cuts).bit_length()):
-        mid = np.minimum((lo + hi) // 2, len(cuts) - 1)
-        at, more = cuts[mid], np.zeros(len(rows), bool)
-        equal = np.ones(len(rows), bool)
-        for c in range(rows.shape[1]):
-            more |= equal & (at[:, c] < rows[:, c])
-            equal &= at[:, c] == rows[:, c]
-        right = (more | equal) & (lo < hi)
-        lo, hi = np.where(right, mid + 1, lo), np.where(~right & (lo < hi), mid, hi)
-    return lo
-
-
-def range_assign(df: DataFrame, key: str, splitters: Sequence[bytes]) -> DataFrame:
-    """Add ``pid``, the number of splitters <= key (unsigned bytes): a key equal to a splitter goes right.
-
-    More than 64 splitters are searched in Arrow batches, a whole batch at a time; keys are then not null.
-    """
-    if len(splitters) <= _FEW:
-        pid = F.size(F.filter(F.array(*map(F.lit, map(bytes, splitters))), lambda s: s <= F.col(key))) if splitters else F.lit(0)
-        return df.withColumn("pid", pid.cast("int"))
-    plain = [bytes(s) for s in splitters]
-
-    @F.arrow_udf("int")
-    def find(keys: pa.Array) -> pa.Array:
-        keys = keys.cast(pa.binary())
-        longest = max(max(map(len, plain)), int(np.diff(np.frombuffer(keys.buffers()[1], np.int32, len(keys) + 1, keys.offset * 4)).max(initial=0)))
-        return pa.array(_upto(_as_words(keys, longest), _as_words(pa.array(plain, pa.binary()), longest)), pa.int32())
-
-    return df.withColumn("pid", find(F.col(key)))
-
-
 def exchange_matrix(df: DataFrame, src: str, dst: str, sources: int, dests: int, record_bytes: int = 100) -> DataFrame:
     """``src, dst, lines, bytes`` for each of ``sources * dests`` pairs, 0 where no line goes."""
     cells = df.sparkSession.range(sources).select(F.col("id").cast("int").alias(src), F.explode(F.sequence(F.lit(0), F.lit(dests - 1))).alias(dst))
@@ -194,21 +167,39 @@ def sort_partitions(df: DataFrame, key: str, tiebreak: Sequence[str]) -> DataFra
     return df.sortWithinPartitions(key, *tiebreak)
 
 
-def total_sort(df: DataFrame, key: str, p: int, tiebreak: Sequence[str], num_samples: int = 10_000, method: str = "sampled") -> DataFrame:
+def partitions_for(rows: int, record_bytes: int = 100, least: int = 6, target: int = 128 << 20) -> int:
+    """Partitions of about ``target`` bytes for so many records, ``least`` at least."""
+    return max(least, -(-rows * record_bytes // target))
+
+
+def total_sort(df: DataFrame, key: str, p: int | None, tiebreak: Sequence[str], num_samples: int = 10_000, method: str = "sampled", place: str | None = None) -> DataFrame:
     """Sort by key and tie-break; partitions, read in order, are the sorted whole. Runs jobs for the splitters.
 
-    ``df`` is read twice: its key and tie-break for the sample, and whole for the one exchange.
+    ``p``: the number of partitions; None: :func:`partitions_for` the input's rows, with a sample of 16 rows for each at least.
 
-    ``sampled``: systematic sample, splitters, one exchange of all rows to their range, sort inside; equal keys
-    meet in one partition. ``builtin``: Spark's own range sort over (key, tie-break), which spreads equal keys;
-    then there is no ``pid``. An empty input gives an empty output.
+    ``sampled``: systematic sample in the order of the tie-break (or by ``place``, see :func:`systematic_sample`), splitters,
+    one exchange of all rows to their range, sort inside; equal keys meet in one partition. ``df`` is read twice: its key and tie-break
+    for the sample, and whole for the exchange. ``balanced``: cuts of (key, tie-break) by a quantile summary and exact
+    counts, so a key that many records have is spread over partitions, each of about the mean's size; ``pid`` does not
+    follow from the key alone then. ``builtin``: Spark's own range sort over (key, tie-break); there is no ``pid``. An empty input gives an empty output.
     """
     if method == "builtin":
         return df.orderBy(key, *tiebreak)
-    sample = systematic_sample(df.select(*dict.fromkeys([key, *tiebreak])), num_samples, tiebreak)
-    if sample.isEmpty():
+    if method == "balanced":
+        keyed = df.withColumn("__key", sort_key(df, [key, *tiebreak]))
+        cuts, _ = balanced_cuts(keyed, "__key", p or partitions_for(df.count()))
+        return sort_partitions(range_partition(keyed, "__key", cuts), key, tiebreak).drop("__key")
+    if method != "sampled":
+        raise ValueError(f"no method {method}")
+    if p is None:
+        rows = df.count()
+        p = min(partitions_for(rows), max(rows, 1))
+        num_samples = max(num_samples, 16 * p)
+    chosen = df.select(*dict.fromkeys([key, *tiebreak, *([place] if place else [])]))
+    sample, total = _sample(chosen, num_samples, tiebreak, place)
+    if not total:
         return df.withColumn("pid", F.lit(0))
-    cuts = splitter_list(choose_splitters(sample, key, p))
+    cuts = splitter_list(_picked(sample, key, p, min(num_samples, total)))
     return sort_partitions(range_partition(df, key, cuts), key, tiebreak)
 
 

@@ -187,3 +187,103 @@ def test_a_hot_group_is_spread(spark):
     plan = R.place_in_group(df, ["g"], ["at"])._jdf.queryExecution().optimizedPlan().toString()
     # The only window is over a row for each group and range.
     assert plan.count("Window") == 1 and "sum(__n" in plan[plan.index("Window") :].split("\n")[0]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sample_is_picked_by_the_tasks_of_the_ranges(spark, tmp_path):
+    """Each task that reads a part of the sorted ranges picks its own rows: as many tasks as ranges, and no rows are brought together."""
+    df = frame(spark, keys(4000)).repartition(5)
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        sample, total = R._sample(df, 40, ["id"])
+        assert total == 4000 and sample.rdd.getNumPartitions() >= 16
+        assert "Coalesce" not in plan_of(sample) and "Exchange SinglePartition" not in plan_of(sample)
+        assert sorted(r.id for r in sample.collect()) == list(range(0, 4000, 100))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_sample_by_place_moves_nothing(spark):
+    df = frame(spark, keys(1000)).withColumn("place", F.col("id")).repartition(4)
+    sample, _ = R._sample(df, 10, ["id"], "place")
+    assert "rangepartitioning" not in plan_of(sample) and "Sort" not in plan_of(sample)
+    assert sorted(r.id for r in R.systematic_sample(df, 10, ["id"], "place").collect()) == list(range(0, 1000, 100))
+    rows = R.total_sort(df, "key", 4, ["id"], 200, place="place").collect()
+    want = R.total_sort(df, "key", 4, ["id"], 200).collect()
+    assert [(r.pid, r.id) for r in rows] == [(r.pid, r.id) for r in want]
+
+
+def test_partitions_follow_the_size(spark):
+    assert [R.partitions_for(n) for n in (0, 1, 10**7, 10**9, 10**12)] == [6, 6, 8, 746, 745059]
+    assert R.total_sort(frame(spark, keys(500)), "key", None, ["id"], 50).select("pid").distinct().count() == 6
+    assert [r.id for r in R.total_sort(frame(spark, [b"b", b"a"]), "key", None, ["id"]).collect()] == [1, 0]
+
+
+@pytest.mark.parametrize("name", ["uniform", "skew", "one"])
+def test_balanced_sort(spark, name):
+    """Sorted as a whole whatever the keys, and no partition above twice the mean, with keys that a third of all or all records have."""
+    r = random.Random(2)
+    hot = r.randbytes(10)
+    ks = {"uniform": keys(6000), "skew": [hot if r.random() < 0.4 else r.randbytes(10) for _ in range(6000)], "one": [hot] * 6000}[name]
+    df = R.total_sort(frame(spark, ks).repartition(3), "key", 10, ["id"], method="balanced")
+    rows = df.withColumn("part", F.spark_partition_id()).collect()
+    assert all(x.part == x.pid for x in rows)
+    assert [(bytes(x.key), x.id) for x in rows] == sorted((k, i) for i, k in enumerate(ks))
+    sizes = [sum(x.pid == p for x in rows) for p in range(10)]
+    assert max(sizes) < 2 * len(ks) / 10
+
+
+def test_balanced_sort_of_few_and_none(spark):
+    assert R.total_sort(frame(spark, []), "key", 4, ["id"], method="balanced").collect() == []
+    assert [r.id for r in R.total_sort(frame(spark, [b"b", b"a", b"b"]), "key", 4, ["id"], method="balanced").collect()] == [1, 0, 2]
+
+
+def test_sort_keys_order_as_their_columns(spark):
+    from pyspark.sql import types as T
+
+    from rangeloom.operators.quantiles import sort_key
+
+    r = random.Random(1)
+    rows = [(r.choice([None, r.randrange(-(2**63), 2**63), 0, -1]), r.choice([None, "", "a", "a\0", "ab", "é", "a!"]), r.choice([None, bytearray(r.randbytes(2)), bytearray(b"\0"), bytearray(b"")]), r.choice([None, True, False])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a long, b string, c binary, d boolean").withColumn("t", F.timestamp_micros((F.col("a") / 1000000).cast("long"))).withColumn("e", F.date_add(F.lit("2000-01-01").cast("date"), F.length("b"))).withColumn("id", F.monotonically_increasing_id())
+    for cols in (["a"], ["b"], ["c", "a"], ["d", "b", "c"], ["t", "id"], ["e", "b"]):
+        ties = [*cols, "id"]
+        got = [x.id for x in df.orderBy(sort_key(df, ties)).collect()]
+        assert got == [x.id for x in df.orderBy(*ties).collect()]
+    with pytest.raises(TypeError):
+        sort_key(df.withColumn("x", F.lit(1.5).cast(T.DoubleType())), ["x"])
+
+
+def test_summary_error_is_certain(spark):
+    """Ranks of the quantiles are off by no more than the summary says, in sorted, reversed and repeated input, merged or not."""
+    from rangeloom.operators.quantiles import quantile_summary
+
+    r = random.Random(3)
+    n = 30_000
+    for kind, values in {"up": range(n), "down": range(n, 0, -1), "mixed": r.sample(range(n), n), "few": [r.randrange(5) for _ in range(n)]}.items():
+        df = spark.createDataFrame([(bytearray(v.to_bytes(4, "big")),) for v in values], "k binary").repartition(9)
+        s = quantile_summary(df, "k", size=128, together=3)
+        assert s.count == n and 0 < s.error < n / 8
+        ordered = sorted(values)
+        cuts = [int.from_bytes(q, "big") for q in s.quantiles(10)]
+        assert cuts == sorted(set(cuts))
+        for i, q in enumerate(s.quantiles(10) if kind != "few" else [], 1):
+            v = int.from_bytes(q, "big")
+            lo, hi = bisect.bisect_left(ordered, v), bisect.bisect_right(ordered, v)
+            assert lo - s.error - 1 <= i * n / 10 <= hi + s.error + 1
+    assert quantile_summary(df.where("false"), "k").quantiles(5) == []
+
+
+def test_balanced_cuts_count_exactly(spark):
+    from rangeloom.operators.quantiles import balanced_cuts
+
+    ks = keys(5000, 4, distinct=700)
+    cuts, sizes = balanced_cuts(frame(spark, ks).repartition(4), "key", 8, size=64)
+    assert len(sizes) == len(cuts) + 1 and cuts == sorted(set(cuts))
+    ordered = sorted(ks)
+    at = [bisect.bisect_left(ordered, c) for c in cuts]
+    assert sizes.tolist() == [b - a for a, b in zip([0, *at], [*at, len(ks)], strict=True)]
+    assert max(sizes) < 2 * len(ks) / 8
