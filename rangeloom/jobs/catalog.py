@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rangeloom.functions.keys import from_words, key_hex, n_choose_r, split_key, to_words
 from rangeloom.jobs import tables as T
-from rangeloom.operators import coded, jobspec, phaselog, quantiles, records, transfer, tuning
+from rangeloom.operators import coded, growing, jobspec, phaselog, quantiles, records, transfer, tuning
 from rangeloom.shared import new_path, stored
 from rangeloom.sources.fixed import read_records, write_records
 from rangeloom.sources.text import read_jobs, read_phase_log
@@ -35,6 +35,15 @@ def row_index_lineitem(spark, d):
     return records.with_row_index(T.table(spark, d, "lineitem").select(*cols), cols).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "idx")
 
 
+def row_index_growing(spark, d):
+    """The same index, kept in a folder of sorted ranges to which the events are added in three batches."""
+    kept = growing.RankDirectory(spark, new_path(spark, "rank-directory"), ["key", "id"], range_rows=100_000)
+    rec = stored(T.rec(spark, d).select("key", "id"), "records-to-index")
+    for i in range(3):
+        kept.add(rec.where(F.col("id") % 3 == i), f"batch-{i}")
+    return kept.index().select("id", "idx")
+
+
 def split_input(spark, d):
     return records.split_input(T.rec(spark, d), 7, ["id"]).select("id", "split_id")
 
@@ -200,6 +209,15 @@ def pair_phases(spark, d):
     return _pairs(spark, d)
 
 
+def pair_phases_growing(spark, d):
+    """The same pairs from a log that comes week by week; only unpaired lines and counters are kept between weeks."""
+    log = stored(T.phase_log(spark, d).withColumn("week", F.weekofyear("ts")), "phase-log-weeks")
+    kept = growing.GrowingPairs(spark, new_path(spark, "growing-pairs"), "long")
+    for week, _ in sorted(map(tuple, log.groupBy("week").agg(F.min("ts")).collect()), key=lambda r: r[1]):
+        kept.add(log.where(F.col("week") == week), f"week-{week}", ("ts", "line_no"))
+    return kept.pairs()
+
+
 def phase_ratios(spark, d):
     out = phaselog.phase_ratios(_pairs(spark, d))
     return out.select("source", "k", F.round("map_over_shuffle", 4).alias("map_over_shuffle"), F.round("shuffle_over_map", 12).alias("shuffle_over_map"))
@@ -315,9 +333,9 @@ def job_list_files(spark, d):
 
 
 _QUERIES = (
-    total_sort, total_sort_skew, total_sort_builtin, total_sort_balanced, total_sort_balanced_skew, quantile_cuts, row_index, row_index_lineitem, split_keys, split_input, systematic_sample, splitters, range_assign,
+    total_sort, total_sort_skew, total_sort_builtin, total_sort_balanced, total_sort_balanced_skew, quantile_cuts, row_index, row_index_growing, row_index_lineitem, split_keys, split_input, systematic_sample, splitters, range_assign,
     range_assign_many, exchange_matrix, job_codec, validate_jobs, input_files, replicas, chunks, packets, packet_metadata, decoded, completeness,
-    file_copies, group_demand, coded_sort, coded_sort_records, load_report, pair_phases, phase_ratios, total_time, ratio_stats, compare_schemes, phase_summary, cycle_slots, trial_decisions,
+    file_copies, group_demand, coded_sort, coded_sort_records, load_report, pair_phases, pair_phases_growing, phase_ratios, total_time, ratio_stats, compare_schemes, phase_summary, cycle_slots, trial_decisions,
     r_trajectory, assign_r, tune_stream_files, bandwidth_series, transfer_cost, rate_as_of,
     record_files, phase_log_files, job_list_files,
 )

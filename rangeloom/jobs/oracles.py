@@ -102,6 +102,7 @@ ORACLES = {
     "total_sort_balanced_skew": f"WITH {_REC.replace('CAST(event_id AS VARCHAR)', 'event_type')} SELECT row_number() OVER (ORDER BY key, id) - 1 AS idx, {_HEX.format('key')} AS key_hex, id FROM rec",
     "quantile_cuts": "SELECT count(*) AS n, CAST(12 AS INTEGER) AS ranges, true AS even FROM events",
     "row_index": f"WITH {_REC} SELECT id, row_number() OVER (ORDER BY key, id) - 1 AS idx FROM rec",
+    "row_index_growing": f"WITH {_REC} SELECT id, row_number() OVER (ORDER BY key, id) - 1 AS idx FROM rec",
     "row_index_lineitem": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
   row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS idx FROM lineitem""",
     "split_keys": f"WITH {_REC} SELECT id, {_HEX.format('key')} AS key_hex, 'value of ' || id AS value FROM rec",
@@ -145,6 +146,7 @@ b AS (SELECT dest AS node, count(*) AS remote_lines FROM rem GROUP BY 1),
 c AS (SELECT sender AS node, CAST(sum(lines) AS BIGINT) AS packet_lines FROM (SELECT group_id, sender, max(size) AS lines FROM met GROUP BY 1, 2) GROUP BY 1)
 SELECT a.node, lines_mapped, remote_lines, packet_lines, round(packet_lines / remote_lines, 6) AS coded_over_uncoded FROM a JOIN b USING (node) JOIN c USING (node)""",
     "pair_phases": f"{_PAIRS} SELECT * FROM prs",
+    "pair_phases_growing": f"{_PAIRS} SELECT * FROM prs",
     "phase_ratios": f"{_PAIRS} SELECT source, k, round(CASE WHEN shuffle <> 0 THEN map / shuffle END, 4) AS map_over_shuffle, round(CASE WHEN map <> 0 THEN shuffle / map END, 12) AS shuffle_over_map FROM prs",
     "total_time": f"{_PAIRS} SELECT source, round(sum(map + shuffle), 2) AS total FROM prs GROUP BY 1",
     "ratio_stats": f"""{_PAIRS}, q AS (SELECT source, CASE WHEN shuffle <> 0 THEN map / shuffle END AS x FROM prs)
