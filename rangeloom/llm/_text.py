@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
@@ -131,12 +132,28 @@ def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+def slices(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows with at most ``most`` bytes of strings and binaries, or of one row that has more.
+
+    What a task makes of a batch in Python is several times its size, so it is made of one run at a time.
+    """
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    upto, lo = np.cumsum(sizes), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, most + (upto[lo - 1] if lo else 0), side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def per_row(schema: pa.Schema, make: Callable[[], Callable]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For ``mapInArrow``: one output row (a tuple) for each input row; ``make`` is called once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = make()
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             if batch.num_rows:
                 out = [row(*x) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)

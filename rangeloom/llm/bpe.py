@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from rangeloom.llm._text import documents, per_row
+from rangeloom.llm._text import documents, per_row, slices
 
 #: The pattern that splits text before the merges, as published with the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -301,7 +301,7 @@ def _ids(docs: DataFrame, id_col: str, text_col: str, path: str | None, row: Cal
     """``path``: the vocabulary file, on every executor; None: the file that the executor's own package names."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path or vocabulary())
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             if batch.num_rows:
                 texts = [x or "" for x in batch.column(1).to_pylist()]
                 rows = [row(t, parts) for parts in t.encode_each(texts)]

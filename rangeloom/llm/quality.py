@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from rangeloom.llm._text import WHITE, covered, documents, per_row, window_hashes, word_hashes
+from rangeloom.llm._text import WHITE, covered, documents, per_row, slices, window_hashes, word_hashes
 
 _SYMBOLS = b"#*$%&|<>"
 
@@ -129,11 +130,17 @@ def keep_quality(docs: DataFrame, text_col: str = "text", bands: Bands = Bands()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = measurer(bands)
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             yield batch.filter(pa.array([measure(x).kept for x in batch.column(text_col).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
+def agreement(docs: DataFrame, labels: DataFrame, bands: Bands = Bands()) -> DataFrame:
+    """``quality, kept, n``: how many labelled documents of each quality are kept and rejected; precision and recall follow."""
+    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), "quality").where(F.col("quality").isNotNull())
+    return quality_report(docs, bands=bands).select("doc_id", "kept").join(known, "doc_id").groupBy("quality", "kept").agg(F.count(F.lit(1)).alias("n"))
+
+
 def op10_compression_bands(spark, sf_dir: str) -> DataFrame:
     return quality_report(documents(spark, sf_dir))
