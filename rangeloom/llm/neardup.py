@@ -6,13 +6,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeloom.llm._text import documents, mixed, per_row, window_hashes, word_hashes
+from rangeloom.llm._text import documents, mixed, per_row, slices, window_hashes, word_hashes
+from rangeloom.llm.bitmap import likely
 from rangeloom.llm.components import components
 from rangeloom.shared import stored
 
@@ -26,7 +26,7 @@ class NearSpec:
     A candidate pair passes if the sketches estimate at least ``percent / 100 - slack``, six standard deviations of
     the estimate below the threshold. A second odd sketch of ``fine_bits`` bits holds the parity of a coordinated
     sample of the set, the whole set up to ``fine_sample`` shingles, and sharpens that: see ``possible``. ``group``: documents of a star that are compared in
-    one place; ``block``: members of a bucket that are compared in one place.
+    one place; ``block``: members of a bucket, as sets of 1,024 shingles, that are compared in one place.
     """
 
     shingle: int = 5
@@ -180,26 +180,6 @@ def _near_enough(pairs: DataFrame, reps: DataFrame, spec: NearSpec) -> DataFrame
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", *cols).mapInArrow(run, "a long, b long")
 
 
-def narrowed(docs: DataFrame, ids: DataFrame, slots: int = 1 << 24) -> DataFrame:
-    """``docs`` without most of those whose ``doc_id`` is not in ``ids``: a bitmap of fixed size tells by a hash.
-
-    The bitmap has ``slots`` bits (2 MB), however many ids there are; with many more ids than bits it lets all
-    documents through. It only saves the exchange of texts that a later join would drop.
-    """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots).cast("long"))
-    one = ids.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
-    found = one.toArrow()
-    bitmap = np.zeros(slots // 64, np.int64)
-    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
-
-    @F.pandas_udf("boolean")
-    def there(s: pd.Series) -> pd.Series:
-        at = s.to_numpy(np.int64)
-        return pd.Series((bitmap[at >> 6] >> (at & 63)) & 1 == 1)
-
-    return docs.where(there(slot))
-
-
 def confirmed(pairs: DataFrame, docs: DataFrame, spec: NearSpec) -> DataFrame:
     """Of distinct ``(a, b)``, those whose full sets are similar; ``docs`` gives ``doc_id, text``.
 
@@ -213,7 +193,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, spec: NearSpec) -> DataFrame:
     groups = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / spec.group)))
     needs = groups.select(F.col("b").alias("doc_id"), "a", "part", F.lit(True).alias("member"))
     needs = stored(needs.unionByName(groups.select(F.col("a").alias("doc_id"), "a", "part", F.lit(False).alias("member")).distinct()), "needs")
-    texts = narrowed(docs, needs).join(needs, "doc_id").select("a", "part", "member", "doc_id", "text")
+    texts = likely(docs, needs, ["doc_id"]).join(needs, "doc_id").select("a", "part", "member", "doc_id", "text")
     ordered = texts.repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", "member")
     percent, size = spec.percent, spec.shingle
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -222,7 +202,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, spec: NearSpec) -> DataFrame:
         centre, own = None, np.empty(0, np.uint64)
         for batch in batches:
             found = []
-            for a, _, member, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a, _, member, doc_id, text in _rows([batch]):
                 s = shingle_set(text, size)
                 if not member:
                     centre, own = a, s
@@ -235,48 +215,147 @@ def confirmed(pairs: DataFrame, docs: DataFrame, spec: NearSpec) -> DataFrame:
     return stored(ordered.mapInArrow(run, "a long, b long").distinct(), "confirmed")
 
 
-def _across(members: DataFrame, spec: NearSpec) -> DataFrame:
-    """Pairs between different components of a bucket that the sketches leave possible.
+_MEMBER = pa.schema([
+    ("key", pa.int64()), ("qb", pa.int64()), ("mb", pa.int64()), ("member", pa.bool_()), ("id", pa.int64()), ("comp", pa.int64()), ("of_main", pa.bool_()),
+    ("n", pa.int64()), ("sketch", pa.binary()), ("level", pa.int32()), ("fine", pa.binary()), ("keys", pa.list_(pa.int64())),
+])
+_MEMBER_DDL = "key long, qb long, mb long, member boolean, id long, comp long, of_main boolean, n long, sketch binary, level int, fine binary, keys array<long>"
+
+
+class _Block:
+    """Queries of a bucket's block, and which of them a member may be linked with; rows begin with the columns of ``_MEMBER``."""
+
+    def __init__(self, rows: list[tuple]) -> None:
+        self.rows = rows
+        _, _, _, _, ids, comps, _, *sketches, keys = (list(c) for c in zip(*(r[: len(_MEMBER)] for r in rows), strict=True))
+        self.ids, self.comps, self.keys, self.sketches = np.array(ids), np.array(comps), np.array(keys), Sketches.of(*sketches)
+
+    def near(self, row: tuple, spec: NearSpec) -> np.ndarray:
+        """Places of the queries that sizes and sketches leave possible.
+
+        A pair is looked at in one place only: in the first band in which it shares a bucket, and of two queries the one with the smaller id asks.
+        """
+        key, _, _, _, i, comp, of_main, *sketches, keys = row[: len(_MEMBER)]
+        keys = np.array(keys)
+        band = int((keys == key).argmax())
+        other = (self.comps != comp) & ~(self.keys[:, :band] == keys[:band]).any(1)
+        at = np.flatnonzero(other if of_main else other & (self.ids < i))
+        return at[possible(self.sketches.at(at), Sketches.of(*([x] for x in sketches)), spec)] if len(at) else at
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for part in slices(batch):
+            yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
-    ``members``: ``key, id, comp`` and the sketches of buckets with several components. The bucket's largest
+
+def _blocks(rows: Iterator[tuple]) -> Iterator[tuple[_Block, tuple | None]]:
+    """Each member with the queries of its block pair, which come before it; None behind a block pair's last member."""
+    at, queries, block = None, [], None
+    for row in rows:
+        if row[:3] != at:
+            if block:
+                yield block, None
+            at, queries, block = row[:3], [], None
+        if not row[3]:
+            queries.append(row)
+        elif queries:
+            block = block or _Block(queries)
+            yield block, row
+    if block:
+        yield block, None
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema.types, strict=True)], schema=schema)
+
+
+def _by_block_pair(rows: DataFrame) -> DataFrame:
+    return rows.repartition(F.col("key"), F.col("qb"), F.col("mb")).sortWithinPartitions("key", "qb", "mb", "member")
+
+
+def _close(members: DataFrame, spec: NearSpec) -> DataFrame:
+    """Of each block pair, the members that may be linked with one of another component there: rows of ``_MEMBER``, not pairs.
+
+    ``members``: ``key, id, comp, keys`` and the sketches of buckets with several components. The bucket's largest
     component is not compared with itself; the other members are queries against all members. Queries and
-    members of a bucket are cut in blocks, every block of queries meets every block of members in a task of
-    its own, and only pairs that pass leave it.
+    members of a bucket are cut in blocks of about ``block`` sets of 1,024 shingles, and every block of queries meets every
+    block of members in a task of its own. The bucket's smallest node was compared with all others before.
     """
-    members = stored(members, "bucket-members")
-    by_comp = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    buckets = stored(by_comp.groupBy("key").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")), "buckets")
-    m = members.join(buckets, "key")
-    nq, nm = F.ceil((F.col("all") - F.col("most")) / spec.block), F.ceil(F.col("all") / spec.block)
+    members = stored(members.withColumn("load", F.greatest("n", F.lit(1024))), "bucket-members")
+    by_comp = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("load").alias("load"), F.min("id").alias("id"))
+    main = F.max(F.struct(F.col("c"), (-F.col("comp")).alias("less"), F.col("load"))).alias("main")
+    buckets = by_comp.groupBy("key").agg(main, F.sum("load").alias("all"), F.min("id").alias("centre"))
+    buckets = stored(buckets.select("key", (-F.col("main.less")).alias("main"), (F.col("all") - F.col("main.load")).alias("asked"), "all", "centre"), "buckets")
+    m = members.join(buckets, "key").where("id <> centre").withColumn("of_main", F.col("comp") == F.col("main"))
+    load = spec.block * 1024
+    nq, nm = F.greatest(F.ceil(F.col("asked") / load), F.lit(1)), F.ceil(F.col("all") / load)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     place = lambda n: F.pmod(F.xxhash64("id"), n)
-    cols = ["key", "qb", "mb", "member", "id", "comp", *_SKETCH]
-    asked = m.where("comp <> main").withColumn("qb", place(nq)).withColumn("mb", upto(nm)).withColumn("member", F.lit(False)).select(*cols)
-    there = m.withColumn("mb", place(nm)).withColumn("qb", upto(nq)).withColumn("member", F.lit(True)).select(*cols)
-    ordered = asked.unionByName(there).repartition(F.col("key"), F.col("qb"), F.col("mb")).sortWithinPartitions("key", "qb", "mb", "member")
+    asked = m.where("not of_main").withColumn("qb", place(nq)).withColumn("mb", upto(nm)).withColumn("member", F.lit(False)).select(*_MEMBER.names)
+    there = m.withColumn("mb", place(nm)).withColumn("qb", upto(nq)).withColumn("member", F.lit(True)).select(*_MEMBER.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, hit = [], set()
+        for block, row in _blocks(_rows(batches)):
+            if row is None:
+                out += [block.rows[i] for i in sorted(hit)]
+                hit = set()
+            elif len(near := block.near(row, spec)):
+                out.append(row)
+                hit.update(near.tolist())
+            if len(out) > 4096:
+                yield _batch(out, _MEMBER)
+                out = []
+        yield _batch(out, _MEMBER)
+
+    return _by_block_pair(asked.unionByName(there)).mapInArrow(run, _MEMBER_DDL)
+
+
+def _across(members: DataFrame, docs: DataFrame, spec: NearSpec) -> DataFrame:
+    """Links ``(a, b)`` between different components of a bucket, enough to join all components that are linked.
+
+    What :func:`_close` leaves is compared on full sets, block against block: a text travels once for each block pair in
+    which it may be linked, however many pairs that is. Pairs whose components a link has joined in the task are passed over.
+    """
+    close = stored(_close(members, spec), "close-members")
+    if close.isEmpty():
+        return close.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    near = likely(docs, close.select(F.col("id").alias("doc_id")), ["doc_id"])
+    texts = near.join(close, F.col("doc_id") == F.col("id")).select(*_MEMBER.names, "text")
+    percent, size = spec.percent, spec.shingle
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, comps, rows, asked = None, [], [], [], None
-        for batch in batches:
-            found: list[np.ndarray] = []
-            for key, qb, mb, member, i, comp, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, qb, mb) != at:
-                    at, ids, comps, rows, asked = (key, qb, mb), [], [], [], None
-                if not member:
-                    ids.append(i), comps.append(comp), rows.append(own)
-                    continue
-                if not ids:
+        found: list[tuple] = []
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while up.get(c, c) != c:
+                c = up[c]
+            return c
+
+        # A text is cut into its set as it comes: a block holds sets.
+        for block, row in _blocks((*r[:-1], shingle_set(r[-1], size)) for r in _rows(batches)):
+            if row is None:
+                up.clear()
+                continue
+            own = row[-1]
+            for i in block.near(row, spec).tolist():
+                a, b = root(block.rows[i][5]), root(row[5])
+                if a == b:
                     continue
-                asked = asked or (np.array(ids), np.array(comps), Sketches.of(*zip(*rows, strict=True)))
-                other = np.flatnonzero(asked[1] != comp)
-                near = asked[0][other[possible(asked[2].at(other), Sketches.of(*([x] for x in own)), spec)]]
-                if len(near):
-                    found.append(np.stack([np.minimum(near, i), np.maximum(near, i)]))
-            both = np.concatenate(found, 1) if found else np.empty((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], schema=out)
+                other = block.rows[i][-1]
+                both = len(np.intersect1d(other, own, assume_unique=True))
+                if both and 100 * both >= percent * (len(other) + len(own) - both):
+                    found.append((block.rows[i][4], row[4]))
+                    up[max(a, b)] = min(a, b)
+            if len(found) > 4096:
+                yield _batch(found, out)
+                found = []
+        yield _batch(found, out)
 
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return stored(_by_block_pair(texts).mapInArrow(run, "a long, b long").distinct(), "confirmed-across")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: NearSpec = NearSpec()) -> DataFrame:
@@ -286,68 +365,103 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that repeat a doc_id are one document, also if their texts differ: what any of its texts links to is reachable from it, and
     ``n_shingles`` is that of the row's text. A null doc_id is linked with nothing. An empty table gives an empty one.
     Other columns are not read.
+
+    1. Documents with equal sets are one node from here on, found by a digest of the set. A node is named by a doc_id; the
+       texts of an id that has several, and only those, get numbers of their own, and links that join them.
+    2. Band buckets: every member is a candidate of the bucket's smallest node, never all pairs of a bucket.
+    3. Size and odd sketches drop most false candidates; the rest is confirmed on full sets from the texts.
+    4. Buckets whose members are not yet in one component are searched across components, by sketches in
+       blocks, and what may be linked is compared on full sets, block against block; so no link between components is
+       missed that shares a bucket.
     """
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     signed = stored(signatures(docs, spec), "signatures")
-    key = F.xxhash64("set_key")
-    several = signed.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi and doc_id is not null")
-    return _of_texts(docs, spec) if not several.isEmpty() else _of_documents(docs, signed, spec)
+    named = _named(signed)
+    nodes = signed.where("set_key is not null and doc_id is not null").withColumn("node", F.col("doc_id"))
+    if named is not None:
+        docs = _with_nodes(docs, named, spec)
+        own = nodes.drop("node").join(named, ["doc_id", "set_key"], "left").withColumn("node", F.coalesce("node", "doc_id"))
+        nodes = stored(own, "signed-nodes")
+    reps = stored(nodes.groupBy("set_key").agg(F.min("node").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), *(F.first(c).alias(c) for c in _SKETCH[1:])), "set-representatives")
+    links = _links(reps, docs, spec)
+    if named is None:
+        sets = _components_of(reps, components(links))
+        out = signed.select("doc_id", "n_shingles", "set_key").join(sets.hint("merge"), "set_key", "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+        return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    # Texts of one id are linked through the nodes of their sets. A component that holds such an id is named anew, by the smallest id in it.
+    at = named.join(reps.select("set_key", "id"), "set_key").select("doc_id", "id")
+    same = at.join(at.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
+    sets = _components_of(reps, components(links.unionByName(same)))
+    placed = named.join(sets, "set_key").select("doc_id", "component_id")
+    anew = placed.groupBy("component_id").agg(F.min("doc_id").alias("smallest"))
+    own = nodes.where(F.col("node") == F.col("doc_id")).join(sets, "set_key").join(anew.select("component_id"), "component_id")
+    anew = stored(anew.unionByName(own.select("component_id", F.col("doc_id").alias("smallest"))).groupBy("component_id").agg(F.min("smallest").alias("smallest")), "components-named")
+    sets = stored(sets.join(anew, "component_id", "left").select("set_key", F.coalesce("smallest", "component_id").alias("component_id")), "set-components-named")
+    by_id = named.join(sets, "set_key").groupBy("doc_id").agg(F.min("component_id").alias("of_id"))
+    out = signed.select("doc_id", "n_shingles", "set_key").join(sets.hint("merge"), "set_key", "left").join(by_id, "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_id", "component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _of_texts(docs: DataFrame, spec: NearSpec) -> DataFrame:
-    """The result where a doc_id has several texts: each text is a document of its own, and those of one id are linked.
+def _named(signed: DataFrame) -> DataFrame | None:
+    """``doc_id, set_key, node`` of the ids with several texts, None if there are none; sets that are empty have no node.
 
-    A text's number is set when the table of (doc_id, text key) is written, so it stays as it is.
-    """
-    docs = docs.withColumn("key", F.xxhash64("text"))
-    named = docs.where("doc_id is not null").select("doc_id", "key").distinct().withColumn("node", F.monotonically_increasing_id())
-    named = stored(named, "text-nodes")
-    texts = stored(docs.join(named, ["doc_id", "key"]).dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "text"), "node-texts")
-    signed = stored(signatures(texts, spec), "node-signatures")
-    own = stored(_of_documents(texts, signed, spec).select(F.col("doc_id").alias("node"), "n_shingles", F.col("component_id").alias("of")), "node-components")
-    same_id = named.join(named.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b"))
-    labels = components(own.select(F.col("of").alias("a"), F.col("node").alias("b")).unionByName(same_id))
-    nodes = named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    nodes = stored(nodes.join(nodes.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").join(own, "node").select("doc_id", "key", "component_id", "n_shingles"), "node-results")
-    out = docs.join(nodes, ["doc_id", "key"], "left").select("doc_id", "component_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.col("text")).alias("text"))
-    unnamed = out.where("doc_id is null").select("doc_id", "text")
-    alone = _of_documents(unnamed, stored(signatures(unnamed, spec), "unnamed-signatures"), spec)
-    found = out.where("doc_id is not null").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    return found.unionByName(alone)
-
-
-def _of_documents(docs: DataFrame, signed: DataFrame, spec: NearSpec) -> DataFrame:
-    """:func:`near_duplicates` of ``docs`` (``doc_id, text``) with ``signed``, its :func:`signatures`; a doc_id has one set.
-
-    1. Documents with equal sets are one node from here on, found by a digest of the set.
-    2. Band buckets: every member is a candidate of the bucket's smallest node, never all pairs of a bucket.
-    3. Size and odd sketches drop most false candidates; the rest is confirmed on full sets from the texts.
-    4. Buckets whose members are not yet in one component are searched across components, by sketches in
-       blocks, and the pairs that pass are confirmed likewise; so no link between components is missed that
-       shares a bucket.
+    Nodes are numbers that no doc_id has, above the largest one or, where that is near the end of the numbers, below the smallest.
     """
-    full = signed.where("set_key is not null and doc_id is not null")
-    reps = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), *(F.first(c).alias(c) for c in _SKETCH[1:])), "set-representatives")
+    key = F.xxhash64("set_key")
+    several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("doc_id")
+    if several.isEmpty():
+        return None
+    named = signed.join(stored(several, "several-texts"), "doc_id").where("set_key is not null").select("doc_id", "set_key").distinct()
+    named = stored(named.withColumn("number", F.monotonically_increasing_id()), "text-numbers")
+    low, high = signed.agg(F.min("doc_id"), F.max("doc_id")).first()
+    count = named.agg(F.max("number")).first()[0] or 0
+    if high + count < 2**63 - 1:
+        node = F.col("number") + F.lit(high + 1)
+    elif low - count > -(2**63):
+        node = F.lit(low - 1) - F.col("number")
+    else:
+        raise ValueError("the ids leave no numbers for the texts of ids that have several")
+    return stored(named.select("doc_id", "set_key", node.alias("node")), "text-nodes")
+
+
+def _with_nodes(docs: DataFrame, named: DataFrame, spec: NearSpec) -> DataFrame:
+    """``docs`` and, under their nodes, the texts of the ids in ``named``, which alone are read twice and written."""
+    ids = stored(named.select("doc_id").distinct(), "ids-of-several")
+    texts = likely(docs, ids, ["doc_id"]).join(ids, "doc_id")
+    schema = pa.schema([("doc_id", pa.int64()), ("set_key", pa.binary()), ("text", pa.string())])
+
+    def make():
+        def row(key, text):
+            s = shingle_set(text, spec.shingle)
+            return key, xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, text
+
+        return row
+
+    keyed = texts.select("doc_id", "text").mapInArrow(per_row(schema, make), "doc_id long, set_key binary, text string")
+    own = keyed.join(named, ["doc_id", "set_key"]).dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "text")
+    return docs.unionByName(stored(own, "node-texts"))
+
+
+def _components_of(reps: DataFrame, labels: DataFrame) -> DataFrame:
+    return stored(reps.join(labels.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id")), "set-components")
+
+
+def _links(reps: DataFrame, docs: DataFrame, spec: NearSpec) -> DataFrame:
+    """Confirmed links between the nodes ``reps`` (``id, n, keys`` and sketches), enough to join all that are linked; ``docs`` gives nodes' texts."""
     banded = reps.select("id", F.explode("keys").alias("key"))
     centres = stored(banded.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "centre"), "centres")
     buckets = stored(banded.join(centres.hint("merge"), "key"), "bucket-stars")
-    first = stored(_near_enough(buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), reps, spec), "candidates")
+    first = _near_enough(buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), reps, spec)
     links = confirmed(first, docs, spec)
     labels = components(links)
 
     labelled = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).select("key", "id", "comp")
     labelled = stored(labelled, "labelled")
     open_keys = stored(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "open-buckets")
-    members = labelled.join(open_keys, "key").join(reps.select("id", *_SKETCH), "id")
-    more = _across(members, spec).join(first, ["a", "b"], "left_anti")
-    further = confirmed(more, docs, spec)
-    if not further.isEmpty():
-        labels = components(links.unionByName(further))
-
-    sets = stored(reps.join(labels.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id")), "set-components")
-    out = signed.select("doc_id", "n_shingles", "set_key").join(sets.hint("merge"), "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    members = labelled.join(open_keys, "key").join(reps.select("id", "keys", *_SKETCH), "id")
+    return links.unionByName(_across(members, docs, spec))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: NearSpec = NearSpec()) -> DataFrame:

@@ -128,14 +128,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_narrowed_loses_nothing(spark):
+def test_the_bitmap_loses_nothing(spark):
     from pyspark.sql import functions as F
 
+    from rangeloom.llm.bitmap import likely
+
     docs = spark.range(-500, 5000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     ids = spark.range(-500, 5000, 97).select(F.col("id").alias("doc_id"))
-    few = neardup.narrowed(docs, ids)
-    assert few.join(ids, "doc_id").count() == ids.count() and few.count() < ids.count() + 20
-    assert neardup.narrowed(docs, ids, 64).join(ids, "doc_id").count() == ids.count()
+    few = likely(docs, ids, ["doc_id"])
+    assert few.join(ids, "doc_id").count() == ids.count() and few.count() < ids.count() + 600
+    assert likely(docs, ids, ["doc_id"], 64).join(ids, "doc_id").count() == ids.count()
+    assert likely(docs, ids.limit(0), ["doc_id"]).count() == 0
 
 
 def test_several_texts_of_one_id(spark):
@@ -152,3 +155,42 @@ def test_several_texts_of_one_id(spark):
     want = {(i, len(neardup.shingle_set(t, 5)), group.get(i), i == group.get(i, 0) if i is not None else True) for i, t in rows}
     assert {x[:3] for x in got} == {x[:3] for x in want} and {x for x in got if x[0] is not None} == {x for x in want if x[0] is not None}
     assert df.count() == len(neardup.near_duplicates(df).collect())
+
+
+def test_only_ids_with_several_texts_get_numbers(spark):
+    """Ids at both ends of the numbers, an id with an empty and a full text, and a set that stands under many ids."""
+    r = random.Random(12)
+    text = lambda: [f"w{r.randrange(3000)}" for _ in range(80)]
+    a, b, c = text(), text(), text()
+    top = 2**63 - 1
+    rows = [(top, a), (top, []), (4, a), (top - 1, b), (top - 1, a), (9, b), (7, c), (7, c), (3, c), (8, text()), (8, [])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert result(neardup.near_duplicates(df)) == brute(rows, 5)
+    named = neardup._named(neardup.signatures(df, NearSpec()))
+    assert sorted({x.doc_id for x in named.collect()}) == [8, top - 1, top] and all(x.node < 3 for x in named.collect())
+
+
+def below_the_threshold(n, seed=5):
+    """Texts of 1,000 words that differ from one another in about 30 places each, at a similarity of about 0.79."""
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(1000)]
+    rows = []
+    for i in range(n):
+        own = list(words)
+        for at in r.sample(range(1000), 30):
+            own[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("n", [100, 200])
+def test_a_family_below_the_threshold(spark, n, monkeypatch):
+    """A text is sent once for a block pair and band, not once for a partner: as often however many texts there are in a block."""
+    rows = below_the_threshold(n)
+    sent = []
+    close = neardup._close
+    monkeypatch.setattr(neardup, "_close", lambda *a: sent.append(close(*a)) or sent[-1])
+    got = result(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), spec=NearSpec(shingle=2)))
+    assert got == brute(rows, 2)
+    assert sent[0].count() <= 40 * n
