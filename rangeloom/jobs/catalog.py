@@ -159,10 +159,10 @@ def decoded(spark, d):
 
 
 def completeness(spark, d):
-    """Whether each node has all lines of all files after decoding, by the sizes in the metadata."""
+    """Whether each node has all lines of all files after decoding, by the sizes of the placed blocks."""
     p = _parts(spark, d)
     decoded = coded.xor_decode(coded.xor_encode(p["chunks"], T.WORDS), p["meta"], p["chunks"], T.WORDS)
-    return coded.completeness(spark, p["local"], decoded, p["meta"], K, R)
+    return coded.completeness(spark, p["local"], decoded, p["blocks"], K, R)
 
 
 def file_copies(spark, d):

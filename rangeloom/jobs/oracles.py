@@ -134,7 +134,16 @@ FROM plc JOIN pla p ON plc.file_id = p.file_id JOIN fil f ON f.file_id = plc.fil
   string_agg(dest || '/' || file_id || '/' || (part + 1) || '/' || size, ' ' ORDER BY dest, file_id, part) AS chunks, max(size) AS packet_size, CAST(136 AS INTEGER) AS header_bytes
 FROM met GROUP BY 1, 2""",
     "decoded": f'{_CODED} SELECT dest, file_id, CAST(part AS INTEGER) AS part, "offset", w0, w1, w2 FROM chk',
-    "completeness": f"""{_CODED} SELECT dest AS node, CAST(20 AS BIGINT) AS files_seen, CAST(20 AS BIGINT) AS files_expected, count(*) AS lines, true AS ok FROM plc GROUP BY 1""",
+    "completeness": f"""{_CODED},
+hel AS (
+  SELECT node, file_id, sum(n) AS n FROM (
+    SELECT dest AS node, file_id, count(*) AS n FROM loc GROUP BY 1, 2 UNION ALL SELECT dest, file_id, count(*) FROM chk GROUP BY 1, 2) GROUP BY 1, 2),
+wan AS (
+  SELECT d.dest AS node, f.file_id, coalesce(p.n, 0) AS n FROM fil f, (SELECT unnest(range(1, 7)) AS dest) d
+  LEFT JOIN (SELECT dest, file_id, count(*) AS n FROM plc GROUP BY 1, 2) p ON p.dest = d.dest AND p.file_id = f.file_id)
+SELECT CAST(w.node AS INTEGER) AS node, CAST(count(*) FILTER (WHERE w.n = coalesce(h.n, 0)) AS BIGINT) AS files_seen, CAST(count(*) AS BIGINT) AS files_expected,
+  CAST(sum(coalesce(h.n, 0)) AS BIGINT) AS lines, count(*) FILTER (WHERE w.n = coalesce(h.n, 0)) = count(*) AS ok
+FROM wan w LEFT JOIN hel h ON w.node = h.node AND w.file_id = h.file_id GROUP BY 1""",
     "file_copies": f"{_CODED} SELECT pla.node, pla.file_id, count(*) AS lines FROM pla JOIN plc ON pla.file_id = plc.file_id GROUP BY 1, 2",
     "group_demand": f"""{_CODED} SELECT dem.group_id, array_to_string(grp.nodes, ' ') AS members, dem.dest, dem.file_id, count(plc.id) AS lines
 FROM dem JOIN grp ON dem.group_id = grp.group_id LEFT JOIN plc ON plc.file_id = dem.file_id AND plc.dest = dem.dest GROUP BY 1, 2, 3, 4""",

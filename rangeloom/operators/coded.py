@@ -133,31 +133,30 @@ def reassemble(local: DataFrame, decoded: DataFrame, words: Sequence[str]) -> Da
     return local.select(*cols).unionByName(decoded.select(*cols))
 
 
-def completeness(spark: SparkSession, local: DataFrame, decoded: DataFrame, meta: DataFrame, k: int, r: int) -> DataFrame:
+def completeness(spark: SparkSession, local: DataFrame, decoded: DataFrame, blocks: DataFrame, k: int, r: int) -> DataFrame:
     """``node, files_seen, files_expected, lines, ok``: a file counts as seen if a node holds all of its lines.
 
-    What a node decoded is held against the sizes in the metadata, file by file; a file it has itself is there whole, and
-    an empty block is complete as it is. ``lines`` are those it holds.
+    What a node has itself and what it decoded are held against ``blocks`` (``file_id, dest, lines``), the sizes of the
+    blocks when they were placed, file by file; an empty block is complete as it is. ``lines`` are those it holds.
     """
     every = files(spark, k, r).select("file_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("dest"))
     count = lambda x, n: x.groupBy("dest", "file_id").agg(F.count(F.lit(1)).alias(n))
-    wanted = meta.groupBy("dest", "file_id").agg(F.sum("size").alias("wanted"))
-    cells = every.join(wanted, ["dest", "file_id"], "left").join(count(decoded, "got"), ["dest", "file_id"], "left").join(count(local, "own"), ["dest", "file_id"], "left")
+    cells = every.join(blocks.withColumnRenamed("lines", "wanted"), ["dest", "file_id"], "left").join(count(decoded, "got"), ["dest", "file_id"], "left").join(count(local, "own"), ["dest", "file_id"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    out = cells.groupBy(F.col("dest").alias("node")).agg(
-        F.count_if(zero("got") == zero("wanted")).alias("files_seen"), F.count(F.lit(1)).alias("files_expected"), F.sum(zero("got") + zero("own")).alias("lines")
-    )
+    held = zero("got") + zero("own")
+    out = cells.groupBy(F.col("dest").alias("node")).agg(F.count_if(held == zero("wanted")).alias("files_seen"), F.count(F.lit(1)).alias("files_expected"), F.sum(held).alias("lines"))
     return out.withColumn("ok", F.col("files_seen") == F.col("files_expected"))
 
 
 def coded_parts(df: DataFrame, k: int, r: int, order_cols: Sequence[str]) -> dict[str, DataFrame]:
-    """Tables of a coded exchange of ``df`` (``file_id, dest`` set): local, chunks, meta. Placed lines and chunks are written."""
+    """Tables of a coded exchange of ``df`` (``file_id, dest`` set): local, chunks, meta, blocks. Placed lines, their blocks' sizes and chunks are written."""
     spark = df.sparkSession
     df = stored(df, "placed-lines")
     placed = placement(spark, k, r)
     mine = placed.select("file_id", F.col("node").alias("dest"))
+    blocks = stored(df.groupBy("file_id", "dest").agg(F.count(F.lit(1)).alias("lines")), "block-sizes")
     chunks = stored(chunk_blocks(remote(df, spark, k, r), r, order_cols), "chunks")
-    return {"local": df.join(F.broadcast(mine), ["file_id", "dest"], "left_semi"), "chunks": chunks, "meta": chunk_metadata(chunks, spark, k, r), "placed": placed}
+    return {"local": df.join(F.broadcast(mine), ["file_id", "dest"], "left_semi"), "chunks": chunks, "meta": chunk_metadata(chunks, spark, k, r), "placed": placed, "blocks": blocks}
 
 
 def coded_sort(df: DataFrame, key: str, k: int, r: int, words: Sequence[str], order_cols: Sequence[str], num_samples: int = 10_000) -> DataFrame:
@@ -172,7 +171,7 @@ def coded_sort(df: DataFrame, key: str, k: int, r: int, words: Sequence[str], or
     meta = stored(parts["meta"], "chunk-sizes")
     packets = xor_encode(parts["chunks"], words)
     decoded = stored(xor_decode(packets, meta, parts["chunks"], words), "decoded-lines")
-    if not completeness(spark, parts["local"], decoded, meta, k, r).where("not ok").isEmpty():
+    if not completeness(spark, parts["local"], decoded, parts["blocks"], k, r).where("not ok").isEmpty():
         raise ValueError("a node lacks lines")
     whole = reassemble(parts["local"], decoded, words)
     return whole.repartitionById(k, F.col("dest") - 1).sortWithinPartitions(*words)

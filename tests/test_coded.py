@@ -60,12 +60,15 @@ def test_decode_gives_back_what_was_encoded(spark, k, r):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, df.select("dest", "file_id", *WORDS).collect()))
     meta = p["meta"].collect()
     assert len(meta) == r * (k - r) * comb(k, r)
-    check = lambda decoded: {x.node: x.ok for x in C.completeness(spark, p["local"], decoded, p["meta"], k, r).collect()}
+    check = lambda decoded, local=p["local"]: {x.node: x.ok for x in C.completeness(spark, local, decoded, p["blocks"], k, r).collect()}
     assert check(back) == {i: True for i in range(1, k + 1)}
     # Without one of the chunks, the node that wanted it is not complete, and no other.
     if lost := back.first():
         short = back.where(f"not (dest = {lost.dest} and file_id = {lost.file_id} and part = {lost.part})")
         assert check(short) == {i: i != lost.dest for i in range(1, k + 1)}
+    # Nor is a node that has lost lines of its own.
+    own = {x.dest for x in p["local"].collect()}
+    assert check(back, p["local"].where("false")) == {i: i not in own for i in range(1, k + 1)}
     heads = C.packet_metadata(p["meta"], r).collect()
     assert len(heads) == (r + 1) * comb(k, r + 1) and {x.header_bytes for x in heads} == {4 + 44 * r}
     assert {len(x.chunks) for x in heads} == {r} and all(x.packet_size == max(c["size"] for c in x.chunks) for x in heads)
