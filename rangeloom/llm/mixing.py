@@ -202,12 +202,13 @@ def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
+def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec(), draw: str | None = None) -> DataFrame:
     """The mix as documents: for each document and epoch a row of its columns with the words taken then.
 
     A document that an epoch takes whole keeps its text; else the taken words are joined by one space. ``n_chars``
     is set to the new text's code points. Rows that repeat a doc_id, source and text count once; documents
     without words are in no block and so in no mix. ``docs`` has ``doc_id, text, source, n_chars``, others stay.
+    ``draw`` names one more column, what was drawn for the row's first words: ``epoch, shard, slot``.
     """
     marked = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__tag", F.xxhash64("text", "source"))
     key = [F.col("doc_id").cast("long").alias("doc_id"), F.col("__tag").alias("tag")]
@@ -220,14 +221,14 @@ def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
         repeated = marked.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "__tag"])
         marked = marked.join(again, same(again), "left_anti").unionByName(repeated)
     _, pieces = mix(sizes, spec)
-    spans = pieces.groupBy("doc_id", "tag", "epoch").agg(F.sum("n_words").alias("__taken"), F.array_sort(F.collect_list(F.struct("word_start", "n_words"))).alias("__spans"))
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__of"), "__taken", "__spans")
+    spans = pieces.groupBy("doc_id", "tag", "epoch").agg(F.sum("n_words").alias("__taken"), F.array_sort(F.collect_list(F.struct("word_start", "n_words"))).alias("__spans"), F.min_by(F.struct("epoch", "shard", F.col("shard_slot").alias("slot")), "word_start").alias("__draw"))
+    spans = spans.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__of"), "__taken", "__spans", "__draw")
     joined = marked.join(spans, marked["doc_id"].cast("long").eqNullSafe(spans["__id"]) & (marked["__tag"] == spans["__of"]))
     words = F.split(F.regexp_replace(F.regexp_replace("text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+", " "), " ")
     part = F.transform("__spans", lambda s: F.array_join(F.slice(F.col("__words"), s["word_start"].cast("int") + 1, s["n_words"].cast("int")), " "))
     text = F.when(F.col("__taken") == F.col("__size"), F.col("text")).otherwise(F.array_join(part, " "))
     out = joined.withColumn("__words", F.when(F.col("__taken") < F.col("__size"), words)).withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns, *([F.col("__draw").alias(draw)] if draw else []))
 
 
 def op8_block_mix(spark, sf_dir: str) -> DataFrame:

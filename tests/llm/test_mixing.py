@@ -176,3 +176,17 @@ def test_hot_and_null_ids_are_chunked(spark):
     rows = mixing.packed(sizes, mixing.targets(sizes))
     assert rows.groupBy("chunk").count().agg(F.max("count")).first()[0] < 400
     assert rows.agg(F.max(F.col("at") + F.col("size"))).first()[0] == sizes.agg(F.sum("size")).first()[0]
+
+
+def test_the_draw_of_mixed_documents(spark, sf):
+    """Where a document's first words were drawn to, under a name of the caller's: slots of shards, each used once by words that begin there."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    spec = MixSpec(block=64, shard_slots=16)
+    out = mixing.mixed_documents(docs, spec, draw="drawn")
+    rows = out.select("doc_id", "source", "drawn.*").collect()
+    assert out.columns == [*docs.columns, "drawn"] and len({r.shard for r in rows}) > 5
+    assert all(0 <= r.slot < spec.shard_slots and 0 <= r.epoch <= spec.max_epochs for r in rows)
+    by_slot = {}
+    for r in rows:
+        by_slot.setdefault((r.shard, r.slot), set()).add((r.source, r.epoch))
+    assert all(len(v) == 1 for v in by_slot.values())
