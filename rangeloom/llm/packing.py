@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeloom.llm._text import documents
-from rangeloom.llm.bpe import groups, vocabulary
+from rangeloom.llm._text import documents, slices
+from rangeloom.llm.bpe import vocabulary
 from rangeloom.shared import stored
 
 VOCABULARY = "word_bpe_49k.json"
+#: Characters of which lower case and classes are known one by one: ASCII, and the letters up to U+017F but for the dotted I.
+_KNOWN = r"\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_LETTERS = r"a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+#: The pattern that splits text before the merges, as published with the vocabulary (fixed value), on those characters.
+_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+"
 _SHORT = 64
-_CACHE = 500_000
+_CACHE = 1_000_000
+_TOGETHER = 256
 
 
 @dataclass(frozen=True)
@@ -44,7 +53,10 @@ class WordTokenizer:
     """Ids of whole texts by the library, a word at a time: what stands between ASCII white space is encoded once and kept.
 
     The vocabulary's pattern drops white space and its normalizers do not reach across it, so a text's ids are its words'
-    ids in turn. Words above 64 bytes are not kept; others up to a fixed number.
+    ids in turn. Texts of ASCII and of letters with their marks composed (up to U+017F) are put in lower case here, and their
+    words are cut by the pattern: on those characters the normalizers change nothing else and the pattern's classes are
+    known. Their new pieces go to the library many at a time, with blanks between; a piece's last token is one that ends a
+    word. Words of other texts are encoded one by one. Words and pieces above 64 bytes are not kept; others up to a fixed number.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,25 +66,86 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.size = self.library.get_vocab_size(with_added_tokens=True)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        # The same merges for pieces that are cut already: blanks part them, bytes become letters.
+        spec |= {"normalizer": None, "truncation": None, "padding": None, "added_tokens": []}
+        spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "ByteLevel")]}
+        self.merges = Tokenizer.from_str(json.dumps(spec))
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.size = len(vocabulary)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
-
-    def _of(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return {w: np.array(x.ids, self.kind).tobytes() for w, x in zip(words, found, strict=True)}
-
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        """The ids of each text and ``end``, as bytes."""
-        words = [x.encode().split() for x in texts]
-        new = set().union(*words).difference(self.known)
-        if len(self.known) + len(new) > _CACHE:
-            self.known.clear()
-            new = set().union(*words)
-        long = {w for w in new if len(w) > _SHORT}
-        self.known |= self._of(sorted(new - long))
-        ids = self.known | self._of(sorted(long)) if long else self.known
-        return [b"".join(map(ids.__getitem__, own)) + end for own in words]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.known_characters = re.compile(f"[{_KNOWN}]*").fullmatch
+        self.cut = re.compile(_PIECES, re.ASCII).findall
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.others: dict[bytes, bytes] = {}
+
+    def _simple(self, text: str) -> bool:
+        return (text.isascii() or self.known_characters(text) is not None) and not any(x in text for x in self.special)
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+
+    def _by_pieces(self, words: list[str]) -> list[bytes]:
+        cut = [self.cut(w) for w in words]
+        every = list(set().union(*cut))
+        known = dict(zip(every, _ids(self.pieces, every, self._merged), strict=True))
+        return [b"".join(map(known.__getitem__, own)) for own in cut]
+
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        groups = [pieces[at : at + _TOGETHER] for at in range(0, len(pieces), _TOGETHER)]
+        out, width = [], self.kind.itemsize
+        for own, found in zip(groups, self.merges.encode_batch_fast([" ".join(own) for own in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, self.kind)
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) != len(own):
+                raise ValueError("the vocabulary's tokens do not tell where a piece ends")
+            data = ids.tobytes()
+            out += [data[i * width : j * width] for i, j in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)]
+        return out
+
+    def encode(self, texts: pa.StringArray, end: int) -> tuple[pa.BinaryArray, np.ndarray]:
+        """The ids of each text and ``end``, as bytes, and the places of the texts, which come in another order."""
+        simple = np.array([self._simple(x) for x in texts.to_pylist()], bool)
+        last = np.array([end], self.kind).tobytes()
+        words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.utf8_lower(texts.filter(pa.array(simple)))))
+        # A text without words comes as one empty word.
+        coded = pc.dictionary_encode(words.flatten())
+        distinct = coded.dictionary.to_pylist()
+        ids = [*_ids(self.words, distinct, self._by_pieces), last]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        first = np.append(0, np.cumsum(size)[:-1])
+        ends = words.offsets.to_numpy()[1:] - words.offsets.to_numpy()[0]
+        word = np.insert(coded.indices.to_numpy(), ends, len(distinct))
+        n = size[word]
+        upto = np.cumsum(n)
+        data = np.frombuffer(b"".join(ids), self.kind)[np.repeat(first[word] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+        offsets = np.append(0, upto[ends + np.arange(len(ends))] * self.kind.itemsize).astype(np.int32)
+        plain = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        if simple.all():
+            return plain, np.arange(len(texts))
+        cut = [x.encode().split() for x in texts.filter(pa.array(~simple)).to_pylist()]
+        every = list(set().union(*cut))
+        known = dict(zip(every, _ids(self.others, every, self._each), strict=True))
+        others = pa.array([b"".join(map(known.__getitem__, c)) + last for c in cut], pa.binary())
+        return pa.concat_arrays([plain, others]), np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])
+
+
+def _ids(known: dict, things: list, encode: Callable[[list], list[bytes]]) -> list[bytes]:
+    """The ids of distinct ``things``, of which the short ones are in ``known`` from now on."""
+    found = list(map(known.get, things))
+    if new := [i for i, x in enumerate(found) if x is None]:
+        if len(known) + len(new) > _CACHE:
+            known.clear()
+        for i, x in zip(new, encode([things[i] for i in new]), strict=True):
+            found[i] = x
+            if len(things[i]) <= _SHORT:
+                known[things[i]] = x
+    return found
 
 
 @lru_cache(maxsize=2)
@@ -89,22 +162,27 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path or vocabulary(VOCABULARY))
-        last = np.array([end], t.kind).tobytes()
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for lo, hi in groups(texts):
-                ids = t.encode(texts[lo:hi], last)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(x) // t.kind.itemsize for x in ids]), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
+        for batch in (part for batch in batches for part in slices(batch)):
+            ids, place = t.encode(pc.fill_null(batch.column(1), ""), end)
+            n = pc.divide(pc.binary_length(ids), t.kind.itemsize).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place)), n, ids], names=["doc_id", "n", "ids"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
 
 
+def _starts(own: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins, and the length."""
+    new = np.ones(len(own) + 1, bool)
+    np.not_equal(own[1:], own[:-1], out=new[1:-1])
+    return np.flatnonzero(new) if len(own) else np.zeros(1, np.int64)
+
+
 @dataclass(frozen=True)
 class Corpus:
     """Statistics over all documents: their number, mean length, and each term's inverse document frequency.
 
     ``idf`` is ``ln((N - df + 0.5) / (df + 0.5))``; terms in half of the documents or more have none and are not indexed.
-    ``names`` tells which terms may name a shard. A number for each entry of the vocabulary.
+    ``names`` has it for the terms that may name a shard, else 0. A number for each entry of the vocabulary.
     """
 
     docs: int
@@ -115,17 +193,19 @@ class Corpus:
 
     def terms(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct indexed terms of a document (its end is none), ascending, and their BM25 weights."""
-        term, tf = np.unique(ids[:-1], return_counts=True)
+        own = np.sort(ids[:-1], kind="stable")  # by radix, as ids have 16 bits
+        at = _starts(own)
+        term, tf = own[at[:-1]], at[1:] - at[:-1]
         use = self.idf[term] > 0
         term, tf = term[use], tf[use]
         s = self.spec
         return term, self.idf[term] * (tf * (s.k1 + 1) / (tf + s.k1 * (1 - s.b + s.b * (len(ids) / self.mean))))
 
     def name(self, ids: np.ndarray) -> int:
-        """The heaviest term that may name a shard; the vocabulary's size if there is none."""
-        term, weight = self.terms(ids)
-        may = self.names[term]
-        return int(term[may][weight[may].argmax()]) if may.any() else len(self.idf)
+        """The rarest indexed term that may name a shard, of ties the first in the text; the vocabulary's size if there is none."""
+        own = self.names[ids[:-1]]
+        at = int(own.argmax()) if len(own) else 0
+        return int(ids[at]) if len(own) and own[at] > 0 else len(self.idf)
 
 
 def corpus(rows: DataFrame, size: int, kind: np.dtype, spec: PackSpec) -> Corpus:
@@ -135,7 +215,8 @@ def corpus(rows: DataFrame, size: int, kind: np.dtype, spec: PackSpec) -> Corpus
         df = np.zeros(size, np.int64)
         for batch in batches:
             for ids in batch.column(0).to_pylist():
-                df[np.unique(np.frombuffer(ids, kind)[:-1])] += 1
+                own = np.sort(np.frombuffer(ids, kind)[:-1], kind="stable")
+                df[own[_starts(own)[:-1]]] += 1
         term = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df[term])], names=["term", "df"])
 
@@ -143,7 +224,8 @@ def corpus(rows: DataFrame, size: int, kind: np.dtype, spec: PackSpec) -> Corpus
     df = np.zeros(size, np.int64)
     df[counts["term"].to_numpy()] = counts["df"].to_numpy()
     docs, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return Corpus(docs, total / max(docs, 1), np.log((docs - df + 0.5) / (df + 0.5)), df >= spec.least_df, spec)
+    idf = np.log((docs - df + 0.5) / (df + 0.5))
+    return Corpus(docs, total / max(docs, 1), idf, np.where(df >= spec.least_df, np.maximum(idf, 0), 0), spec)
 
 
 def _placement(rows: DataFrame, c: Corpus, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -68,11 +69,24 @@ def test_null_id(spark, library):
 def test_words_give_the_ids_of_the_text(library):
     """Odd characters, special tokens inside words, marks that compose, long words: the same as the library on the whole text."""
     r = random.Random(5)
-    alphabet = "ab'sS tT ́éİΣÅﬁ \n\t1١,.!<|>\U0001f600　ẛ̣\x1c\x85"
-    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["x<|endoftext|>y <|startoftext|>", "it's we'LL", "q" * 300 + " " + "q" * 300, ""]
+    alphabet = "ab'sS tTÀéßſŉĿ×÷ ́éİΣÅﬁ \n\t1١,.!<|>\U0001f600　ẛ̣\x1c\x85"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["x<|endoftext|>y <|startoftext|>", "it's we'LL", "q" * 300 + " " + "q" * 300, "", "é" * 100, "a\x1cb\x0bc", "<|endoftext|", "ABC<|ENDOFTEXT|>é"]
+    texts += ["".join(r.choice("abS'sÀéßſŉĿ1,! \n<|") for _ in range(r.randint(0, 60))) for _ in range(3000)]
     t = packing.WordTokenizer(vocabulary(packing.VOCABULARY))
-    got = t.encode(texts, np.array([1], t.kind).tobytes())
-    assert [np.frombuffer(x, t.kind).tolist() for x in got] == [library(x).tolist() for x in texts]
+    for lo in range(0, len(texts), 700):
+        own = texts[lo : lo + 700]
+        got, place = t.encode(pa.array(own), 1)
+        assert sorted(place.tolist()) == list(range(len(own)))
+        assert [np.frombuffer(x.as_py(), t.kind).tolist() for x in got] == [library(own[i]).tolist() for i in place]
+    assert t.encode(pa.array([], pa.string()), 1)[0].to_pylist() == []
+
+
+def test_known_characters_have_one_lower_case(library):
+    """Each character that is cut here, alone and between letters: the same as the library."""
+    t = packing.WordTokenizer(vocabulary(packing.VOCABULARY))
+    texts = [x for c in map(chr, range(0x180)) if t.known_characters(c) for x in (c, f"A{c}b", f"{c}{c} {c}")]
+    got, place = t.encode(pa.array(texts), 1)
+    assert len(texts) > 900 and [np.frombuffer(x.as_py(), t.kind).tolist() for x in got] == [library(texts[i]).tolist() for i in place]
 
 
 def brute_pack(docs, spec):
@@ -127,7 +141,7 @@ def test_pack_equals_brute_force(seed):
     for d in docs:
         df[np.unique(d[:-1])] += 1
     n = len(docs)
-    c = packing.Corpus(n, sum(map(len, docs)) / n, np.array([math.log((n - k + 0.5) / (k + 0.5)) for k in df.tolist()]), df >= 2, spec)
+    c = packing.Corpus(n, sum(map(len, docs)) / n, np.array([math.log((n - k + 0.5) / (k + 0.5)) for k in df.tolist()]), np.zeros(256), spec)
     got = {}
     for i, at, k, sequence, offset, _ in packing.pack(docs, c):
         got.setdefault(sequence, []).append((offset, i, at, k))
