@@ -148,12 +148,15 @@ def slices(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatc
         lo = hi
 
 
-def per_row(schema: pa.Schema, make: Callable[[], Callable]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For ``mapInArrow``: one output row (a tuple) for each input row; ``make`` is called once a task."""
+def per_row(schema: pa.Schema, make: Callable[[], Callable], most: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow``: one output row (a tuple) for each input row; ``make`` is called once a task.
+
+    ``most``: bytes of texts that are taken at once, see :func:`slices`; by default those of a whole batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = make()
-        for batch in (part for batch in batches for part in slices(batch)):
+        for batch in batches if most is None else (part for batch in batches for part in slices(batch, most)):
             if batch.num_rows:
                 out = [row(*x) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)

@@ -28,7 +28,7 @@ _ASCII = PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}"
 _SEGMENT = 1 << 16
 _GROUP = 1 << 20
 _CACHED_PIECE = 64
-_CACHE = 500_000
+_CACHE = 250_000
 _TOGETHER = 4096
 
 

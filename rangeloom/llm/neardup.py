@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -122,23 +122,37 @@ class Sketches:
         return Sketches(self.n[i], self.sketch[i], self.level[i], self.fine[i])
 
 
-def possible(x: Sketches, y: Sketches, spec: NearSpec) -> np.ndarray:
-    """Which pairs sizes and sketches leave possible; ``x`` and ``y`` are of one length, or one of them of length 1.
+def sizes_allow(n: np.ndarray, m: np.ndarray, spec: NearSpec) -> np.ndarray:
+    """Similar sets have sizes within ``percent`` of each other."""
+    return 100 * np.minimum(n, m) >= spec.percent * np.maximum(n, m)
+
+
+def samples_allow(x: np.ndarray, y: np.ndarray, spec: NearSpec) -> np.ndarray:
+    """Whether odd sketches of the MinHash samples, as words, leave a pair possible."""
+    return np.bitwise_count(x ^ y).sum(1) <= spec.most_differing
+
+
+def sets_allow(x: Sketches, y: Sketches, spec: NearSpec) -> np.ndarray:
+    """Whether the sketches of the sets themselves leave a pair possible.
 
     Similar sets of sizes a and b differ in at most ``(a + b) * (100 - percent) / (100 + percent)`` elements. Each
     of them flips at most one bit of the fine sketch, so where that holds whole sets the bound is sure; where it
     holds a sample, six standard deviations are added. Sketches of different levels are not compared.
     """
     p = spec.percent
-    ok = 100 * np.minimum(x.n, y.n) >= p * np.maximum(x.n, y.n)
-    ok &= np.bitwise_count(x.sketch ^ y.sketch).sum(1) <= spec.most_differing
     share = 0.5 ** x.level.astype(float)
     most = share * (x.n + y.n) * (100 - p) / (100 + p)
     most = most + 6 * np.sqrt(most * (1 - share)) + 1e-9
-    i = np.flatnonzero(ok & (x.level == y.level))
-    one = lambda z: z.fine if len(z.fine) == 1 else z.fine[i]
+    return (np.bitwise_count(x.fine ^ y.fine).sum(1) <= most) | (x.level != y.level)
+
+
+def possible(x: Sketches, y: Sketches, spec: NearSpec) -> np.ndarray:
+    """Which pairs sizes and sketches leave possible; ``x`` and ``y`` are of one length, or one of them of length 1."""
+    ok = sizes_allow(x.n, y.n, spec) & samples_allow(x.sketch, y.sketch, spec)
+    i = np.flatnonzero(ok)
+    one = lambda z: z if len(z.n) == 1 else z.at(i)
     if len(i):
-        ok[i] = np.bitwise_count(one(x) ^ one(y)).sum(1) <= np.broadcast_to(most, ok.shape)[i]
+        ok[i] = sets_allow(one(x), one(y), spec)
     return ok
 
 
@@ -158,26 +172,39 @@ def signatures(docs: DataFrame, spec: NearSpec) -> DataFrame:
 
         return row
 
-    return docs.mapInArrow(per_row(schema, make), "doc_id long, n_shingles long, set_key binary, keys array<long>, sketch binary, level int, fine binary")
+    return docs.mapInArrow(per_row(schema, make, 1 << 22), "doc_id long, n_shingles long, set_key binary, keys array<long>, sketch binary, level int, fine binary")
 
 
 _SKETCH = ["n", "sketch", "level", "fine"]
 
 
 def _near_enough(pairs: DataFrame, reps: DataFrame, spec: NearSpec) -> DataFrame:
-    """Of ``(a, b)``, those that sizes and sketches leave possible."""
-    side = lambda x: reps.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in _SKETCH))
-    cols = [f"{c}_{x}" for x in "ab" for c in _SKETCH]
+    """Of ``(a, b)``, those that sizes and sketches leave possible: the small sketches first, the large ones of what they leave."""
+    words = lambda x: np.frombuffer(b"".join(x), np.uint64).reshape(len(x), -1)
+
+    def small(n: list, sketch: list, m: list, other: list) -> np.ndarray:
+        return sizes_allow(np.array(n), np.array(m), spec) & samples_allow(words(sketch), words(other), spec)
+
+    def large(*c: list) -> np.ndarray:
+        of = lambda n, level, fine: Sketches(np.array(n), np.empty((len(n), 0), np.uint64), np.array(level), words(fine))
+        return sets_allow(of(*c[:3]), of(*c[3:]), spec)
+
+    return _sifted(_sifted(pairs, reps, ["n", "sketch"], small), reps, ["n", "level", "fine"], large)
+
+
+def _sifted(pairs: DataFrame, reps: DataFrame, cols: list[str], test: Callable[..., np.ndarray]) -> DataFrame:
+    """Of ``(a, b)``, those that pass ``test`` on ``cols`` of both sides, as lists."""
+    side = lambda x: reps.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                c = [x.to_pylist() for x in batch.columns[2:]]
-                ok = pa.array(possible(Sketches.of(*c[:4]), Sketches.of(*c[4:]), spec))
+                ok = pa.array(test(*(x.to_pylist() for x in batch.columns[2:])))
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], schema=out)
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", *cols).mapInArrow(run, "a long, b long")
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return stored(both.select("a", "b", *(f"{c}_{x}" for x in "ab" for c in cols)).mapInArrow(run, "a long, b long"), "pairs-left")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, spec: NearSpec) -> DataFrame:
@@ -186,7 +213,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, spec: NearSpec) -> DataFrame:
     Pairs are stars around ``a``; a star is cut in groups of about ``group`` documents, each with its own copy
     of ``a``'s text, so a large star is spread over many tasks. A task holds the set of one centre at a time.
     """
-    pairs = stored(pairs, "pairs")
     if pairs.isEmpty():
         return pairs
     sizes = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree")), "degrees")
@@ -280,14 +306,14 @@ def _close(members: DataFrame, spec: NearSpec) -> DataFrame:
     ``members``: ``key, id, comp, keys`` and the sketches of buckets with several components. The bucket's largest
     component is not compared with itself; the other members are queries against all members. Queries and
     members of a bucket are cut in blocks of about ``block`` sets of 1,024 shingles, and every block of queries meets every
-    block of members in a task of its own. The bucket's smallest node was compared with all others before.
+    block of members in a task of its own.
     """
     members = stored(members.withColumn("load", F.greatest("n", F.lit(1024))), "bucket-members")
-    by_comp = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("load").alias("load"), F.min("id").alias("id"))
+    by_comp = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("load").alias("load"))
     main = F.max(F.struct(F.col("c"), (-F.col("comp")).alias("less"), F.col("load"))).alias("main")
-    buckets = by_comp.groupBy("key").agg(main, F.sum("load").alias("all"), F.min("id").alias("centre"))
-    buckets = stored(buckets.select("key", (-F.col("main.less")).alias("main"), (F.col("all") - F.col("main.load")).alias("asked"), "all", "centre"), "buckets")
-    m = members.join(buckets, "key").where("id <> centre").withColumn("of_main", F.col("comp") == F.col("main"))
+    buckets = by_comp.groupBy("key").agg(main, F.sum("load").alias("all"))
+    buckets = stored(buckets.select("key", (-F.col("main.less")).alias("main"), (F.col("all") - F.col("main.load")).alias("asked"), "all"), "buckets")
+    m = members.join(buckets, "key").withColumn("of_main", F.col("comp") == F.col("main"))
     load = spec.block * 1024
     nq, nm = F.greatest(F.ceil(F.col("asked") / load), F.lit(1)), F.ceil(F.col("all") / load)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
@@ -457,8 +483,9 @@ def _links(reps: DataFrame, docs: DataFrame, spec: NearSpec) -> DataFrame:
     links = confirmed(first, docs, spec)
     labels = components(links)
 
-    labelled = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).select("key", "id", "comp")
-    labelled = stored(labelled, "labelled")
+    # The centre of a bucket was compared with all of it; buckets whose other members are of one component are done, as all of two are.
+    others = buckets.where("id <> centre").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    labelled = stored(others.select("key", "id", F.coalesce("component", "id").alias("comp")), "labelled")
     open_keys = stored(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "open-buckets")
     members = labelled.join(open_keys, "key").join(reps.select("id", "keys", *_SKETCH), "id")
     return links.unionByName(_across(members, docs, spec))
