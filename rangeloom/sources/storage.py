@@ -84,18 +84,22 @@ class Manifests:
     FOLDER = "_manifest"
 
     def __init__(self, storage: Storage) -> None:
-        self.storage = storage
+        self.storage, self._known = storage, {}
+
+    def _names(self) -> list[str]:
+        return [name for name, _ in self.storage.list(self.FOLDER) if name.endswith(".json") and not os.path.basename(name).startswith(".")]
 
     def _all(self) -> list[dict]:
-        out = []
-        for name, _ in self.storage.list(self.FOLDER):
-            if name.endswith(".json") and not os.path.basename(name).startswith("."):
+        """A manifest never changes, so each is read once."""
+        names = self._names()
+        for name in names:
+            if name not in self._known:
                 with self.storage.open(name) as f:
-                    out.append(json.loads(f.read()))
-        return out
+                    self._known[name] = json.loads(f.read())
+        return [self._known[name] for name in names]
 
     def any(self) -> bool:
-        return any(name.endswith(".json") for name, _ in self.storage.list(self.FOLDER))
+        return bool(self._names())
 
     def commits(self) -> list[dict]:
         """Commits that count, in order: from the last one that replaces all before it."""
@@ -104,7 +108,7 @@ class Manifests:
         return found[last:]
 
     def next(self) -> int:
-        return len([1 for name, _ in self.storage.list(self.FOLDER) if name.endswith(".json")])
+        return len(self._names())
 
     def commit(self, write: str, files: list[dict], replaces: bool = False, about: dict | None = None) -> bool:
         """Make ``files`` count; False if this write did so before."""

@@ -47,6 +47,7 @@ class _QueueReader(DataSourceStreamReader):
 
     def __init__(self, options: dict) -> None:
         self.storage = Storage(options["path"])
+        self.manifests = Manifests(self.storage)
         self.most = int(options.get("maxjobs", 1_000_000))
         self.split = int(options.get("splitjobs", 250_000))
         self.at = 0
@@ -54,7 +55,7 @@ class _QueueReader(DataSourceStreamReader):
     def _files(self) -> tuple[list[str], list[int]]:
         """Names, and the jobs before each file and behind the last one."""
         names, ends = [], [0]
-        for m in Manifests(self.storage).commits():
+        for m in self.manifests.commits():
             for f in m["files"]:
                 names.append(f["name"])
                 ends.append(ends[-1] + f["rows"])
