@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -15,21 +16,26 @@ from rangeloom.operators.records import sorted_ranges
 from rangeloom.sources.storage import Manifests, Storage
 
 
-def enqueue(jobs: DataFrame, path: str, order_cols: Sequence[str], ranges: int | None = None, write_id: str | None = None) -> bool:
+def enqueue(jobs: DataFrame, path: str, order_cols: Sequence[str], ranges: int | None = None, write_id: str | None = None, file_jobs: int = 250_000) -> bool:
     """Put ``jobs`` behind all jobs in the queue, in the order of ``order_cols``; False if ``write_id`` was put there before.
 
-    Jobs are sorted in ranges, a file each, and appear all at once when a manifest names the files with their rows. Nothing
+    Jobs are sorted in ranges, files of at most ``file_jobs`` each, so a part of a segment is read without what is long before it; they appear all at once when a manifest names the files with their rows. Nothing
     depends on the files' times. All segments of a queue have the same columns.
     """
     spark, name = jobs.sparkSession, f"segment-{uuid.uuid4().hex}"
-    sorted_ranges(jobs, order_cols, ranges).write.parquet(f"{path}/{name}")
-    # A file holds one range. Its rows are counted by Spark, so nobody opens it for that.
+    sorted_ranges(jobs, order_cols, ranges).write.option("maxRecordsPerFile", file_jobs).parquet(f"{path}/{name}")
+    # A file holds a part of one range, names follow the order. Its rows are counted by Spark, so nobody opens it for that.
     files = spark.read.schema(jobs.schema).parquet(f"{path}/{name}").groupBy("_metadata.file_name").count().collect()
     ddl = jobs.schema.simpleString().removeprefix("struct<").removesuffix(">")
-    listed = [{"name": f"{name}/{f}", "rows": n} for f, n in sorted(map(tuple, files))]
+    listed = [{"name": f"{name}/{f}", "rows": n} for f, n in sorted(map(tuple, files), key=lambda r: _place(r[0]))]
     return Manifests(Storage(path)).commit(write_id or name, listed, about={"schema": ddl})
 
 
+def _place(file: str) -> tuple[int, int]:
+    """Range and part of a file that Spark wrote: ``part-00003-<id>-c001...`` is the second part of the fourth range."""
+    return int(file.split("-")[1]), int(re.search(r"[-.]c(\d+)\.", file)[1])
+
+
 class _Rows(InputPartition):
     """Rows ``first`` to ``stop`` of a file."""
 

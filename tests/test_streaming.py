@@ -95,6 +95,28 @@ def test_state_holds_the_delay_alone(spark, tmp_path):
     assert 3 * 380 <= len(got) < len(rows) and got.items() <= wanted(rows).items()
 
 
+def test_many_keys_share_a_state(spark, tmp_path):
+    """Keys are kept together by buckets, so calls to the state store do not grow with them; cycles go on between micro-batches."""
+    r = random.Random(5)
+    rows = [(k - 300, DAY + (i * 600 + k) * SECOND // 200, 0, float(r.randrange(9))) for i in range(31) for k in range(600)]
+    queue = str(tmp_path / "in")
+    enqueue(jobs_of(spark, rows), queue, ["order", "tie"], ranges=2)
+    enqueue(closing(jobs_of(spark, rows)), queue, ["order"], ranges=1)
+    sizes, progress = run(spark, tmp_path, queue, most=5000, buckets=4)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    assert len(sizes) >= 4 and max(held) <= 32 and results(spark, tmp_path) == wanted(rows)
+
+
+def test_segments_are_cut_in_files(spark, tmp_path):
+    """A part of a long segment is read without the jobs before it."""
+    queue = str(tmp_path / "in")
+    enqueue(jobs_of(spark, [(1, i, 0, float(i)) for i in range(1500)]), queue, ["order"], ranges=1, file_jobs=1)
+    reader = _QueueReader({"path": queue})
+    names, ends = reader._files()
+    assert ends == list(range(1501))
+    assert [x["order"] for p in reader.partitions({"jobs": 990}, {"jobs": 1010}) for b in reader.read(p) for x in b.to_pylist()] == list(range(990, 1010))
+
+
 def test_idle_keys_are_forgotten(spark, tmp_path):
     rows = [(1, DAY + i * SECOND, 0, 1.0) for i in range(5)] + [(2, DAY + i * 30 * SECOND, 0, 1.0) for i in range(21)] + [(1, DAY + 600 * SECOND, 0, 1.0)]
     queue = str(tmp_path / "in")
