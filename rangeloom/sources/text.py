@@ -20,18 +20,23 @@ def read_jobs(spark: SparkSession, path: str, rejects: bool = False) -> DataFram
     return lines.select(*columns, F.when(~F.col("ok"), F.col("value")).alias("rejected")) if rejects else lines.where("ok").select(*columns)
 
 
-def read_phase_log(spark: SparkSession, path: str, source: Column | None = None) -> DataFrame:
-    """``source, line_no, phase, value``: MAP and SHUFFLE lines of each file in their order (CR is trimmed).
+def read_phase_log(spark: SparkSession, path: str, source: Column | None = None, line: Column | None = None) -> DataFrame:
+    """``source, line_no, phase, value``: MAP and SHUFFLE lines of each log in their order (CR is trimmed).
 
-    Lines are numbered within the byte range they were read in, then moved up by the lines of the file's ranges
-    before, so no window holds a whole file. ``source`` names a file, by default its file name; an expression over
-    ``_metadata`` must tell files apart too.
+    Lines are numbered within the byte range they were read in, then moved up by the lines of the log's ranges
+    before, so no window holds a whole file. ``source`` names a log, by default its file's name; an expression over
+    ``_metadata`` must tell files apart too. Many small logs can share files: ``source`` and ``line`` then take
+    a log's name and its line out of ``value``, the line of the file; a log lies in one file, whatever stands between its lines.
     """
-    raw = spark.read.text(path).select((F.col("_metadata.file_name") if source is None else source).alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.trim(F.regexp_replace("value", "\r", "")).alias("line"))
+    text = F.trim(F.regexp_replace(F.col("value") if line is None else line, "\r", ""))
+    raw = spark.read.text(path).select((F.col("_metadata.file_name") if source is None else source).alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), text.alias("line"))
     parts = F.split("line", r"\s+")
     lines = raw.select("source", "block", "id", F.get(parts, F.lit(0)).alias("phase"), F.get(parts, F.lit(1)).try_cast("double").alias("value"))
     place = F.row_number().over(Window.partitionBy("source", "block").orderBy("id")) - 1
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = lines.groupBy("source", "block").count().select("source", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    numbered = lines.withColumn("place", place).join(starts, ["source", "block"])
-    return numbered.where(F.col("phase").isin("MAP", "SHUFFLE") & F.col("value").isNotNull()).select("source", (F.col("start") + F.col("place")).alias("line_no"), "phase", "value")
+    counts = raw.groupBy("source", "block").count()
+    starts = counts.select(F.col("source").alias("of"), F.col("block").alias("at"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    numbered = lines.withColumn("place", place).where(F.col("phase").isin("MAP", "SHUFFLE") & F.col("value").isNotNull())
+    # A log may be called null.
+    joined = numbered.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
+    return joined.select("source", (F.col("start") + F.col("place")).alias("line_no"), "phase", "value")

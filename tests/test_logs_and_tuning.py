@@ -32,6 +32,28 @@ def test_phase_log_files(spark, tmp_path):
     assert total == sum(5e6 * (i + 0.5) if i % 2 == 0 else i + 0.5 for i in range(2000))
 
 
+def test_logs_share_files(spark, tmp_path, monkeypatch):
+    """The logs of many users, one without a number, in a few files that are read in many ranges."""
+    from rangeloom.jobs import catalog
+
+    kinds = ("click", "purchase", "view", None)
+    events = [(i, i // 7, None if i % 60 == 59 else i % 60, kinds[i * i // 3 % 4]) for i in range(6000)]
+    spark.createDataFrame(events, "event_id long, t long, user_id long, event_type string").selectExpr("*", "timestamp_seconds(t) AS ts", "0D AS value").repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(catalog, "new_path", lambda spark, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got = catalog.phase_log_files(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert 1 <= len(list((tmp_path / "phase-log").rglob("part-*"))) <= 4
+    seen, want = {}, []
+    for e, _, user, kind in events:
+        seen[user] = seen.get(user, -1) + 1
+        if kind in ("click", "purchase"):
+            want.append((user, seen[user], "MAP" if kind == "click" else "SHUFFLE", float(e)))
+    assert sorted(map(tuple, got), key=lambda r: r[3]) == want
+
+
 def test_ratios(spark):
     pairs = spark.createDataFrame([("a", 0, 4.0, 2.0), ("a", 1, 3.0, 0.0), ("a", 2, 1.0, 2.0), ("b", 0, 0.0, 1.0)], "source string, k int, map double, shuffle double")
     got = phaselog.phase_ratios(pairs).orderBy("source", "k").collect()
