@@ -102,6 +102,30 @@ def test_coded_sort_equals_total_sort(spark):
     assert all(x.p == x.dest - 1 for x in got)
 
 
+def test_coded_sort_by_places(spark):
+    """Rows that carry their place are neither sorted nor moved to be dealt to files, and get the same files."""
+    g = random.Random(6)
+    rows = [(bytearray(g.randbytes(10)), i, i) for i in range(240)]
+    df = spark.createDataFrame(rows, "key binary, id long, place long").withColumns({f"k{i}": F.conv(F.hex(F.substring("key", 1 + 5 * i, 5)), 16, 10).cast("long") for i in range(2)})
+    placed = C.place_records(df, "key", ["id"], 4, 2, 100, "place")
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan and "Sort" not in plan and "Join" not in plan
+    sort = lambda *place: sorted(map(tuple, C.coded_sort(df, "key", 4, 2, ["k0", "k1", "id"], ["id"], 100, *place).collect()))
+    assert sort("place") == sort()
+
+
+def test_lines_stay_where_sizes_are_few(spark):
+    """What is known of a block or chunk goes to the lines; no exchange brings lines together by the few blocks there are."""
+    df = table(spark, 4, 2, 1, 50)
+    p = C.coded_parts(df, 4, 2, ["id"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plans = [x._jdf.queryExecution().sparkPlan().toString() for x in (C.chunk_blocks(C.remote(df, spark, 4, 2), 2, ["id"], 4), C.xor_decode(C.xor_encode(p["chunks"], WORDS), p["meta"], p["chunks"], WORDS, 24))]
+        assert plans[0].count("SortMergeJoin") == 0 and plans[1].count("BroadcastHashJoin") >= 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_coded_sort_notices_lost_lines(spark, monkeypatch):
     df = spark.createDataFrame([(bytearray([i % 251, i % 7] + [0] * 8), i) for i in range(200)], "key binary, id long")
     whole = C.xor_decode
