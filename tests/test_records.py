@@ -287,3 +287,34 @@ def test_balanced_cuts_count_exactly(spark):
     at = [bisect.bisect_left(ordered, c) for c in cuts]
     assert sizes.tolist() == [b - a for a, b in zip([0, *at], [*at, len(ks)], strict=True)]
     assert max(sizes) < 2 * len(ks) / 8
+
+
+def test_scan_place(spark, tmp_path):
+    """Rows of files are numbered as they are read, without moving any."""
+    spark.range(5000).repartition(7).write.parquet(str(tmp_path / "t"))
+    df = R.with_scan_place(spark.read.parquet(str(tmp_path / "t")))
+    assert sorted(r.place for r in df.collect()) == list(range(5000))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan and "Repartition" not in plan
+    sample = R.systematic_sample(df, 100, ["id"], "place").collect()
+    assert sorted(r.idx for r in sample) == list(range(0, 5000, 50))
+
+
+def test_record_files_are_sorted_once(spark, tmp_path, monkeypatch):
+    """The splitters' sample neither sorts nor writes the line items."""
+    import hashlib
+
+    from rangeloom.jobs import catalog
+
+    rows = [(i // 3, i * 7 % 50, i % 11, i % 3) for i in range(900)]
+    li = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").selectExpr("*", "timestamp_seconds(86400 * l_orderkey) AS l_shipdate")
+    li.repartition(4).write.parquet(str(tmp_path / "lineitem.parquet"))
+
+    def refuse(*_):
+        raise AssertionError("all rows were sorted for a sample")
+
+    monkeypatch.setattr(R, "_ranged", refuse)
+    got = [(r.place, r.key_hex, r.value) for r in catalog.record_files(spark, str(tmp_path)).orderBy("place").collect()]
+    texts = [f"{o}-{p}-{s}-{n}-{86400 * o}" for o, p, s, n in rows]
+    want = sorted((hashlib.md5(t.encode()).hexdigest()[:20], t.ljust(90, ".")) for t in texts)
+    assert got == [(i, "".join(k[j : j + 2] + " " for j in range(0, 20, 2)), v) for i, (k, v) in enumerate(want)]
